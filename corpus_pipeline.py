@@ -3,21 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import mixing, packing, quality, simhash, toxicity
 from tessera.llm.common import materialize, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where(F.col("_score") < toxicity.TOXIC_AT).select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("_score") >= quality.GOOD_AT).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
     return simhash.dedup(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's share of tokens meets its target weight; a document has a row for each epoch it is in."""
+    return mixing.mix_rows(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, with their sequences."""
+    return packing.op10(docs)
+
+
 STAGES = [
-    ("simhash near-dedup", near_dedup),
+    ("toxicity", drop_toxic),
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
 ]
 
-#: Trained models and fingerprints cannot be expressed in SQL; tests hold run() against brute force instead.
+#: Trained models, fingerprints and token ids cannot be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
