@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,9 +204,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
     """
 
     @F.pandas_udf("double")
-    def score(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(model)
         for batch in texts:
             yield pd.Series([own.score(t) for t in batch], dtype="float64")
