@@ -59,23 +59,19 @@ def admissions(events: DataFrame, key: str, ms: str, event_id: str, limit: int,
 
 
 def admissions_stream(events: DataFrame, key: str, ms: str, event_id: str, limit: int, width_ms: int) -> DataFrame:
-    """The same for a stream whose micro-batches bring a key's events in order; state lasts as long as it can matter."""
+    """The same for a stream whose micro-batches bring a key's events in order; a key's state is at most `limit` times."""
     kinds = dict(events.dtypes)
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         granted = list(state.get[0]) if state.exists else []
         frame = pd.concat(list(frames)).sort_values([ms, event_id])
         frame["granted"], granted = admit(frame[ms].tolist(), granted, limit, width_ms)
         state.update((granted,))
-        state.setTimeoutDuration(width_ms)
         yield frame[[key, event_id, ms, "granted"]]
 
     schema = f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, granted boolean"
     rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, event_id, ms)
-    return rows.groupBy(key).applyInPandasWithState(fold, schema, "granted array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(fold, schema, "granted array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def extend_session(times: list[int], lasts_ms: int, refresh_ms: int) -> list[tuple[bool, int]]:
