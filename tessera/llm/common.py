@@ -88,7 +88,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state[0] == 0:
             break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join below reads two tables and may split a hub's edges
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "edges")
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -96,7 +97,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt = materialize(small, "edges")
         new = _state(nxt)
-        drop_tables(spark, [cur, large])
+        drop_tables(spark, [cur, least, large])
         cur, same, state = nxt, new == state, new
         if same:
             break

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -106,12 +108,13 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
         F.pmod("budget", "tokens").alias("_rest"),
     )
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    seeded = rows.join(plan, leaf).withColumn("_order", order).withColumn("_part", F.substring("_order", 1, 2))
+    # written, so that its size is known: while small it is broadcast, and no join deals rows by leaf alone
+    seeded = rows.join(materialize(plan, "budgets"), leaf).withColumn("_order", order).withColumn("_part", F.substring("_order", 1, 2))
     small = seeded.groupBy(*leaf, "_part").agg(F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy(*leaf).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = small.select(*leaf, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*leaf, "_part").orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    summed = seeded.withColumn("_run", F.sum("_tokens").over(inside)).join(starts, [*leaf, "_part"])
+    summed = seeded.repartition(*leaf, "_part").withColumn("_run", F.sum("_tokens").over(inside)).join(starts, [*leaf, "_part"])
     fits = (F.col("_rest") > 0) & (F.col("_start") + F.col("_run") <= F.col("_rest"))
     copies = F.col("_whole") + fits.cast("long")
     chosen = summed.withColumn("_copies", copies).where("_copies > 0")
