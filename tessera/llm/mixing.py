@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
+#: Hexadecimal digits of the order that its parts differ in: 4096 parts a leaf.
+PART_DIGITS = 3
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -80,25 +83,23 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
     """docs with `_epoch` added: a row for each time a document is selected.
 
     A leaf of A tokens and budget B gives all its documents floor(B / A) times, and in one more epoch the
-    longest prefix, in an order seeded by (seed, epoch, id), whose tokens fit what is left of B.
+    longest prefix, in an order seeded by (seed, epoch, id), whose tokens fit what is left of B. Rows alike in id
+    and tokens have one place in that order, so the extra epoch takes all of them or none.
 
-    Rows are separate whatever their ids; equal rows are alike, so any of them may be the selected one. Null
-    languages and sources form leaves of their own, named ''. Null ids are ordered as ''. Null and empty texts
-    have no tokens; a leaf without tokens has no budget and is left out, since it cannot serve any weight.
-    An empty table gives an empty result.
+    Rows are separate whatever their ids. Null languages and sources form leaves of their own, named ''. Null ids
+    are ordered as ''. Null and empty texts have no tokens; a leaf without tokens has no budget and is left out,
+    since it cannot serve any weight. An empty table gives an empty result. Other columns, whatever their names
+    (but for those below that begin with an underscore), come through as they are.
 
-    The prefix is not one long window: a leaf's seeded order is cut into 256 parts by the first two digits of
-    the order's hash, each part is summed, and running totals start from the parts before.
+    Texts are read twice and never shuffled: sizes and places in the order go to a narrow table, and all that
+    comes back from it is each leaf's last place. That place is found in two steps, from the sums of 4096 parts
+    of the order and then inside the one part where the budget ends.
     """
     leaf = ["_domain", "_lang", "_source"]
-    rows = docs.select(
-        "*",
-        domain_of().alias("_domain"),
-        F.coalesce("lang", F.lit("")).alias("_lang"),
-        F.coalesce("source", F.lit("")).alias("_source"),
-        (tokens if tokens is not None else token_estimate()).alias("_tokens"),
-    )
-    leaves = rows.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
+    where = [domain_of().alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")]
+    size = tokens if tokens is not None else token_estimate()
+    narrow = materialize(docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), *where, size.alias("_tokens")), "sizes")
+    leaves = narrow.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
     named = leaves.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "tokens")
     plan = budgets(named, mix).select(
         F.col("domain").alias("_domain"),
@@ -107,18 +108,31 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
         F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("_whole"),
         F.pmod("budget", "tokens").alias("_rest"),
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    # written, so that its size is known: while small it is broadcast, and no join deals rows by leaf alone
-    seeded = rows.join(materialize(plan, "budgets"), leaf).withColumn("_order", order).withColumn("_part", F.substring("_order", 1, 2))
-    small = seeded.groupBy(*leaf, "_part").agg(F.sum("_tokens").alias("_sum"))
-    before = Window.partitionBy(*leaf).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small.select(*leaf, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*leaf, "_part").orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    summed = seeded.repartition(*leaf, "_part").withColumn("_run", F.sum("_tokens").over(inside)).join(starts, [*leaf, "_part"])
-    fits = (F.col("_rest") > 0) & (F.col("_start") + F.col("_run") <= F.col("_rest"))
-    copies = F.col("_whole") + fits.cast("long")
-    chosen = summed.withColumn("_copies", copies).where("_copies > 0")
-    return chosen.select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_epoch"))
+    plan = materialize(plan, "budgets")  # written, so that its size is known: while small it is broadcast
+
+    def place(name: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_whole").cast("string"), name).cast("binary"))
+
+    order = narrow.join(plan.where("_rest > 0"), leaf).select(*leaf, "_rest", "_tokens", place(F.col("_id")).alias("_order"))
+    order = order.withColumn("_part", F.substring("_order", 1, PART_DIGITS))
+    sums = order.groupBy(*leaf, "_rest", "_part").agg(F.sum("_tokens").alias("_sum"))
+    ahead = Window.partitionBy(*leaf).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    # budgets are below the leaf's tokens, so there is one part in which each ends
+    end = materialize(sums.where("_start <= _rest and _start + _sum > _rest").select(*leaf, "_part", "_start"), "ends")
+    inside = order.join(end, [*leaf, "_part"]).groupBy(*leaf, "_rest", "_part", "_start", "_order", "_tokens").agg(F.count(F.lit(1)).alias("_n"))
+    through = Window.partitionBy(*leaf).orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_run", F.col("_start") + F.sum(F.col("_tokens") * F.col("_n")).over(through)).where("_run <= _rest")
+    last = inside.groupBy(*leaf).agg(F.max(F.struct("_order", "_tokens")).alias("_last"))
+    # nothing of the part fits: the prefix ends before it
+    last = end.select(*leaf, "_part").join(last, leaf, "left").select(*leaf, F.coalesce("_last", F.struct(F.col("_part").alias("_order"), F.lit(-1).cast("long").alias("_tokens"))).alias("_last"))
+    plan = materialize(plan.join(last, leaf, "left"), "places")
+
+    rows = docs.select("*", *where, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), size.alias("_tokens"))
+    mine = F.struct(place(F.col("_id")).alias("_order"), F.col("_tokens"))
+    copies = F.col("_whole") + F.coalesce(mine <= F.col("_last"), F.lit(False)).cast("long")
+    chosen = rows.join(plan, leaf).withColumn("_copies", copies).where("_copies > 0")
+    return chosen.select(*[chosen[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_epoch"))
 
 
 def op2(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -164,7 +178,7 @@ def op2_sql(mix: Mix = Mix()) -> str:
     o as (select r.*, whole, rest,
                  sum(r.tokens) over (partition by r.d, r.l, r.s
                    order by md5('{mix.seed}:' || whole || ':' || coalesce(cast(doc_id as varchar), '')), r.tokens
-                   rows between unbounded preceding and current row) as run
+                   range between unbounded preceding and current row) as run
           from r join p on r.d = p.d and r.l = p.l and r.s = p.s),
     c as (select *, whole + case when rest > 0 and run <= rest then 1 else 0 end as copies from o)
     select doc_id, d as domain, lang, source, tokens, cast(unnest(range(copies)) as bigint) as epoch from c"""
