@@ -105,3 +105,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     inner = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return inner.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def least_names(classes: DataFrame, node: str, first: str, edges: DataFrame) -> DataFrame:
+    """(node, component, name) for each node with edges (u, v): the least `first` of its component, null if none has any."""
+    found = materialize(components(edges), "components")
+    names = found.join(classes.select(F.col(node).alias("node"), first), "node").groupBy("component").agg(F.min(first).alias("name"))
+    return found.join(names, "component").select("node", "component", "name")

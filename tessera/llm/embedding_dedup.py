@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize
+from tessera.llm.common import least_names, materialize
 
 COSINE = 0.9
 TABLES, HASHES, WIDTH, SEED = 40, 14, 2.0, 11
@@ -153,11 +153,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), flat], names=["rep", "mult", "embedding", "keys"])
 
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    # a class of null ids only gets a name that no row has
-    name = F.coalesce(F.min("id"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("embedding"), 2))
-    classes = rows.where(usable).groupBy("embedding").agg(name.alias("rep"), F.count(F.lit(1)).alias("mult")).select("rep", "mult", "embedding")
-    classes = materialize(classes, "classes")
-    spread = classes.mapInArrow(hashed, "rep long, mult long, embedding array<double>, keys array<long>")
+    classes = rows.where(usable).groupBy("embedding").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("mult"))
+    # numbered once, as it is written
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "mult", "embedding", "first"), "classes")
+    spread = classes.select("rep", "mult", "embedding").mapInArrow(hashed, "rep long, mult long, embedding array<double>, keys array<long>")
     index = spread.select("rep", "mult", F.transform("embedding", lambda x: x).alias("embedding"), F.posexplode("keys").alias("part", "bucket"))
     skeleton = spread.select("rep", F.posexplode("keys").alias("part", "bucket"))
     crowded = skeleton.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -170,12 +169,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = materialize(sorted_rows.mapInArrow(_bucket_rows, "rep long, n long, other long"), "links")
 
     counts = found.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
-    labels = components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rep")
+    edges = found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    labels = least_names(classes.select("rep", "first"), "rep", "first", edges).select(F.col("node").alias("rep"), "name")
     done = classes.join(counts, "rep", "left").join(labels, "rep", "left").select(
-        "embedding", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")
+        "embedding", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "first").alias("name")
     )
     out = rows.join(done, "embedding", "left")
-    component = F.when(F.col("component") < (1 << 62), F.col("component")).when(F.col("component").isNull(), F.col("id"))
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("name"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize
+from tessera.llm.common import least_names, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -52,14 +52,15 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of docs, fp the fingerprint as a signed long. Other columns are not read."""
+    """(id, same, fp): one row per row of docs; same is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(None if t is None else t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.int64())], names=["id", "fp"])
+            prints = [fingerprint(None if t is None else t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["id", "same", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(run, "id long, same long, fp long")
 
 
 def _words(fp: str) -> list:
@@ -68,7 +69,7 @@ def _words(fp: str) -> list:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints at most MAX_BITS apart; classes: (fp, rep), fp distinct.
+    """Edges (u, v) that connect all fingerprints at most MAX_BITS apart; u and v are fingerprints; classes: (fp), distinct.
 
     Postings of up to PAIRED_POSTING fingerprints give their verified pairs. In larger ones all members agree in
     four bytes; members that share a word at most one bit away from their other four bytes are at most two bits
@@ -86,47 +87,52 @@ def links(classes: DataFrame) -> DataFrame:
         for i, (a, b) in enumerate(sets)
         for rest in [[x for x in range(4) if x not in (a, b)]]
     ]
-    index = classes.select("fp", "rep", F.explode(F.array(*keyed)).alias("k")).select("fp", "rep", "k.part", "k.key", "k.other")
+    index = classes.select("fp", F.explode(F.array(*keyed)).alias("k")).select("fp", "k.part", "k.key", "k.other")
     sizes = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = materialize(index.join(sizes, ["part", "key"]), "postings")
 
     small = index.where(F.col("n") <= PAIRED_POSTING)
-    a = small.select("part", "key", F.col("fp").alias("fa"), F.col("rep").alias("u"))
-    b = small.select("part", "key", F.col("fp").alias("fb"), F.col("rep").alias("v"))
-    diff = F.col("fa").bitwiseXOR(F.col("fb"))
+    a = small.select("part", "key", F.col("fp").alias("u"))
+    b = small.select("part", "key", F.col("fp").alias("v"))
+    diff = F.col("u").bitwiseXOR(F.col("v"))
     shared = sum((F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8))
-    pairs = a.join(b, ["part", "key"]).where("fa < fb").where(shared >= 8 - MAX_BITS).where(F.bit_count(diff) <= MAX_BITS).select("u", "v")
+    pairs = a.join(b, ["part", "key"]).where("u < v").where(shared >= 8 - MAX_BITS).where(F.bit_count(diff) <= MAX_BITS).select("u", "v")
 
     near = F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda i: F.when(i < 0, F.col("other")).otherwise(F.col("other").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.when(i < 0, 0).otherwise(i)))))
-    large = index.where(F.col("n") > PAIRED_POSTING).select("part", "key", "rep", F.explode(near).alias("word"))
-    first = F.min("rep").over(Window.partitionBy("part", "key", "word"))
-    stars = large.select(F.col("rep").alias("u"), first.alias("v")).where("u <> v")
+    large = index.where(F.col("n") > PAIRED_POSTING).select("part", "key", "fp", F.explode(near).alias("word"))
+    first = F.min("fp").over(Window.partitionBy("part", "key", "word"))
+    stars = large.select(F.col("fp").alias("u"), first.alias("v")).where("u <> v")
     return pairs.union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): one row per row of docs.
+    """(id, same, fp, component, component_id): one row per row of docs; same is a hash of its text.
 
     component_id is the smallest id reachable by links, itself included. Null, empty and blank texts have
-    fingerprint zero and link like any other. Rows with equal ids stay separate rows; rows with a null id
-    take part, but give no component its name: a component of such rows only has component_id null. An empty
-    table gives an empty result. Equal texts meet in one class before anything is compared.
+    fingerprint zero and link like any other. Rows with equal ids stay separate rows, linked only if their texts
+    are; rows with a null id take part, but give no component its name: a component of such rows only has
+    component_id null, and `component`, its least fingerprint, still tells it apart. An empty table gives an empty
+    result. Equal texts meet in one class before anything is compared.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    # A class of null ids only still has to link others: it gets a name no document has, and loses it at the end.
-    named = materialize(classes.select("fp", F.coalesce("rep", F.lit(1 << 62) + F.shiftrightunsigned(F.col("fp"), 2)).alias("rep")), "classes")
-    found = components(links(named)).withColumnRenamed("node", "rep")
-    labels = named.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(labels, "fp")
-    return out.select("id", "fp", F.when(F.col("component_id") < (1 << 62), F.col("component_id")).alias("component_id"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    found = least_names(classes, "fp", "first", links(classes)).withColumnRenamed("node", "fp")
+    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("name", "first").alias("component_id"))
+    return prints.join(labels, "fp").select("id", "same", "fp", "component", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Rows with equal ids count once."""
-    named = near_duplicates(docs, id_col, text_col)
-    keep = named.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_kept"], "left_semi").dropDuplicates([id_col])
+    """docs with one document of each component: the one with the smallest id.
+
+    Of several rows with that id, one with the smallest hash of its text stays, and of rows equal in both, any one.
+    A component without any id keeps one row in the same way.
+    """
+    rows = near_duplicates(docs, id_col, text_col)
+    kept = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("row"))
+    kept = kept.select(F.col("row.id").alias("_kept_id"), F.col("row.same").alias("_kept_same"))
+    keyed = docs.withColumn("_same", F.xxhash64(F.col(text_col).cast("binary")))
+    found = keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_same"] == kept["_kept_same"]), "left_semi")
+    return found.dropDuplicates([id_col, "_same"]).drop("_same")
 
 
 def op1(docs: DataFrame) -> DataFrame:

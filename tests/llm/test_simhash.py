@@ -69,6 +69,17 @@ def test_dedup_keeps_the_smallest(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9]
 
 
+def test_dedup_keeps_what_has_no_id_or_shares_one(spark, docs):
+    df = docs([(None, "alone without an id here"), (None, "alone without an id here"), (4, "one text of this id"), (4, "one text of this id"), (4, "quite another one of the same id"), (None, None)])
+    kept = simhash.dedup(df)
+    assert sorted((r["doc_id"] is None, str(r["text"])) for r in kept.collect()) == [
+        (False, "one text of this id"),
+        (False, "quite another one of the same id"),
+        (True, "None"),
+        (True, "alone without an id here"),
+    ]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400), (400, 500), (7, 7), (None, 3)], "u long, v long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}
