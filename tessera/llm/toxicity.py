@@ -170,7 +170,8 @@ def held_out(id_col: str = "doc_id"):
 def sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: int) -> DataFrame:
     """(text, label) of at most per_class rows of each class, chosen in the order of a hash of the id.
 
-    Labels of one document that contradict each other, null labels and null ids teach nothing.
+    Labels of one document that contradict each other, null labels and null ids teach nothing. Of rows that share
+    an id, the one with the greatest text is taken.
     """
     known = labels.select("doc_id", F.col(column).alias("label")).where("doc_id is not null and label in (0, 1)").where(keep)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
@@ -178,7 +179,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: int
     few = [known.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     chosen = few[0].union(few[1])
     # at most 2 x per_class rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").cast("int").alias("label")).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
