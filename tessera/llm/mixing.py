@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Hexadecimal digits of the order that its parts differ in: 4096 parts a leaf.
-PART_DIGITS = 3
+#: Hexadecimal digits of the order that each level of parts adds, and levels: a leaf's order ends in one of 256 parts of 256.
+DIGITS, LEVELS = 2, 2
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,8 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
     (but for those below that begin with an underscore), come through as they are.
 
     Texts are read twice and never shuffled: sizes and places in the order go to a narrow table, and all that
-    comes back from it is each leaf's last place. That place is found in two steps, from the sums of 4096 parts
-    of the order and then inside the one part where the budget ends.
+    comes back from it is each leaf's last place. That place is found level by level, from the sums of 256 parts
+    of the order, of 256 parts of the one where the budget ends, and at last inside a 65,536th of the leaf.
     """
     leaf = ["_domain", "_lang", "_source"]
     where = [domain_of().alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")]
@@ -114,13 +114,16 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
         return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_whole").cast("string"), name).cast("binary"))
 
     order = narrow.join(plan.where("_rest > 0"), leaf).select(*leaf, "_rest", "_tokens", place(F.col("_id")).alias("_order"))
-    order = order.withColumn("_part", F.substring("_order", 1, PART_DIGITS))
-    sums = order.groupBy(*leaf, "_rest", "_part").agg(F.sum("_tokens").alias("_sum"))
     ahead = Window.partitionBy(*leaf).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-    # budgets are below the leaf's tokens, so there is one part in which each ends
-    end = materialize(sums.where("_start <= _rest and _start + _sum > _rest").select(*leaf, "_part", "_start"), "ends")
-    inside = order.join(end, [*leaf, "_part"]).groupBy(*leaf, "_rest", "_part", "_start", "_order", "_tokens").agg(F.count(F.lit(1)).alias("_n"))
+    end, inside = None, order.withColumn("_start", F.lit(0).cast("long"))
+    for level in range(1, LEVELS + 1):
+        part = F.substring("_order", 1, DIGITS * level).alias("_part")
+        sums = inside.groupBy(*leaf, "_rest", "_start", part).agg(F.sum("_tokens").alias("_sum"))
+        sums = sums.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+        # what is left is below the leaf's tokens, so there is one part in which it ends
+        end = materialize(sums.where("_start <= _rest and _start + _sum > _rest").select(*leaf, "_part", "_start"), "ends")
+        inside = order.withColumn("_part", part).join(end, [*leaf, "_part"])
+    inside = inside.groupBy(*leaf, "_rest", "_part", "_start", "_order", "_tokens").agg(F.count(F.lit(1)).alias("_n"))
     through = Window.partitionBy(*leaf).orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_run", F.col("_start") + F.sum(F.col("_tokens") * F.col("_n")).over(through)).where("_run <= _rest")
     last = inside.groupBy(*leaf).agg(F.max(F.struct("_order", "_tokens")).alias("_last"))
