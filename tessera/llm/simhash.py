@@ -105,34 +105,46 @@ def links(classes: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def labelled(prints: DataFrame) -> DataFrame:
+    """(fp, component, component_id, row): the component of each fingerprint of prints (id, same, fp).
+
+    component is its least fingerprint, component_id its least id, row (none, id, same) the first row of the
+    fingerprint: ids before none, then by id and by same. Equal fingerprints are one row before any join.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("row")
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first"), first), "classes")
+    found = least_names(classes, "fp", "first", links(classes)).withColumnRenamed("node", "fp")
+    return classes.join(found, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("name", "first").alias("component_id"), "row"
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, fp, component, component_id): one row per row of docs; same is a hash of its text.
+    """(id, fp, component_id): one row per row of docs.
 
     component_id is the smallest id reachable by links, itself included. Null, empty and blank texts have
     fingerprint zero and link like any other. Rows with equal ids stay separate rows, linked only if their texts
     are; rows with a null id take part, but give no component its name: a component of such rows only has
-    component_id null, and `component`, its least fingerprint, still tells it apart. An empty table gives an empty
-    result. Equal texts meet in one class before anything is compared.
+    component_id null. An empty table gives an empty result. Equal texts meet in one class before anything is
+    compared.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    found = least_names(classes, "fp", "first", links(classes)).withColumnRenamed("node", "fp")
-    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("name", "first").alias("component_id"))
-    return prints.join(labels, "fp").select("id", "same", "fp", "component", "component_id")
+    return prints.join(labelled(prints), "fp").select("id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id.
 
     Of several rows with that id, one with the smallest hash of its text stays, and of rows equal in both, any one.
-    A component without any id keeps one row in the same way.
+    A component without any id keeps one row in the same way. Texts are shuffled once.
     """
-    rows = near_duplicates(docs, id_col, text_col)
-    kept = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("row"))
-    kept = kept.select(F.col("row.id").alias("_kept_id"), F.col("row.same").alias("_kept_same"))
-    keyed = docs.withColumn("_same", F.xxhash64(F.col(text_col).cast("binary")))
-    found = keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_same"] == kept["_kept_same"]), "left_semi")
-    return found.dropDuplicates([id_col, "_same"]).drop("_same")
+    classes = labelled(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))
+    kept = classes.groupBy("component").agg(F.min("row").alias("row")).select("row.*")
+    key = ["_none", "_id", "_same"]  # without nulls, so that the join's partitions serve the last step, too
+    kept = kept.select(F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
+    number = F.col(id_col).cast("long")
+    keyed = docs.select("*", number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("_same"))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op1(docs: DataFrame) -> DataFrame:
