@@ -27,7 +27,7 @@ class Settings:
     """per_class bounds the labelled rows that the model is fitted on; everything else is scored whole."""
 
     per_class: int = 3000
-    buckets: int = 1 << 16
+    buckets: int = 1 << 16  # at most: a bucket's number takes two bytes
     dim: int = 4
     shortest: int = 3
     longest: int = 5
@@ -49,6 +49,8 @@ class Settings:
 PUNCTUATION = ".,;:!?\"'()[]{}|"
 #: Weights of a word that occurs so often.
 LOGS = [0.0, *(1 + math.log(n) for n in range(1, 64))]
+#: What a weight of one is stored as: in half precision, small weights would lose digits.
+UNIT = 4096
 #: Words whose share a task remembers.
 CACHE = 400_000
 
@@ -70,7 +72,7 @@ def words_of(text: str | None) -> dict[str, float]:
 
 
 def bag(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights, which sum to the words' share of words and neutral words."""
+    """Buckets of a text, as 16-bit numbers, and their weights, which sum to UNIT times the words' share of words and neutral words."""
     words = words_of(text)
     total = sum(words.values()) + s.neutral
     ids: list[int] = []
@@ -80,9 +82,9 @@ def bag(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         ids += own
         weights += [n / total / len(own)] * len(own)
     if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
     uniq, at = np.unique(np.array(ids, np.int32), return_inverse=True)
-    return uniq, np.bincount(at, weights).astype(np.float32)
+    return uniq.astype(np.uint16), (UNIT * np.bincount(at, weights)).astype(np.float16)
 
 
 @dataclass
@@ -113,7 +115,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settin
             if not sum(sizes):
                 continue
             ids = np.concatenate([bags[i][0] for i in own])
-            vals = np.concatenate([bags[i][1] for i in own]) * s.gain
+            vals = np.concatenate([bags[i][1] for i in own]).astype(np.float32) * (s.gain / UNIT)
             rows = np.repeat(np.arange(len(own)), sizes)
             stay = rng.random(len(ids)) < s.stay
             ids, vals, rows = ids[stay], vals[stay] / s.stay, rows[stay]
@@ -192,10 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
             cols = [batch.column(1), pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].tobytes() for b in bags], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["label", "ids", "weights"])
 
-    rows = sample(docs, labels, "toxic", ~held_out(), s.per_class).mapInArrow(run, "label int, ids binary, weights binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["weights"])))  # so that the model doesn't depend on the order of tasks
-    bags = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in rows]
-    return fit(bags, np.array([r["label"] for r in rows], np.int64), s)
+    rows = sample(docs, labels, "toxic", ~held_out(), s.per_class).mapInArrow(run, "label int, ids binary, weights binary").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in rows.column_names)))  # so that the model doesn't depend on the order of tasks
+    bags = [(np.frombuffer(ids, np.uint16), np.frombuffer(weights, np.float16)) for _, ids, weights in rows]
+    return fit(bags, np.array([label for label, _, _ in rows], np.int64), s)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
