@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return simhash.dedup(docs)
+    """One document of each group of near-duplicates (5-word shingles, Jaccard index 0.8) stays: the one with the smallest doc_id."""
+    return simhash.dedup(docs, shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,17 @@ two bytes, so they share at least six positional bytes. Single (position, byte)
 form four pairs, and six shared bytes leave at least two pairs whole, so one of the six choices of two pairs
 is a key that both sides share. Pairs from a posting are tallied over all eight positions, kept from six shared
 bytes on (the guaranteed minimum), and verified by their differing bits.
+
+Links by similarity (the Jaccard index of sets of word shingles) need a wider fingerprint: at 0.8 about 15 of 100
+bits differ, so no choice of bytes is sure to be shared. The shingles are dealt by their hashes into groups, about
+four to eight to a group, and each group has a SimHash of its own: a positional word. A shingle that only one side
+has spoils one word at most, so most pairs share some; WORDS of them are posted. Pairs that share a word are
+verified by their sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import least_names, materialize
+from tessera.llm.common import components, least_names, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -28,6 +34,9 @@ MAX_BITS = 2
 PAIRED_POSTING = 64
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 16
+#: Positional words of a wide fingerprint that are posted, a power of two.
+WORDS = 32
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -68,6 +77,106 @@ def _words(fp: str) -> list:
     return [F.shiftrightunsigned(F.col(fp), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
 
 
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, ascending; none for null, empty and blank texts."""
+    words = (text or b"").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    blocks = [np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + BLOCK))], np.uint64)) for at in range(0, n if words else 0, BLOCK)]
+    return blocks[0] if len(blocks) == 1 else np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
+
+
+def wide_words(found: np.ndarray, similarity: float) -> np.ndarray:
+    """The posted words of a set of shingle hashes, as keys that also name position and number of groups.
+
+    Sets of up to 4 x WORDS shingles have WORDS groups, larger ones a fourth of the power of two at or below their
+    size. Where a larger partner may have the next number of groups, the words for that are posted, too.
+    """
+    base = max(4 * WORDS, 1 << (len(found).bit_length() - 1)) // 4 if len(found) else WORDS
+    keys = []
+    for groups in [base] + [2 * base] * bool(len(found) >= similarity * 8 * base):
+        place = (found * MIX >> np.uint64(20)) & np.uint64(groups - 1)
+        own = place < WORDS
+        order = np.argsort(place[own], kind="stable")
+        place, hashes = place[own][order], found[own][order].astype(">u8")
+        if not len(place):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
+        counts = np.diff(np.append(starts, len(place)))
+        word = np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        key = (word ^ ((np.uint64(groups) * np.uint64(WORDS) + place[starts]) * STEP)) * MIX
+        keys.append(key ^ (key >> np.uint64(29)))
+    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, same, fp, size, words): as fingerprints; fp is a hash of the set of shingles, size their number, words the posted keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(None if t is None else t.as_py(), shingle) for t in batch.column(2)]
+            prints = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            words = pa.array([wide_words(s, similarity) for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), words]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "fp", "size", "words"])
+
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, same long, fp long, size long, words array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets (fp, members) are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("members").alias("a")), "u")
+    both = both.join(sets.select(F.col("fp").alias("v"), F.col("members").alias("b")), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect all sets of shingles that share a posted word and are similar enough.
+
+    First each posting's members meet its smallest. Whoever that connects need not meet again, so of a posting only
+    pairs from different components follow: a posting of near copies, however large, costs one pair a member.
+    """
+    index = prints.select("fp", "size", F.explode("words").alias("word")).distinct()
+    heads = index.groupBy("word").agg(F.min(F.struct("fp", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    index = materialize(index.join(heads, "word"), "postings")
+    in_reach = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity
+
+    rows = index.select("fp").distinct().join(classes.select("fp", "row"), "fp").select("fp", "row.*")
+    rows = rows.select("fp", F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
+    texts = _keyed(docs, id_col, text_col).join(rows, ["_none", "_id", "_same"]).select("fp", F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [shingles(None if t is None else t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], names=["fp", "members"])
+
+    sets = materialize(texts.dropDuplicates(["fp"]).mapInArrow(run, "fp long, members binary"), "sets")
+
+    stars = index.where("fp <> head.fp").where(in_reach(F.col("size"), F.col("head.size"))).select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct()
+    stars = materialize(_similar(stars, sets, similarity), "stars")
+    known = materialize(components(stars), "known")
+    named = index.where("n > 2 and fp <> head.fp").join(known, F.col("fp") == F.col("node"), "left").select("word", "fp", "size", F.coalesce("component", "fp").alias("c"))
+    mixed = named.groupBy("word").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("word")
+    named = materialize(named.join(mixed, "word"), "mixed")
+    a = named.select("word", F.col("fp").alias("u"), F.col("size").alias("a"), F.col("c").alias("cu"))
+    b = named.select("word", F.col("fp").alias("v"), F.col("size").alias("b"), F.col("c").alias("cv"))
+    pairs = a.join(b, "word").where("u < v and cu <> cv").where(in_reach(F.col("a"), F.col("b"))).select("u", "v").distinct()
+    return stars.union(_similar(pairs, sets, similarity))
+
+
 def links(classes: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all fingerprints at most MAX_BITS apart; u and v are fingerprints; classes: (fp), distinct.
 
@@ -105,7 +214,7 @@ def links(classes: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def labelled(prints: DataFrame) -> DataFrame:
+def labelled(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, component, component_id, row): the component of each fingerprint of prints (id, same, fp).
 
     component is its least fingerprint, component_id its least id, row (none, id, same) the first row of the
@@ -113,7 +222,7 @@ def labelled(prints: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("row")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first"), first), "classes")
-    found = least_names(classes, "fp", "first", links(classes)).withColumnRenamed("node", "fp")
+    found = least_names(classes, "fp", "first", edges(classes)).withColumnRenamed("node", "fp")
     return classes.join(found, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("name", "first").alias("component_id"), "row"
     )
@@ -132,19 +241,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labelled(prints), "fp").select("id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with a key of each row's id and text that has no nulls, so that the partitions of joins serve later steps, too."""
+    number = F.col(id_col).cast("long")
+    return docs.select("*", number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("_same"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs with one document of each component: the one with the smallest id.
 
-    Of several rows with that id, one with the smallest hash of its text stays, and of rows equal in both, any one.
-    A component without any id keeps one row in the same way. Texts are shuffled once.
+    Fingerprints are linked within MAX_BITS, as in op1, or, given a similarity, texts whose sets of shingles of
+    so many words have at least that Jaccard index. Of several rows with that id, one with the smallest hash of its
+    text stays, and of rows equal in both, any one. A component without any id keeps one row in the same way. Texts
+    are shuffled once; given a similarity, those that share a word with others, also to be verified.
     """
-    classes = labelled(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError("fingerprints within MAX_BITS have shingles of SHINGLE words")
+        classes = labelled(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))
+    else:
+        prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "fingerprints")
+        classes = labelled(prints, lambda found: similar_links(docs, prints, found, id_col, text_col, shingle, similarity))
     kept = classes.groupBy("component").agg(F.min("row").alias("row")).select("row.*")
-    key = ["_none", "_id", "_same"]  # without nulls, so that the join's partitions serve the last step, too
+    key = ["_none", "_id", "_same"]
     kept = kept.select(F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
-    number = F.col(id_col).cast("long")
-    keyed = docs.select("*", number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("_same"))
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    return _keyed(docs, id_col, text_col).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op1(docs: DataFrame) -> DataFrame:

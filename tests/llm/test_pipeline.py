@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tessera.llm import mixing, packing, quality, simhash, toxicity
+from tests.llm.test_simhash import similar_components
 
 
 def test_stages_against_their_operators(spark, sf_dir):
@@ -21,3 +22,11 @@ def test_stages_against_their_operators(spark, sf_dir):
             assert out.count() == packing.op10(docs).count()
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_near_dedup_stage_against_brute_force(spark, sf_dir):
+    """The stage keeps the smallest doc_id of each component of texts with a Jaccard index of 0.8 or more, 5-word shingles."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert got == similar_components(rows, 5, 0.8)

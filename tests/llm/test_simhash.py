@@ -84,3 +84,44 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400), (400, 500), (7, 7), (None, 3)], "u long, v long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+
+
+def similar_components(rows, shingle, similarity):
+    """The smallest id of each component of (id, text) rows, comparing all sets with all."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else {""})
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        shared = len(sets[i] & sets[j])
+        if shared >= similarity * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_dedup_by_similarity_against_brute_force(spark, docs):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(2000)]
+    texts = ["", None, " \t", "one two", "One  TWO", "one two three four five six"]
+    for size in (12, 60, 120, 127, 128, 200, 255, 260, 700, 1500):
+        base = rng.choices(words, k=size)
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):  # about 45 of 2000 words changed give a similarity of 0.8
+            own = list(base)
+            for _ in range(max(1, round(share * size))):
+                own[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(own))
+        texts += [" ".join(base[: int(size * 0.83)]), " ".join(base + rng.choices(words, k=int(size * 0.2)))]
+    rows = list(enumerate(texts))
+    kept = simhash.dedup(docs(rows), shingle=5, similarity=0.8)
+    got = {r["doc_id"] for r in kept.collect()}
+    assert got == similar_components(rows, 5, 0.8)
+    assert len(got) < len({r["component_id"] for r in simhash.op1(docs(rows)).collect()})
