@@ -24,6 +24,8 @@ from tessera.llm.url_filter import host_of
 
 #: Different pages of a host that must support a class; what this many share with an element is no accident.
 SUPPORT = 20
+#: On smaller hosts, for text outside marked articles: so many of the host's different pages, as a share and at least.
+SHARE, FLOOR = 0.5, 3
 #: Remembered start tags of a task.
 CACHE = 50_000
 
@@ -175,17 +177,19 @@ class Parser:
         return blocks, elements
 
 
-def main_text(blocks: list[tuple[str, int, int]], template: frozenset[int]) -> str:
-    """The blocks in slots of the article, joined."""
+def main_text(blocks: list[tuple[str, int, int]], template: frozenset[int], outer: frozenset[int] = frozenset()) -> str:
+    """The blocks in slots of the article, joined; outer is the part of the template that marked articles ignore."""
     slots = [b for b in blocks if not b[2] & BOILER]
     inside = [b for b in slots if b[2] & MAIN]
     chosen = inside if inside else [b for b in slots if not b[2] & LINK]
-    kept = [b for b in chosen if b[1] not in template]
+    kept = [b for b in chosen if b[1] not in template and (inside or b[1] not in outer)]
     return " ".join(b[0] for b in kept)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): tokens of the text blocks in valid classes, for pages (host, html).
+    """(host, template, outer): tokens of the text blocks in valid classes, for pages (host, html).
+
+    Those of outer have less than SUPPORT, but enough for the number of the host's different pages.
 
     Copies of a page count once, by the hash of their whole html. The occurrence vector of a token is summed up
     as an exclusive or over (page, count), a partial aggregate, so no host's pages meet in one task.
@@ -215,12 +219,15 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = pages.select("host", "html").mapInArrow(run, "host string, page long, token long, is_text boolean, n int")
     once = seen.groupBy("host", "token", "is_text", "page").agg(F.max("n").alias("n"))
     vectors = once.groupBy("host", "token", "is_text").agg(F.count(F.lit(1)).alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"))
-    supported = vectors.where(F.col("support") >= SUPPORT)
+    sizes = pages.where("html <> ''").select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    enough = F.least(F.lit(SUPPORT), F.greatest(F.lit(FLOOR), F.ceil(F.col("pages") * SHARE)))
+    supported = vectors.where(F.col("support") >= FLOOR).join(sizes, "host").where(F.col("support") >= enough)
     classes = supported.groupBy("host", "support", "vector").agg(
         F.count_if(~F.col("is_text")).alias("elements"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts")
     )
     valid = classes.where((F.col("elements") > 0) & (F.size("texts") > 0))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
+    of = lambda kind: F.flatten(F.collect_list(F.when(kind, F.col("texts"))))
+    return valid.groupBy("host").agg(of(F.col("support") >= SUPPORT).alias("template"), of(F.col("support") < SUPPORT).alias("outer"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -238,18 +245,18 @@ def extracted(pages: DataFrame) -> DataFrame:
         parser, known = Parser(), {}
         for batch in batches:
             texts = []
-            for html, host, template in zip(batch.column(2), batch.column(3), batch.column(4)):
+            for html, host, template, outer in zip(*batch.columns[2:6]):
                 host = host.as_py()
                 if host not in known:
                     if len(known) >= CACHE:
                         known.clear()
-                    known[host] = frozenset(template.as_py() or ())
+                    known[host] = frozenset(template.as_py() or ()), frozenset(outer.as_py() or ())
                 blocks, _ = parser.parse(html.as_py() or "")
-                texts.append(main_text(blocks, known[host]))
+                texts.append(main_text(blocks, *known[host]))
             cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    joined = hosted.join(found, F.col("host") == F.col("_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "host", "template")
+    joined = hosted.join(found, F.col("host") == F.col("_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "host", "template", "outer")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -50,6 +50,15 @@ def test_copies_are_not_a_template(spark):
     assert {r["text"] for r in html_extract.op8(pages(spark, rows)).collect()} == {"Head & line The same story Two parts here now"}
 
 
+def test_template_of_a_small_host_without_marks(spark):
+    page = "<div class=x><div class=y>Home Shop Contact</div></div><div class=z><p>Story {0}</p><p>{1}</p></div><div class=w>All rights with us</div>"
+    rows = [(k, f"http://h.example/{k}", page.format(k, "Told twice" if k < 2 else f"More {k}")) for k in range(4)]
+    rows += [(10 + k, f"http://two.example/{k}", page.format(k, "End")) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(4)] == ["Story 0 Told twice", "Story 1 Told twice", "Story 2 More 2", "Story 3 More 3"]
+    assert got[10] == "Home Shop Contact Story 0 End All rights with us"  # two pages are too few to tell
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
