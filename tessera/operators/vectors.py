@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one search; they are broadcast, so there is a bound.
+#: Queries of one block; a single block is broadcast, so there is a bound.
 MAX_QUERIES = 4096
+#: Parts of the vectors that are ranked on their own first.
+PARTS = 64
 #: Hits that a search over many ids fetches before it filters, in the lossy mode.
 OVERFETCH = 100
 
@@ -23,19 +25,24 @@ def with_norm(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", max_queries: int = MAX_QUERIES) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors of each query (query_id, query), by cosine to six places, ties by id.
 
-    Each vector is read once and scored against all queries, which are sent to it; more than max_queries are
-    refused, to be searched in blocks. Ranks are cut in two steps: within parts of the vectors, then over what is
+    Up to max_queries are sent to all vectors. More are dealt into hashed blocks of about that many, and each block
+    meets each part of the vectors. Ranks are cut in two steps: within parts of the vectors, then over what is
     left, so no query's scores meet in one task.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"search at most {max_queries} queries at a time")
+    blocks = -(-queries.count() // max_queries)
     known = with_norm(vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")))
     asked = with_norm(queries.select("query_id", F.col("query")), "query").withColumnRenamed("norm", "query_norm")
     cosine = F.round(dot("embedding", "query") / (F.col("norm") * F.col("query_norm")), 6)
-    scored = known.join(F.broadcast(asked), F.lit(True)).where("norm > 0 and query_norm > 0").select("query_id", "id", cosine.alias("score"))
-    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    known = known.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    if blocks <= 1:
+        both = known.join(F.broadcast(asked), F.lit(True))
+    else:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        both = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, ["block", "part"])
+    scored = both.where("norm > 0 and query_norm > 0").select("query_id", "id", "part", cosine.alias("score"))
     inner = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
-    few = scored.withColumn("part", part).withColumn("rank", F.row_number().over(inner)).where(F.col("rank") <= k)
+    few = scored.withColumn("rank", F.row_number().over(inner)).where(F.col("rank") <= k)
     outer = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return few.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -189,3 +189,20 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
         q = usage.ingest_new(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), "event_id", str(tmp_path / f"cp{_}"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_nearest_answers_more_queries_than_a_block_holds(spark, sf_dir):
+    from tessera.operators import vectors
+    from tessera.plans import search
+
+    known = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(60).cache()
+    asked = known.selectExpr("vec_id as query_id", "embedding as query")
+    want = sorted(map(tuple, vectors.nearest(known, asked, 3).collect()))
+    got = sorted(map(tuple, vectors.nearest(known, asked, 3, max_queries=7).collect()))
+    assert got == want and len(got) == 180
+    copies = spark.range(5000).selectExpr("id * 25 as vec_id", "array(1f, 2f) as embedding", "0 as label")
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="tessera-queries-")
+    copies.write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
+    assert search._queries(spark, path).count() == 5000
