@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a session on one machine (tests) gets a new folder; on a cluster it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -67,6 +72,12 @@ def ranked(df: DataFrame, key: list[str], order: list[str], rank: str, salts: in
     return numbered.join(starts, cond).select(*keep, (F.col("_start") + F.col("_row")).cast("long").alias(rank))
 
 
+def salted(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with table (one row per key): a key's rows are dealt into so many parts by a column of theirs."""
+    parts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [*on, "_salt"], how).drop("_salt")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
     return row[0], row[1]

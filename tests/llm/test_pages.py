@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import html_extract, url_filter
 
 KIND = "page_id long, url string, html string, host string, text string"
@@ -15,11 +17,97 @@ FRAME = (
 
 
 def test_article_only(spark):
-    rows = [(k, f"http://a.example/{k}", FRAME.format(f"Story {k}")) for k in range(30)]
-    rows += [(100 + k, f"http://few.example/{k}", FRAME.format(f"Story {k}")) for k in range(6)]
+    """What all pages of a host share inside a marked article stays, however many pages there are."""
+    rows = [(1000 * n + k, f"http://h{n}.example/{k}", FRAME.format(f"Story {k}")) for n in (1, 2, 3, 19, 20, 30) for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, rows)).collect()}
+    assert got == {i: f"Head & line Story {i % 1000} Two parts here now" for i, _, _ in rows}
+
+
+def test_names_of_parts(spark):
+    page = "<article><p>A</p><div class='{}'><p>B</p></div></article>"
+    kept = ["content-with-sidebar", "social-science", "has-ads", "adventure", "legal", "response-theory", "shareholder"]
+    gone = ["ad", "cookie-notice", "site-footer", "navBar", "ad-slot-3", "x comments", "sidebar_left", "AD"]
+    rows = [(k, f"http://n{k}.example/", page.format(c)) for k, c in enumerate(kept + gone)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == ["A B"] * len(kept) + ["A"] * len(gone)
+
+
+def test_frame_chooses_the_article(spark):
+    page = "<div class=top><p>Top story of the day</p></div><div class=body><article class=story><h1>T{0}</h1><p>Text {0}</p></article></div><div class=more>{1}</div>"
+    card = "<article class=card><p>Read also {}</p></article>"
+    rows = [(k, f"http://cards.example/{k}", page.format(k, "".join(card.format(f"{k}.{i}") for i in range(k % 3)))) for k in range(6)]
+    rows.append((50, "http://alone.example/", page.format(50, card.format(7))))
     got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, rows)).collect()}
-    assert all(got[k] == f"Story {k}" for k in range(30))  # what all pages share is the template's
-    assert all(got[100 + k] == f"Head & line Story {k} Two parts here now" for k in range(6))  # too few to tell
+    assert [got[k] for k in range(6)] == [f"T{k} Text {k}" for k in range(6)]
+    assert got[50] == "T50 Text 50 Read also 7"  # one page has no template
+
+
+def plain_texts(rows):
+    """The same deduction over dictionaries, host by host, with pages compared outright."""
+    parser = html_extract.Parser()
+    hosts, out = {}, {}
+    for i, host, page in rows:
+        hosts.setdefault(host, {})[page] = None
+    for host, found in hosts.items():
+        tokens = {p: parser.parse(p)[1] for p in found}
+        every = {t for own in tokens.values() for t in own}
+        vector = {t: tuple(tokens[p].get(t, [0])[0] for p in found) for t in every}
+        parent = {t: next((html_extract.ELEMENT, own[t][2]) for own in tokens.values() if t in own) for t in every}
+        parent = {t: up if up in every else (html_extract.MARKED, up[1]) for t, up in parent.items()}
+        need = max(3, -(-len(found) // 2))
+        classes = {}
+        for t in every:
+            if sum(n > 0 for n in vector[t]) >= need:
+                classes.setdefault(vector[t], set()).add(t)
+        ups = {}
+        for v, own in classes.items():
+            orders = {tuple(sorted(own, key=lambda t: tokens[p][t][1])) for p, n in zip(found, v) if n}
+            up = {vector[parent[t]] for t in own} - {v}
+            if len(orders) == 1 and len(up) <= 1 and any(k != html_extract.TEXT for k, _ in own):
+                ups[v] = up.pop() if up else None
+        nested = {v for v, up in ups.items() if up is None}
+        for _ in ups:
+            nested |= {v for v, up in ups.items() if up in nested}
+        texts = {t for v in nested for k, t in classes[v] if k == html_extract.TEXT}
+        frame = {t for v in nested if ups[v] is None for k, t in classes[v] if k == html_extract.MARKED}
+        for p in found:
+            marked, blocks = html_extract.slots(parser.parse(p)[0])
+            if marked:
+                blocks = [b for b in blocks if b[1] in frame] if any(b[1] in frame for b in blocks) else blocks
+            else:
+                blocks = [b for b in blocks if b[1] not in texts]
+            out[host, p] = " ".join(b[0] for b in blocks)
+    return [(i, out[host, page]) for i, host, page in rows]
+
+
+def random_page(rng):
+    parts = ["<div class=top><p>Welcome to us</p></div>", f"<div class=x><p>Part {rng.randrange(3)}</p><p>Own {rng.random()}</p></div>"]
+    if rng.random() < 0.6:
+        parts.append(f"<div class=box><p>Told by the {rng.choice('ab')}</p><span>{rng.choice(['same', 'other'])}</span></div>")
+    if rng.random() < 0.5:
+        parts.append("<section class=deep><div class=deeper><p>Deep one</p></div></section>")
+    if rng.random() < 0.3:
+        parts.append(f"<article class=story><p>Story {rng.randrange(9)}</p></article>")
+    if rng.random() < 0.3:
+        parts.append(f"<article class=card><p>Card {rng.randrange(9)}</p></article>")
+    if rng.random() < 0.3:
+        rng.shuffle(parts)
+    return "<html><body>" + "".join(parts) + "<div class=end>All rights with us</div></body></html>"
+
+
+def test_template_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for h in range(24):
+        for _ in range(rng.randrange(1, 12)):
+            rows.append((len(rows), f"h{h}.example", random_page(rng)))
+            if rng.random() < 0.1:
+                rows.append((len(rows), f"h{h}.example", rows[-1][2]))
+    fixed = "<div class=top><p>Welcome to us</p></div><div class=x><p>Own {0}</p></div><div class=box><p>Told by us</p></div><div class=end>All rights with us</div>"
+    rows += [(len(rows) + k, "fixed.example", fixed.format(k)) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, [(i, f"http://{h}/{i}", p) for i, h, p in rows])).collect()}
+    assert sorted(got.items()) == sorted(plain_texts(rows))
+    assert [got[i] for i, h, _ in rows if h == "fixed.example"] == [f"Own {k}" for k in range(5)]
 
 
 def test_single_pages_and_odd_rows(spark):
