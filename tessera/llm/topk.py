@@ -3,14 +3,15 @@
 A term is a dimension and a sign; its postings are the vectors whose component has that sign, its impact the
 component's size. A query's terms are its dimensions with its own signs, and only they can add to a score. A shard
 splits the query's terms by their bounds: the weakest ones whose bounds together stay below the k-th best score so
-far are non-essential. Vectors in no essential posting cannot enter the result and are never looked at; the others
+far are non-essential. Vectors in no essential posting cannot enter the result and are passed over; the others
 get their essential dimensions first, and each further group of dimensions only while the bound of what remains
-keeps them competitive. Shards' results are merged.
+keeps them competitive. The floor rises as results come in, and the split with it. Shards' results are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -24,96 +25,102 @@ K = 5
 SHARD, QUERIES = 4096, 2048
 #: Vectors scored outright to start with, from the strongest terms, and dimensions probed at a time.
 SEEDS, PROBE = 32, 8
+#: Candidates between two splits of the terms.
+BLOCK = 512
+#: The largest score, and more than the size of any inner product of doubles times 256.
+LAST, HUGE = 2**63 - 1, 10**699
 
 
 class Shard:
-    """The postings of candidate vectors, all of one length; ids ascend."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.top = np.maximum(np.stack([self.x.max(0), -self.x.min(0)]), 0)  # by sign: strongest impact of each dimension
-        strong = min(SEEDS, len(ids))
-        rank = np.argsort(self.x, axis=0, kind="stable")
+    """The postings of candidate vectors, all of one length; rows tell candidates apart, ids are what ties go by."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        self.rows, self.ids, self.x = rows, ids, x
+        self.top = np.maximum(np.stack([x.max(0), -x.min(0)]), 0)  # by sign: strongest impact of each dimension
+        strong = min(SEEDS, len(rows))
+        rank = np.argsort(x, axis=0, kind="stable")
         self.strong = np.stack([rank[::-1][:strong], rank[:strong]])  # by sign: vectors of strongest impact
-        self.posted = np.stack([self.x > 0, self.x < 0])  # by sign: the postings, as a bitmap
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best candidates, the query's own id left out; ties go to smaller ids."""
+    def search(self, row: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best candidates but the query's own row; ties go to smaller ids.
+
+        Candidates come in blocks, those of strongest impact first. After each block the floor is the k-th best score
+        so far, and the terms are split anew, so ever more vectors are passed over.
+        """
         sign = (q < 0).astype(np.int64)
         dims = np.arange(len(q))
         bound = np.abs(q) * self.top[sign, dims]
         order = np.argsort(bound, kind="stable")  # weakest first
         weak = np.cumsum(bound[order])
         seeds = np.unique(self.strong[sign[order[-4:]], :, order[-4:]])
-        seeds = seeds[self.ids[seeds] != query_id]
-        first = np.sort(self.x[seeds] @ q)
-        floor = first[-k] if len(first) >= k else -np.inf
-        essential = order[np.searchsorted(weak, floor, "left") :] if floor > 0 else order
-        rest = order[: len(order) - len(essential)][::-1]  # strongest first
-        found = self.posted[sign[essential], :, essential].any(0) if floor > 0 else np.ones(len(self.ids), bool)
-        found &= self.ids != query_id
-        at = np.flatnonzero(found)
-        score = self.x[np.ix_(at, essential)] @ q[essential]
-        for i in range(0, len(rest), PROBE):
-            left = bound[rest[i:]].sum()
-            live = score + left >= floor
-            at, score = at[live], score[live]
-            own = rest[i : i + PROBE]
-            score = score + self.x[np.ix_(at, own)] @ q[own]
-        best = np.lexsort((self.ids[at], -score))[:k]
-        return [(int(self.ids[at[b]]), int(score[b])) for b in best]
-
-
-def _exact(*parts: np.ndarray) -> bool:
-    """Whether inner products of integers this large stay exact in double precision."""
-    return float(np.prod([float(np.abs(p).max(initial=0)) for p in parts])) * parts[0].shape[1] < 2**53
+        others = np.delete(np.arange(len(self.rows)), seeds)
+        best: list[tuple[int, int]] = []
+        for block in [seeds, *(others[i : i + BLOCK] for i in range(0, len(others), BLOCK))]:
+            at = block[self.rows[block] != row]
+            floor = -best[-1][0] if len(best) == k else None
+            split = int(np.searchsorted(weak, floor, "left")) if floor is not None and floor > 0 else 0
+            essential, rest = order[split:], order[:split][::-1]  # the rest strongest first
+            if split:  # who is in no essential posting scores less than the floor
+                at = at[(self.x[np.ix_(at, essential)] * (1 - 2 * sign[essential]) > 0).any(1)]
+            score = self.x[np.ix_(at, essential)] @ q[essential]
+            for i in range(0, len(rest), PROBE):
+                live = score + bound[rest[i:]].sum() >= floor
+                at, own = at[live], rest[i : i + PROBE]
+                score = score[live] + self.x[np.ix_(at, own)] @ q[own]
+            if floor is not None:
+                at, score = at[score >= floor], score[score >= floor]
+            best = sorted(best + [(-int(s), int(i)) for s, i in zip(score, self.ids[at])])[:k]
+        return [(i, -s) for s, i in best]
+
+
+def _whole(vectors: list) -> np.ndarray:
+    """floor(256 x) of vectors of one length: as doubles where their inner products stay exact in these, else as Python's integers."""
+    raw = np.stack(vectors).astype(np.float64)
+    top = float(np.abs(raw).max(initial=0)) + 1
+    if (256 * top) ** 2 * raw.shape[1] < 2**53:
+        return np.floor(256 * raw)
+    return np.array([[math.floor(256 * Fraction(c)) for c in v] for v in raw.tolist()], dtype=object)
 
 
 def _search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Queries (left) against one shard (right)."""
-    out: list[tuple[int, int, int]] = []
-    for dim in left["x"].map(len).unique():
-        queries, rows = left[left["x"].map(len) == dim], right[right["x"].map(len) == dim]
+    out: list[tuple[int, int, int, int, float]] = []
+    for dim in left["x"].map(len).unique() if len(left) and len(right) else ():
+        queries, rows = left[left["x"].map(len) == dim], right[right["other_x"].map(len) == dim]
         if not len(rows):
             continue
-        q, x = np.stack(queries["x"].to_list()), np.stack(rows["x"].to_list())
-        kind = np.float64 if _exact(q, x) else object
-        shard = Shard(rows["id"].to_numpy(), x.astype(kind)) if kind is np.float64 else None
-        for query_id, vector in zip(queries["id"].tolist(), q):
-            if shard is not None:
-                best = shard.search(query_id, vector.astype(kind), K)
-            else:  # too large for doubles: whole numbers, one by one
-                scores = x.astype(object) @ vector.astype(object)
-                best = sorted(((-s, i) for s, i in zip(scores, rows["id"].tolist()) if i != query_id))[:K]
-                best = [(i, -s) for s, i in best]
-            out += [(query_id, i, s) for i, s in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        both = _whole([*queries["x"], *rows["other_x"]])
+        q, shard = both[: len(queries)], Shard(rows["other_row"].to_numpy(), rows["other_id"].to_numpy(), both[len(queries) :])
+        for row, query_id, vector in zip(queries["row"].tolist(), queries["id"].tolist(), q):
+            # scores beyond 64 bits are given as the ends of that range, but still come in their order
+            out += [(row, query_id, i, min(max(s, -LAST), LAST), f"{s + HUGE:0700d}" if abs(s) > LAST else "") for i, s in shard.search(row, vector, K)]
+    return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "beyond"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64", "beyond": "object"})
 
 
 def top_k(vectors: DataFrame, every: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the K best of all other rows for each row whose id is divisible by every.
 
     Components are floor(256 x). Rows with a null id or vector, or with null or non-finite components, and empty
-    vectors take no part; vectors meet only those of their own length. Rows that share an id count once, with the
-    greatest of their vectors. A query with fewer than K others gets them all; an empty table gives an empty result.
+    vectors take no part; vectors meet only those of their own length. Rows that share an id are separate: each is
+    a candidate for all rows but itself, and each is a query of its own, so its query_id has K rows for each. A query
+    with fewer than K others gets them all; an empty table gives an empty result. Scores beyond 64 bits are ranked by
+    their true values and given as the ends of the range. Other columns, whatever their names, are not read.
     Queries meet all rows in blocks: each pair of a query block and a shard is one task's work, of bounded size.
     """
     finite = F.forall(vec_col, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     usable = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite
-    scaled = F.transform(vec_col, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
-    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), scaled.alias("x"))
-    rows = materialize(rows.groupBy("id").agg(F.max("x").alias("x")), "vectors")
+    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("x"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_query = F.col("id") % every == 0
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     shards, blocks = -(-size["n"] // SHARD) or 1, -(-size["q"] // QUERIES) or 1
-    queries = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    queries = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    others = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    others = rows.select(*(F.col(c).alias(f"other_{c}") for c in rows.columns)).withColumn("shard", F.pmod(F.xxhash64("other_row"), F.lit(shards)).cast("int"))
     others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = "query_id long, vec_id long, score long"
+    schema = "row long, query_id long, vec_id long, score long, beyond string"
     near = queries.groupBy("block", "shard").cogroup(others.groupBy("block", "shard")).applyInPandas(_search_block, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
 
@@ -123,13 +130,12 @@ def op5(vectors: DataFrame) -> DataFrame:
 
 OP5_SQL = """
     with v as (
-      select vec_id as id, max(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as x
+      select row_number() over () as n, vec_id as id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
       from embeddings
       where vec_id is not null and embedding is not null and len(embedding) > 0
-        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-      group by vec_id),
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     s as (
-      select q.id as query_id, c.id as vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
-      from v q, v c where q.id % 50 = 0 and q.id <> c.id and len(q.x) = len(c.x)),
-    r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+      select q.n, q.id as query_id, c.id as vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+      from v q, v c where q.id % 50 = 0 and q.n <> c.n and len(q.x) = len(c.x)),
+    r as (select query_id, cast(row_number() over (partition by n order by score desc, vec_id) as integer) as rank, vec_id, score from s)
     select query_id, rank, vec_id, score from r where rank <= 5"""

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 
 from tessera.llm import embedding_dedup, topk
@@ -70,24 +73,39 @@ def test_recall_at_the_threshold():
 
 
 def brute_top(rows, every):
-    best = {}
-    for i, v in rows:
-        if i is not None and usable(v):
-            x = [int(np.floor(256.0 * float(np.float32(c)))) for c in v]
-            best[i] = max(best.get(i, x), x)
+    found = [(i, [math.floor(256 * Fraction(float(np.float32(c)))) for c in v]) for i, v in rows if i is not None and usable(v)]
     out = []
-    for q, x in best.items():
+    for n, (q, x) in enumerate(found):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in best.items() if i != q and len(x) == len(y))
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(found) if m != n and len(x) == len(y))
+            out += [(q, r, i, max(min(-s, 2**63 - 1), 1 - 2**63)) for r, (s, i) in enumerate(scored[:5], 1)]
     return sorted(out)
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "BLOCK", 9)
     rows = planted(300, 24, 9) + [(1000 + k, [0.5] * 24) for k in range(40)]  # ties
+    rows += [(10, rows[10][1]), (10, rows[50][1]), (10, rows[50][1]), (20, [float("inf")] * 24)]  # ids that occur more than once
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table(spark, rows), 10).collect())
     assert got == brute_top(rows, 10)
     assert topk.op5(table(spark, [])).count() == 0
     assert topk.op5(table(spark, [(0, [1.0])])).count() == 0
+
+
+def test_top_k_of_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, (rng.standard_normal(4) * 10.0 ** (k % 3 * 15)).tolist()) for k in range(60)]
+    rows += [(k, [3.0e38 * s, 2.0**62, 0.0, -1.0]) for k, s in zip(range(60, 70), (1, -1, 1, 0.5, -0.5, 1, 0.9, 0.8, 0.7, 0.6))]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table(spark, rows), 10).collect())
+    assert got == brute_top(rows, 10)
+
+
+def test_top_k_sql_with_repeated_ids(spark, duck, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(k % 130, rng.standard_normal(8).astype(np.float32).tolist()) for k in range(260)] + [(50, None), (None, [1.0] * 8)]
+    table(spark, rows).write.parquet(f"{tmp_path}/e")
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    got = sorted(tuple(r) for r in topk.op5(spark.read.parquet(f"{tmp_path}/e")).collect())
+    assert got == sorted(duck.sql(topk.OP5_SQL).fetchall()) and len(got) == 3 * 2 * 5
