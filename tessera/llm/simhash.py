@@ -1,11 +1,12 @@
 """SimHash near-duplicates by an inverted index on byte positions.
 
 A fingerprint has eight positional bytes. Two fingerprints that differ in at most two bits differ in at most
-two bytes, so they share at least six positional bytes. Single (position, byte) postings would each hold a
-256th of the corpus; the index therefore posts a fingerprint under four of its bytes at once: the positions
-form four pairs, and six shared bytes leave at least two pairs whole, so one of the six choices of two pairs
-is a key that both sides share. Pairs from a posting are tallied over all eight positions, kept from six shared
-bytes on (the guaranteed minimum), and verified by their differing bits.
+two bytes, so they share at least six positional bytes: the guaranteed minimum. A single (position, byte) posting
+would hold a 256th of the corpus, so postings are split by further bytes: a fingerprint is posted under fourteen
+sets of four positions, chosen so that any six shared positions are covered by the sets among them. A posting that
+is still hot is split once more, by two further bytes. All pairs that meet in a posting are tallied: the shared
+positions of their postings add up to all that they share if that is six or more, and to fewer than six otherwise.
+Pairs with six shared positions are retained and verified by their differing bits.
 
 Links by similarity (the Jaccard index of sets of word shingles) need a wider fingerprint: at 0.8 about 15 of 100
 bits differ, so no choice of bytes is sure to be shared. The shingles are dealt by their hashes into groups, about
@@ -17,21 +18,27 @@ verified by their sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, least_names, materialize
+from tessera.llm.common import components, least_names, materialize, spread_join
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Postings with more fingerprints than this are linked through one-bit neighbours instead of pairs.
-PAIRED_POSTING = 64
+#: Sets of four of eight positions. Any three positions lie in one set, so of six shared positions each lies in one with three others of them.
+SETS = (
+    (0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 2, 4, 6), (0, 2, 5, 7), (0, 3, 4, 7), (0, 3, 5, 6),
+    (4, 5, 6, 7), (2, 3, 6, 7), (2, 3, 4, 5), (1, 3, 5, 7), (1, 3, 4, 6), (1, 2, 5, 6), (1, 2, 4, 7),
+)
+#: A posting with more fingerprints is split by two further bytes; then at most 2^16 can be in it.
+HOT = 64
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 16
 #: Positional words of a wide fingerprint that are posted, a power of two.
@@ -72,11 +79,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(run, "id long, same long, fp long")
 
 
-def _words(fp: str) -> list:
-    """The four 16-bit pairs of positional bytes, from the highest."""
-    return [F.shiftrightunsigned(F.col(fp), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-
-
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
     """The distinct XXH64 hashes of a text's word shingles, ascending; none for null, empty and blank texts."""
     words = (text or b"").lower().split()
@@ -177,41 +179,39 @@ def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col
     return stars.union(_similar(pairs, sets, similarity))
 
 
+def _key(fp: str, positions: tuple[int, ...]) -> Column:
+    """The bytes of a fingerprint at some positions, the others zero."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def _postings(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """rows (fp, ...) once for each set of positions, with those as a bit mask and the bytes there as the key."""
+    posted = [F.struct(F.lit(sum(1 << p for p in s)).alias("positions"), _key("fp", s).alias("key")) for s in sets]
+    return rows.withColumn("_p", F.explode(F.array(*posted))).select(*rows.columns, "_p.positions", "_p.key")
+
+
 def links(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints at most MAX_BITS apart; u and v are fingerprints; classes: (fp), distinct.
+    """Edges (u, v) of all fingerprints at most MAX_BITS apart; classes: (fp), distinct.
 
-    Postings of up to PAIRED_POSTING fingerprints give their verified pairs. In larger ones all members agree in
-    four bytes; members that share a word at most one bit away from their other four bytes are at most two bits
-    apart, and any two that are at most two bits apart share such a word. A word has at most 33 members, so
-    each is linked to its smallest: linear in the posting, exact, without its pairs.
+    What meets in a posting agrees in four or six bytes, so however many fingerprints there are, chance meetings
+    are few; members of a hot posting meet again only where they share two bytes more. Of these at least 2^48
+    different keys none can hold more than 2^16 fingerprints.
     """
-    sets = list(combinations(range(4), 2))
-    w = _words("fp")
-    keyed = [
-        F.struct(
-            F.lit(i).alias("part"),
-            F.shiftleft(w[a], 16).bitwiseOR(w[b]).alias("key"),
-            F.shiftleft(w[rest[0]], 16).bitwiseOR(w[rest[1]]).alias("other"),
-        )
-        for i, (a, b) in enumerate(sets)
-        for rest in [[x for x in range(4) if x not in (a, b)]]
-    ]
-    index = classes.select("fp", F.explode(F.array(*keyed)).alias("k")).select("fp", "k.part", "k.key", "k.other")
-    sizes = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = materialize(index.join(sizes, ["part", "key"]), "postings")
-
-    small = index.where(F.col("n") <= PAIRED_POSTING)
-    a = small.select("part", "key", F.col("fp").alias("u"))
-    b = small.select("part", "key", F.col("fp").alias("v"))
-    diff = F.col("u").bitwiseXOR(F.col("v"))
-    shared = sum((F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8))
-    pairs = a.join(b, ["part", "key"]).where("u < v").where(shared >= 8 - MAX_BITS).where(F.bit_count(diff) <= MAX_BITS).select("u", "v")
-
-    near = F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda i: F.when(i < 0, F.col("other")).otherwise(F.col("other").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.when(i < 0, 0).otherwise(i)))))
-    large = index.where(F.col("n") > PAIRED_POSTING).select("part", "key", "fp", F.explode(near).alias("word"))
-    first = F.min("fp").over(Window.partitionBy("part", "key", "word"))
-    stars = large.select(F.col("fp").alias("u"), first.alias("v")).where("u <> v")
-    return pairs.union(stars).distinct()
+    posted = _postings(classes.select("fp"), list(SETS))
+    sizes = posted.groupBy("positions", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    posted = materialize(posted.join(sizes, ["positions", "key"]), "postings")
+    hot, split = posted.where(F.col("n") > HOT), []
+    for s in SETS:
+        wider = [tuple(sorted((*s, *more))) for more in combinations(sorted(set(range(8)) - set(s)), 2)]
+        split.append(_postings(hot.where(F.col("positions") == sum(1 << p for p in s)).select("fp"), wider))
+    met = posted.where(F.col("n") <= HOT).select("fp", "positions", "key")
+    if not hot.isEmpty():
+        met = met.union(reduce(DataFrame.union, split).select("fp", "positions", "key").distinct())
+    pairs = met.select("positions", "key", F.col("fp").alias("u")).join(met.select("positions", "key", F.col("fp").alias("v")), ["positions", "key"]).where("u < v")
+    tally = pairs.groupBy("u", "v").agg(F.bit_count(F.bit_or("positions")).alias("shared"))
+    retained = tally.where(F.col("shared") >= 8 - MAX_BITS)
+    return retained.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
 
 
 def labelled(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    return prints.join(labelled(prints), "fp").select("id", "fp", "component_id")
+    return spread_join(prints, labelled(prints).select("fp", "component_id"), "fp", ["id", "same"]).select("id", "fp", "component_id")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -38,7 +38,7 @@ def brute(rows):
 
 
 def test_against_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRED_POSTING", 3)  # so that both ways of linking are used
+    monkeypatch.setattr(simhash, "HOT", 3)  # so that postings are split further
     rng = random.Random(3)
     words = [f"w{k}" for k in range(300)]
     base = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
@@ -55,6 +55,30 @@ def test_against_brute_force(spark, docs, monkeypatch):
     assert got == brute(rows)
 
 
+def test_tally_of_shared_positions():
+    """Sets among six or more shared positions add up to these; among fewer they stay below six."""
+    for n in range(9):
+        for shared in itertools.combinations(range(8), n):
+            met = set().union(*(s for s in simhash.SETS if set(s) <= set(shared)))
+            assert met == set(shared) if n >= 6 else len(met) < 6
+
+
+def test_links_of_planted_fingerprints(spark, monkeypatch):
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(100)}
+    for base in list(prints)[:20]:
+        prints |= {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(6)}
+        prints |= {base ^ rng.getrandbits(16) << 8 * rng.randrange(7) for _ in range(6)}
+    dense = rng.getrandbits(64)
+    prints |= {dense ^ (b & 15) ^ (b >> 4) << 40 for b in range(256)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    for hot in (1 << 20, 16):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+        assert len(found) == len(want) and {(r["u"], r["v"]) for r in found} == want
+
+
 def test_long_text_and_empty_table(spark, docs):
     long = " ".join(f"w{k % 977}" for k in range(70_000))
     assert simhash.fingerprint(long.encode()) % (1 << 64) == plain_print(long)
