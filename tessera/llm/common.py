@@ -78,21 +78,22 @@ def salted(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str =
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [*on, "_salt"], how).drop("_salt")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: str, by: list[str], how: str = "inner", share: int = 2048) -> DataFrame:
-    """rows joined with table (one row per key) where one key may hold many of the rows.
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], how: str = "inner", share: int = 2048) -> DataFrame:
+    """rows joined with table (one row per key) where one key may hold many of the rows. Hot keys are told by the first column of on.
 
     A key with more than a 2048th of all rows has its rows dealt into parts by other columns of theirs; there can be
     at most that many such keys, so their list is small whatever the table's size.
     """
-    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    first = on[0]
+    counts = rows.where(F.col(first).isNotNull()).groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    heavy = materialize(counts.where(F.col("_n") > max(total // share, 8)).select(F.col(on).alias("_heavy")), "heavy")
+    heavy = materialize(counts.where(F.col("_n") > max(total // share, 8)).select(F.col(first).alias("_heavy")), "heavy")
     few = F.broadcast(heavy)  # at most `share` keys
-    dealt = rows.join(few, F.col(on) == F.col("_heavy"), "left")
+    dealt = rows.join(few, F.col(first) == F.col("_heavy"), "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(256))).otherwise(0).cast("int")).drop("_heavy")
-    parts = table.join(few, F.col(on) == F.col("_heavy"), "left")
+    parts = table.join(few, F.col(first) == F.col("_heavy"), "left")
     parts = parts.withColumn("_salt", F.explode(F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(255))).otherwise(F.array(F.lit(0))))).drop("_heavy")
-    return dealt.join(parts, [on, "_salt"], how).drop("_salt")
+    return dealt.join(parts, [*on, "_salt"], how).drop("_salt")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -139,4 +140,4 @@ def least_names(classes: DataFrame, node: str, first: str, edges: DataFrame) ->
     """(node, component, name) for each node with edges (u, v): the least `first` of its component, null if none has any."""
     found = materialize(components(edges), "components")
     names = found.join(classes.select(F.col(node).alias("node"), first), "node").groupBy("component").agg(F.min(first).alias("name"))
-    return found.join(names, "component").select("node", "component", "name")
+    return spread_join(found, names, ["component"], ["node"]).select("node", "component", "name")

@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    return spread_join(prints, labelled(prints).select("fp", "component_id"), "fp", ["id", "same"]).select("id", "fp", "component_id")
+    return spread_join(prints, labelled(prints).select("fp", "component_id"), ["fp"], ["id", "same"]).select("id", "fp", "component_id")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -51,25 +51,38 @@ def brute_links(rows):
 
 def test_links_against_brute_force(spark, monkeypatch):
     rows = planted()
-    for block in (1024, 4):
+    for block, small in ((1024, 64), (4, 3)):
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "SMALL", small)
         got = embedding_dedup.op3(table(spark, rows)).collect()
         assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == brute_links(rows)
     assert embedding_dedup.op3(table(spark, [])).count() == 0
 
 
-def test_recall_at_the_threshold():
+def test_recall_at_the_threshold(spark):
+    """Pairs at cosine 0.9, and no other links: at least nine in ten are found."""
     rng = np.random.default_rng(8)
-    hit = 0
-    for _ in range(300):
+    rows = []
+    for k in range(1500):
         a = rng.standard_normal(64)
         a /= np.linalg.norm(a)
         b = rng.standard_normal(64)
         b -= (b @ a) * a
         b /= np.linalg.norm(b)
-        keys = embedding_dedup.bucket_keys(np.stack([a, 0.91 * a + np.sqrt(1 - 0.91**2) * b]))
-        hit += bool((keys[0] == keys[1]).any())
-    assert hit >= 0.9 * 300
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (0.90001 * a + np.sqrt(1 - 0.90001**2) * b).tolist())]
+    got = {r["vec_id"]: r for r in embedding_dedup.op3(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    hits = [got[2 * k]["n_links"] == 1 for k in range(1500)]
+    assert np.mean(hits) >= 0.9
+    assert all(got[2 * k + 1]["component_id"] == (2 * k if hit else 2 * k + 1) for k, hit in enumerate(hits))
+
+
+def test_links_with_names_used_inside(spark):
+    rows = [(k, [1.0, float(k % 3)], "x") for k in range(9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string")
+    for name in ("rep", "h", "first", "_salt"):
+        table = table.withColumn(name, table["id"])
+    out = embedding_dedup.op3(table).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in out] == [5 if k % 3 else 2 for k in range(9)]
 
 
 def brute_top(rows, every):
