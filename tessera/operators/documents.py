@@ -25,7 +25,7 @@ def write(parts: DataFrame, chat: Chat) -> DataFrame:
         for row in frame.sort_values("part").itertuples():
             before = done[-1][-TAIL:] if done else ""
             done.append(citations.to_places(chat(f"{before}\n\n{row.prompt}" if before else row.prompt), list(row.ids)))
-        text, order = citations.assemble(done)
+        text, order = citations.assemble(done, {i for ids in frame["ids"] for i in ids})
         return pd.DataFrame([{"document": frame["document"].iloc[0], "markdown": text, "sources": order}])
 
     kind = dict(parts.dtypes)["document"]
@@ -33,15 +33,21 @@ def write(parts: DataFrame, chat: Chat) -> DataFrame:
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """(document, markdown, sources) of parts (document, part, text) with place marks."""
+    """(document, markdown, sources) of parts (document, part, text, ids) with place marks; ids are the sources a part was given.
+
+    Marked ids that no part of the document was given are left out. Without a column ids all of them count.
+    """
+    given = "ids" in parts.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [citations.assemble(list(t)) for t in frame["texts"]]
+            found = [citations.assemble(list(t), set(i) if given else None) for t, i in zip(frame["texts"], frame["ids"])]
             yield pd.DataFrame({"document": frame["document"], "markdown": [f[0] for f in found], "sources": [f[1] for f in found]})
 
     from pyspark.sql import functions as F
 
     kind = dict(parts.dtypes)["document"]
-    listed = parts.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p")).select("document", F.transform("p", lambda x: x["text"]).alias("texts"))
+    ids = F.flatten(F.collect_list("ids")) if given else F.array().cast("array<string>")
+    listed = parts.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"), ids.alias("ids"))
+    listed = listed.select("document", F.transform("p", lambda x: x["text"]).alias("texts"), "ids")
     return listed.mapInPandas(run, f"document {kind}, markdown string, sources array<string>")

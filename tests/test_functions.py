@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import refs
+from tessera.functions import refs, replies
 from tessera.functions import text as tx
 from tessera.operators import catalog, citations, lifecycle, providers, retrieval, vectors
 from tessera.operators.folds import greedy_parts
@@ -70,13 +70,47 @@ def test_text_goldens(spark):
     assert value(spark, tx.token_hash(F.lit("abc"))) == "ungWv48Bz-pBQUDeXa4iI7ADYaOWF3qctBD_YfIAFa0"
     assert value(spark, tx.parse_list(F.lit('["a", 3, "b"]'))) == ["a", "b"]
     assert value(spark, tx.parse_list(F.lit("nope"))) == []
-    assert value(spark, tx.markdown_citations(F.lit("a [2] b [1, 3] c [4-6] d [1-40]"))) == [2, 1, 3, 4, 5, 6]
+    assert value(spark, tx.markdown_citations(F.lit("a [2] b [1, 3] c [4-6] d [1-40] e [9-2] f[x]"))) == [2, 1, 3, 4, 5, 6, 1, 9]
     assert value(spark, tx.local_slot(F.lit("2026-09-27 14:00:00").cast("timestamp"), "America/Chicago")).asDict() == {"slot": "2026-09-27T09", "weekday": 0, "hour": 9}
     assert str(value(spark, tx.publication_time(F.lit("Sun, 14 Sep 2026 15:00:00 GMT")))) == "2026-09-14 15:00:00"
     assert value(spark, tx.publication_time(F.lit("soon"))) is None
     assert value(spark, tx.fit_effort(F.lit("high"), F.array(F.lit("low"), F.lit("medium")), ["low", "medium", "high"])) == "medium"
 
 
+def test_more_text_goldens(spark):
+    def each(f, *texts):
+        return [value(spark, f(F.lit(t).cast("string") if not isinstance(t, (int, float)) else F.lit(t))) for t in texts]
+
+    assert each(tx.normalize_reference, "Topical", "no main passage", "undefined", "N/A", " . ", "a. .", "John 3;,.") == [None, None, "undefined", None, None, "a.", "John 3"]
+    assert value(spark, tx.same_reference(F.lit("John 3:16."), F.lit("John 3:16"))) is False
+    assert value(spark, tx.same_reference(F.lit("topical"), F.lit("Topical"))) is True
+    assert value(spark, tx.same_reference(F.lit(""), F.lit(""))) is False
+    assert each(tx.duration_seconds, "1::2", "59:30.5", "1e2", "-5", "1:-2", " 12 ", ":", "1:2:3:4", "12d") == [3602.0, 3570.5, 100.0, None, None, 12.0, 0.0, None, None]
+    assert each(tx.human_bytes, 0, 1, 1536, 1_048_575, 1_048_576, 1_310_720, 52_428_800) == ["1 KB", "1 KB", "2 KB", "1024 KB", "1.0 MB", "1.3 MB", "50.0 MB"]
+    ages = [value(spark, tx.ago(F.lit(x).cast("long"))) for x in (None, -5, 44, 45, 240, 3599, 3600, 172_799, 172_800)]
+    assert ages == ["never", "just now", "just now", "1 min ago", "4 min ago", "60 min ago", "1 h ago", "48 h ago", "2 days ago"]
+    kinds = [("https://h.example/x.opus", None), ("https://h.example/x.MP4?a=.wav", None), ("https://h.example/x.flac", "audio/flac"), ("https://h.example/x", "audio/ogg; x"), ("https://h.opus", "text/html")]
+    assert [value(spark, tx.audio_extension(F.lit(u), F.lit(t).cast("string"))) for u, t in kinds] == ["opus", "mp4", "mp3", "ogg", "mp3"]
+    assert each(tx.slug, "Élan Vital — Ça va!", "", "ﬀ", "x" * 90) == ["elan-vital-ca-va", "untitled", "untitled", "x" * 80]
+    assert each(tx.bare_name, "Rev. Dr. Jo  Li", "Pastor", "elder", "Doctor Who", "unclear") == ["Jo Li", "Pastor", "elder", "Who", None]
+    assert each(replies.unfence, "```md\nA\n```\n", "```\n\n```", "```python\nx\n```", "a\n```", "``` \n  b\n c\n```") == ["A", "", "```python\nx\n```", "a\n```", "b\n c"]
+    titles = [tuple(value(spark, replies.split_title(F.lit(t), "none"))) for t in ("# On *Hope* ##\n\nBody", "#\n\nLate\nx", "## Two", "no", "#x", "# Only")]
+    assert titles == [("On Hope", "Body"), ("Late", "x"), ("none", "## Two"), ("none", "no"), ("none", "#x"), ("Only", "")]
+    assert each(lambda t: replies.as_part(t, F.lit("H")), "## A\nb", "# A", "### A", "text") == ["## A\nb", "## A", "## H\n\n### A", "## H\n\ntext"]
+
+
+def test_more_references(spark):
+    def found(text):
+        return [(refs.BOOKS[m["book"] - 1][1], m["chapter"], m["first"], m["last"]) for m in value(spark, refs.mentions(F.lit(text)))]
+
+    assert found("faith 1 john 4 2 Peter 3") == [("1 John", 4, None, None), ("2 Peter", 3, None, None)]
+    assert found("1 Genesis 3; Song of Songs 2:1-3, IIJohn 1:5") == [("Genesis", 3, None, None), ("Song of Solomon", 2, 1, 3), ("2 John", 1, 5, 5)]
+    assert found("xjohn 3, john3, Ps. 23:4–2") == [("Psalms", 23, 4, 4)]
+    for typed, want in [("iii john 1:2", (64, 1, 2)), ("Isaiah 53", None), ("John 3:16-4:2", (43, 3, 16)), ("John . 3", None), ("John 3-", None), ("Philem 1", (57, 1, None)), ("mark 1:2:3", None)]:
+        got = value(spark, refs.parse_reference(F.lit(typed)))
+        assert (None if got is None else tuple(got)) == want, typed
+
+
 def test_search_ignores_ascii_case_only(spark):
     rows = spark.createDataFrame([("Élan",), ("élan 100%",)], "t string")
     assert catalog.keyword_search(rows, ["t"], "ÉLAN").count() == 1
@@ -111,6 +145,9 @@ def test_citations():
     joined, order = citations.assemble([text, citations.to_places("D [1] [2].", ["p3", "p4"])])
     assert joined == "A [1]. B [2, 1] and [2, 1]. C.\n\nD [3] [4]."
     assert order == ["p2", "p1", "p3", "p4"]
+    assert citations.cited("1-30, 9-2, 3, 3-4") == [1, 9, 3, 4]
+    assert citations.to_places("A [1, 1-2] b [9].", ["p1", "p2"]) == "A ⟦p1|p2⟧ b."
+    assert citations.assemble([" x ⟦a|zz⟧ ", "y ⟦zz⟧ ⟦b⟧"], {"a", "b"}) == ("x [1]\n\ny [] [2]", ["a", "b"])
 
 
 def test_feed(spark):
