@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,28 @@ def greedy_parts(sizes: list[int], cap: int, between: int = 0, each: int = 0) ->
     return out
 
 
+def running(rows: DataFrame, key: list[str], order: list[str], schema: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
+    """One output row for each row, from a fold over each key's rows in order.
+
+    start() gives a function with a fresh state for a key; called with a row's values it returns the output. Rows
+    come sorted in Arrow batches, so a key of any size needs its state in memory and no more.
+    """
+    kinds = rows.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, step = None, None
+        for batch in batches:
+            out = []
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                if step is None or values[: len(key)] != known:
+                    known, step = values[: len(key)], start()
+                out.append(step(*values))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(kinds)], names=kinds.names)
+
+    rest = [c for c in rows.columns if c not in key]
+    return rows.select(*key, *rest).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
 def pack_greedy(rows: DataFrame, sizes: str, cap: int, between: int = 0, each: int = 0, out: str = "parts") -> DataFrame:
     """Adds an array of part numbers to rows that each hold one sequence's sizes; one pass over each array."""
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -80,14 +102,21 @@ def first_fit(rows: DataFrame, group: list[str], order: list[str], item: str, si
     return listed.select(*group, F.explode(F.aggregate("_list", start, step)["kept"]).alias(item))
 
 
-def merge_runs(rows: DataFrame, group: list[str], seq: str, cap: int, text: str) -> DataFrame:
-    """(group, run, first, last, n, text): consecutive numbers joined, at most cap to a run; the first row gives metadata."""
+def merge_runs(rows: DataFrame, group: list[str], seq: str, cap: int, text: str, kind: str | None = None, carried: list[str] | None = None, best: str | None = None) -> DataFrame:
+    """(group, first, last, n, text, carried): consecutive numbers joined, at most cap to a run.
+
+    Given a kind column, only 'transcript' rows join; any other stands alone. The columns carried are the first
+    row's; given a column best, its least value is the run's `rank`.
+    """
     w = Window.partitionBy(*group).orderBy(seq)
-    island = rows.withColumn("_island", F.col(seq) - F.row_number().over(w))
+    joins = F.lit(True) if kind is None else F.col(kind) == "transcript"
+    follows = joins & F.lag(joins, 1, False).over(w) & (F.col(seq) == F.lag(seq).over(w) + 1)
+    island = rows.withColumn("_starts", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_starts").over(w))
     inside = Window.partitionBy(*group, "_island").orderBy(seq)
     runs = island.withColumn("_sub", F.floor((F.row_number().over(inside) - 1) / cap))
     joined = F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t")))), lambda x: x["t"]))
-    out = runs.groupBy(*group, "_island", "_sub").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count(F.lit(1)).alias("n"), joined.alias("text"))
+    kept = [F.min_by(c, seq).alias(c) for c in carried or []] + ([F.min(best).alias("rank")] if best else [])
+    out = runs.groupBy(*group, "_island", "_sub").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count(F.lit(1)).alias("n"), joined.alias("text"), *kept)
     return out.drop("_island", "_sub")
 
 

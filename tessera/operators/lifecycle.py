@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import folds
+
 #: Steps of a repeat, from the earliest.
 STEPS = ["transcribe", "rewrite", "summary", "index"]
 
@@ -124,7 +126,37 @@ def resolve(candidates: DataFrame, group: list[str], priority: str, allowed: str
     return candidates.where(allowed).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def unique_slugs(rows: DataFrame, slug: str, order: list[str]) -> DataFrame:
-    """rows with repeated slugs numbered from the second on."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return rows.withColumn(slug, F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
+def unique_slugs(rows: DataFrame, slug: str, order: list[str], reserved: tuple[str, ...] = (), most: int = 26) -> DataFrame:
+    """rows with each slug that is taken, or reserved, cut and counted from 2 until it is free; slugs are given in order.
+
+    Only slugs with one stem can get in each other's way, so each stem is a fold of its own. What it holds are the
+    last number given to each slug and the slugs that came with a number of their own.
+    """
+    schema = rows.schema
+    at = rows.columns.index(slug) + 1
+
+    def start():
+        taken: set[str] = set(reserved)
+        last: dict[str, int] = {}
+
+        def step(stem, *values):
+            wanted = values[at - 1]
+            if wanted not in taken and not given(wanted):
+                taken.add(wanted)
+                return values
+            base = wanted[:most]
+            n = last.get(base, 1) + 1
+            while f"{base}-{n}" in taken:
+                n += 1
+            last[base] = n
+            return *values[: at - 1], f"{base}-{n}", *values[at:]
+
+        def given(name: str) -> bool:
+            base, _, n = name.rpartition("-")
+            return n.isdigit() and not n.startswith("0") and 2 <= int(n) <= last.get(base, 1)
+
+        return step
+
+    stem = F.regexp_replace(F.substring(slug, 1, most), "(-[0-9]*)+$", "")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return folds.running(rows.select(stem.alias("_stem"), *rows.columns), ["_stem"], order, kinds, start)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import folds
@@ -22,24 +22,44 @@ class Limits:
         return max(4, self.before + self.after + 1)
 
 
-def sources(hits: DataFrame, chunks: DataFrame, limits: Limits = Limits(), doc: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """(doc, first, last, rank, n_chars, text, number): sources for one question's hits (doc, seq, rank).
+#: The most hits that a search fetches where some are to be skipped, and how many times the wanted ones it fetches then.
+MOST_FETCHED, FETCHED_TIMES = 100, 3
 
-    Chunks (doc, seq, text) beside a hit come with it; consecutive ones join into runs; a run has the rank of its
-    best hit; runs are kept in that order while they fit the budget, the first one always.
+
+def unskipped(found: DataFrame, skip: DataFrame | None, limits: Limits, by: list[str], doc: str = "doc_id") -> DataFrame:
+    """The first limits.hits of found (by, doc, ..., rank) whose documents are not in skip (by, doc), ranked anew.
+
+    found holds the best min(MOST_FETCHED, FETCHED_TIMES x hits) where there is something to skip, as fetched() says.
+    """
+    kept = found if skip is None else found.join(skip.select(*by, doc).distinct(), [*by, doc], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= limits.hits)
+
+
+def fetched(limits: Limits, skips: bool) -> int:
+    """How many hits to fetch so that enough are left."""
+    return min(MOST_FETCHED, FETCHED_TIMES * limits.hits) if skips else limits.hits
+
+
+def sources(hits: DataFrame, chunks: DataFrame, limits: Limits = Limits(), doc: str = "doc_id", seq: str = "seq", by: list[str] | None = None, kind: str | None = None) -> DataFrame:
+    """(by, doc, first, last, rank, n_chars, text, number): sources for each question's hits (by, doc, seq, rank).
+
+    Chunks (doc, seq, text) beside a hit come with it, from number 1 on and, given a kind, only transcript ones;
+    consecutive ones join into runs; a run has the rank of its best hit; runs are kept in that order while they fit
+    the budget, the first one always. Questions are told apart by the columns `by`; without them there is one.
     """
-    near = folds.neighbours(hits, chunks, [doc], seq, limits.before, limits.after)
-    marked = near.join(hits.select(doc, seq, F.col("rank").alias("_hit")), [doc, seq], "left")
-    w = Window.partitionBy(doc).orderBy(seq)
-    island = marked.withColumn("_island", F.col(seq) - F.row_number().over(w))
-    inside = Window.partitionBy(doc, "_island").orderBy(seq)
-    runs = island.withColumn("_sub", F.floor((F.row_number().over(inside) - 1) / limits.longest_run))
-    text = F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("text").alias("t")))), lambda x: x["t"]))
-    out = runs.groupBy(doc, "_island", "_sub").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.min("_hit").alias("rank"), text.alias("text"))
-    sized = out.drop("_island", "_sub").withColumn("n_chars", F.length("text"))
+    by = by or []
+    around = F.explode(F.sequence(F.greatest(F.lit(1), F.col(seq) - limits.before), F.greatest(F.lit(1), F.col(seq) + limits.after))).alias(seq)
+    near = hits.select(*by, doc, around).withColumn("_hit", F.lit(None).cast("int"))
+    wanted = near.unionByName(hits.select(*by, doc, seq, F.col("rank").cast("int").alias("_hit"))).groupBy(*by, doc, seq).agg(F.min("_hit").alias("_hit"))
+    marked = chunks.join(wanted, [doc, seq])
+    if kind is not None:
+        marked = marked.where(F.col("_hit").isNotNull() | (F.col(kind) == "transcript"))
+    out = folds.merge_runs(marked, [*by, doc], seq, limits.longest_run, "text", kind, best="_hit")
+    sized = out.withColumn("n_chars", F.length("text"))
     order = [F.asc_nulls_last("rank"), doc, "first"]
-    kept = folds.prefix_budget(sized, [], order, "n_chars", limits.max_chars)
-    return kept.withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    kept = folds.prefix_budget(sized, by, order, "n_chars", limits.max_chars)
+    return kept.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).drop("n")
 
 
 def hybrid(keyword: DataFrame, semantic: DataFrame, most: int = 12, key: str = "doc_id") -> DataFrame:
@@ -50,21 +70,41 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, most: int = 12, key: str = "
     return keyword.select(key, F.lit("keyword").alias("kind"), F.lit(None).cast("int").alias("rank")).union(fresh.select(key, F.lit("meaning"), ranked))
 
 
-def policy(n_docs: int, chars: int, limits: Limits, whole_budget: int, pinned_chars: int = 0, mode: str = "auto") -> str:
-    """How to answer: from pinned texts, from the whole scope, or by search."""
-    if pinned_chars and pinned_chars <= whole_budget:
-        return "pinned"
-    if mode != "search" and 1 <= n_docs <= 40 and chars <= whole_budget:
-        return "whole"
-    return "search"
+#: Documents that a scope may have to be sent whole.
+MAX_WHOLE = 40
+
 
+def policy(n_docs: Column, chars: Column, budget: Column, pinned_chars: Column | None = None, mode: Column | None = None) -> Column:
+    """(way, note): how to answer, and what to say where whole texts were asked for and do not fit.
+
+    Pinned texts go whole if they fit the budget, with the rest of the scope searched. A scope of 1 to MAX_WHOLE
+    documents that fits goes whole, unless the mode is 'search'. n_docs is null for a question without a scope.
+    """
+    pinned = F.coalesce(pinned_chars if pinned_chars is not None else F.lit(0), F.lit(0))
+    mode = F.coalesce(mode if mode is not None else F.lit("auto"), F.lit("auto"))
+    narrow = n_docs.between(1, MAX_WHOLE) & (mode != "search")
+    fits = F.coalesce(narrow & (chars <= budget), F.lit(False))
+    way = F.when((pinned > 0) & (pinned <= budget), "pinned").when(fits, "whole").otherwise("search")
+    note = F.when((way != "pinned") & (pinned > 0) & (way == "search"), "pinned texts too long")
+    note = F.coalesce(note, F.when((way == "search") & (mode == "full"), F.when(F.coalesce(narrow, F.lit(False)), "scope too long").otherwise("scope too wide")))
+    return F.struct(way.alias("way"), note.alias("note"))
 
-def numbered(groups: list[DataFrame], order: list[str]) -> DataFrame:
-    """Lists one after another, numbered from 1 without gaps."""
+
+def numbered(groups: list[DataFrame], order: list[str], parts: int = 64) -> DataFrame:
+    """Lists one after another, numbered from 1 without gaps.
+
+    Rows are sorted by ranges; each range is numbered on its own, from where the ranges before it end.
+    """
     out = groups[0].withColumn("_group", F.lit(0))
     for k, g in enumerate(groups[1:], 1):
         out = out.unionByName(g.withColumn("_group", F.lit(k)))
-    return out.withColumn("number", F.row_number().over(Window.orderBy("_group", *order))).drop("_group")
+    ranged = out.repartitionByRange(parts, "_group", *order).sortWithinPartitions("_group", *order)
+    # place within a range, and the range: both from the identifier that counts rows by partition
+    placed = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range, `parts` at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn("number", (F.col("_start") + F.col("_place") + 1).cast("int")).drop("_group", "_id", "_range", "_place", "_start")
 
 
 def stored(rows: DataFrame, text: str = "text", most: int = 600) -> DataFrame:

@@ -11,26 +11,53 @@ from tessera.session import table
 from tessera.sources import feeds
 
 
-@query("""select o_orderkey as feed, 'g-' || o_orderkey as guid, 'A & B ' || o_orderpriority as title, strftime(o_orderdate, '%Y-%m-%d') as day,
-    'https://cdn.example.org/' || o_orderkey || '.mp3?a=1&b=2' as audio_url, cast(2730 as integer) as duration_seconds, 'From John on ' || o_orderstatus as description from orders""")
+@query("""with o as (select o_orderkey as k, o_orderkey % 6 as v, 'https://cdn.example.org/' || o_orderkey || '.mp3?a=1&b=2' as sound, o_orderstatus as s, o_orderpriority as p, o_orderdate as d from orders)
+    select k as feed, case v when 1 then sound when 2 then 'https://h.example/' || k else 'g-' || k end as guid, case when v = 3 then 'Untitled episode' else 'A & B ' || p end as title,
+      case when v = 4 then null else strftime(d, '%Y-%m-%d') end as day, case when v <> 2 then sound end as audio_url,
+      case v when 0 then 2730.0 when 1 then k % 4000 when 2 then null when 3 then 3600 + k % 60 + 0.5 when 4 then null else (k % 60) * 60.0 end as duration_seconds,
+      case v when 5 then null when 2 then 'Sum ' || s when 3 then 'Sub <b>' || s else 'From John on ' || s end as description,
+      case v when 0 then 'Jo & ' || s when 1 then 'Dee ' || s when 2 then 'Ann' else null end as author
+    from o where v <> 5 or k % 4 <> 3""")
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed of one item for each order, parsed."""
-    key = F.col("o_orderkey").cast("string")
+    """A feed of one item for each order, parsed: items differ in what they lack, and some have nothing that names them."""
+    k, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    opt = lambda cond, *parts: F.when(cond, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
+    named = ~((kind == 5) & (F.col("o_orderkey") % 4 == 3))
+    minutes, seconds = (F.col("o_orderkey") % 60).cast("string"), (F.col("o_orderkey") % 4000).cast("string")
     item = F.concat(
-        F.lit("<item><guid>g-"), key, F.lit("</guid><title>A &amp; B "), F.col("o_orderpriority"), F.lit("</title><pubDate>Sun, "),
-        F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(' 15:00:00 GMT</pubDate><enclosure url="https://cdn.example.org/'), key,
-        F.lit('.mp3?a=1&amp;b=2" type="audio/mpeg"/><itunes:duration>45:30</itunes:duration><description><![CDATA[<p>From  <b>John</b> on '), F.col("o_orderstatus"), F.lit("</p>]]></description></item>"),
+        F.lit("<item>"), opt(~kind.isin(1, 2) & named, "<guid isPermaLink='false'>g-", k, "</guid>"), opt(kind == 2, "<link> https://h.example/", k, " </link>"),
+        opt(kind != 3, "<title>A &amp; B ", F.col("o_orderpriority"), "</title>"), opt(kind == 3, "<title></title>"),
+        F.when(kind == 4, "<pubDate>soon</pubDate>").otherwise(F.concat(F.lit("<pubDate>Sun, "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" 15:00:00 GMT</pubDate>"))),
+        opt((kind != 2) & named, '<enclosure length="1" url="https://cdn.example.org/', k, '.mp3?a=1&amp;b=2" type="audio/mpeg"/>'),
+        opt(kind == 0, "<itunes:duration>45:30</itunes:duration><itunes:author>Jo &amp; ", F.col("o_orderstatus"), "</itunes:author><author>x</author>"),
+        opt(kind == 1, "<itunes:duration>", seconds, "</itunes:duration><dc:creator><![CDATA[ Dee <i>", F.col("o_orderstatus"), "</i> ]]></dc:creator>"),
+        opt(kind == 2, "<itunes:duration>1:2:3:4</itunes:duration><author>Ann</author><itunes:summary>Sum ", F.col("o_orderstatus"), "</itunes:summary>"),
+        opt(kind == 3, "<itunes:duration>1::", minutes, ".5</itunes:duration><description></description><itunes:subtitle>Sub &amp;lt;b&amp;gt;", F.col("o_orderstatus"), "</itunes:subtitle>"),
+        opt(kind == 4, "<itunes:duration>long</itunes:duration>"), opt(kind == 5, "<itunes:duration>", minutes, ":</itunes:duration>"),
+        opt(kind.isin(0, 1, 4), "<description><![CDATA[<p>From  <b>John</b> on ", F.col("o_orderstatus"), "</p>]]></description>"), F.lit("</item>"),
     )
     xml = F.concat(F.lit("<rss><channel><title>Feed</title>"), item, F.lit("</channel></rss>"))
     rows = feeds.parse_feed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("feed"), xml.alias("xml")))
-    return rows.select("feed", "guid", "title", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "audio_url", "duration_seconds", "description")
+    return rows.select("feed", "guid", "title", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "audio_url", "duration_seconds", "description", "author")
 
 
-@query("select page_id, 'mp3' as ext from pages where page_id % 2 = 0 union all select page_id, 'm4a' from pages where page_id % 2 = 1")
+KINDS = ["audio/mp4; q=1", "audio/ogg", "audio/flac", "text/html", "audio/mpeg", "AUDIO/WAV"]
+
+
+@query(f"""with u as (select page_id, case page_id % 9 when 0 then url when 1 then 'https://x.example/a.MP3?x=1' when 2 then 'https://x.example/' || page_id || '.opus#t' when 3 then 'https://x.opus' when 4 then 'https://x.example/a.flac'
+        when 5 then 'https://x.example/v1.mp4' when 6 then 'https://x.example/mp3' when 7 then 'https://x.example/a.wav/b' else 'https://x.example/' || page_id || '.b.Aac' end as u,
+        case page_id % 6 {" ".join(f"when {k} then '{t}'" for k, t in enumerate(KINDS))} end as t from pages),
+    e as (select page_id, t, lower(regexp_extract(regexp_extract(u, '^[^:/?#]+://[^/?#]*(/[^?#]*)', 1), '\\.([A-Za-z0-9]{{2,4}})$', 1)) as e from u)
+    select page_id, case when e in ('mp3', 'm4a', 'mp4', 'aac', 'wav', 'ogg', 'opus') then e when starts_with(t, 'audio/mpeg') then 'mp3' when starts_with(t, 'audio/mp4') then 'm4a' when starts_with(t, 'audio/aac') then 'aac'
+        when starts_with(t, 'audio/wav') then 'wav' when starts_with(t, 'audio/ogg') then 'ogg' else 'mp3' end as ext from e""")
 def audio_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/a.MP3"))).otherwise("https://x.example/a")
-    url = F.when(F.col("page_id") % 2 == 0, F.lit("https://x.example/a.MP3?x=1")).otherwise(url)
-    return table(spark, sf_dir, "pages").select("page_id", tx.audio_extension(url, F.lit("audio/mp4; q=1")).alias("ext"))
+    kind, key = F.col("page_id") % 9, F.col("page_id").cast("string")
+    fixed = {1: "https://x.example/a.MP3?x=1", 3: "https://x.opus", 4: "https://x.example/a.flac", 5: "https://x.example/v1.mp4", 6: "https://x.example/mp3", 7: "https://x.example/a.wav/b"}
+    url = F.when(kind == 0, F.col("url")).when(kind == 2, F.concat(F.lit("https://x.example/"), key, F.lit(".opus#t"))).when(kind == 8, F.concat(F.lit("https://x.example/"), key, F.lit(".b.Aac")))
+    for k, u in fixed.items():
+        url = url.when(kind == k, F.lit(u))
+    given = F.get(F.array(*[F.lit(t) for t in KINDS]), (F.col("page_id") % 6).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.audio_extension(url, given).alias("ext"))
 
 
 @query("select conv_id, turn, trim(text) as text, cast(turn as double) as start, cast(turn + 1.5 as double) as stop from conversations where trim(text) <> ''")
@@ -42,10 +69,17 @@ def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", tx.full_trim("s.text").alias("text"), "s.start", F.col("s.end").alias("stop"))
 
 
-@query("select event_id, cast(case event_id % 4 when 0 then 3600 when 1 then 3570 when 2 then 3723 end as integer) as seconds from events")
+@query("""select event_id, cast(case event_id % 10 when 0 then event_id when 1 then (event_id % 90) * 60 + event_id % 60 + 0.25 when 2 then 3600 + event_id % 60 when 3 then 3600.0 * (event_id % 5) + 60 * (event_id % 60) + event_id % 60
+    when 7 then event_id * 100 when 9 then 60 * (event_id % 60) end as double) as seconds from events""")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.get(F.array(*[F.lit(x) for x in ("3600", "59:30", "1:02:03", "abc")]), (F.col("event_id") % 4).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", tx.duration_seconds(text).alias("seconds"))
+    """Durations of all shapes, good and bad."""
+    n = F.col("event_id")
+    part = lambda most: (n % most).cast("string")
+    shapes = [
+        n.cast("string"), F.concat(part(90), F.lit(":"), part(60), F.lit(".25")), F.concat(F.lit(" 1::"), part(60)), F.concat(part(5), F.lit(":"), part(60), F.lit(" : "), part(60)), F.concat(F.lit("-"), n.cast("string"), F.lit("1")),
+        F.concat(part(5), F.lit(":1:2:3")), F.lit(""), F.concat(n.cast("string"), F.lit("e2")), F.concat(n.cast("string"), F.lit(" min")), F.concat(part(60), F.lit(":")),
+    ]
+    return table(spark, sf_dir, "events").select("event_id", tx.duration_seconds(F.get(F.array(*shapes), (n % 10).cast("int"))).alias("seconds"))
 
 
 @query("select r_regionkey as id, r_name as name from region")

@@ -21,9 +21,9 @@ def anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey").join(kept, "o_orderkey", "left_anti")
 
 
-@query("select distinct doc_id % 700 as id from documents where doc_id % 700 not in (select doc_id from labels)")
+@query("select distinct doc_id as id from documents where doc_id not in (select doc_id from labels)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "documents").select((F.col("doc_id") % 700).alias("id"))
+    new = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return lifecycle.insert_missing(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), new, ["id"])
 
 
@@ -112,12 +112,15 @@ def fallback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.resolve(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), ["n_regionkey"], "n_nationkey", "n_nationkey % 4 <> 0", 3)
 
 
-@query("""select p_partkey, case when rn = 1 then s else s || '-' || rn end as slug from (
-    select p_partkey, s, row_number() over (partition by s order by p_partkey) as rn from (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') as s from part))""")
+@query()
 def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs with many repeats, some of which look like counted ones; held against a plain loop in the tests, since SQL would carry all slugs from row to row."""
     from tessera.functions import text as tx
 
-    return lifecycle.unique_slugs(table(spark, sf_dir, "part").select("p_partkey", tx.slug("p_name").alias("slug")), "slug", ["p_partkey"])
+    kind = F.col("p_partkey") % 5
+    number = F.concat(F.lit("-"), (F.col("p_partkey") % 4 + 1).cast("string"))
+    name = F.concat(tx.slug("p_name"), F.when(kind == 1, "-2").when(kind == 2, number).when(kind == 3, "-with-a-name-that-is-rather-long").otherwise(""))
+    return lifecycle.unique_slugs(table(spark, sf_dir, "part").select("p_partkey", name.alias("slug")), "slug", ["p_partkey"], ("llm",))
 
 
 @query("select cast((row_number() over (order by doc_id) - 1) // 10 as integer) as batch, count(*) over () as total, doc_id from (select doc_id from labels where toxic = 1 order by doc_id limit 60)")

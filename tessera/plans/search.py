@@ -43,30 +43,42 @@ def knn_overfetch_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_in(known, _queries(spark, sf_dir), 8, known.where("label % 2 = 0").select("vec_id"), overfetch=True)
 
 
-CHUNKS = "c as (select conv_id as doc_id, turn as seq, text from conversations)"
-HITS = """h as (select doc_id, seq, row_number() over (order by score desc, doc_id, seq) as rank from
-    (select conv_id as doc_id, turn as seq, length(text) % 97 as score from conversations where contains(lower(text), 'the')) order by rank limit 8)"""
-
-
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(F.contains(F.lower("text"), F.lit("the")))
-    scored = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), (F.length("text") % 97).alias("score"))
-    top = scored.orderBy(F.desc("score"), "doc_id", "seq").limit(8)
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "seq"))).drop("score")
-
-
-@query(f"""with {CHUNKS}, {HITS},
-    n as (select distinct c.doc_id, c.seq, c.text from c join h on c.doc_id = h.doc_id and c.seq between h.seq - 1 and h.seq + 1),
-    i as (select n.*, h.rank as hit, n.seq - row_number() over (partition by n.doc_id order by n.seq) as isl from n left join h on n.doc_id = h.doc_id and n.seq = h.seq),
-    u as (select *, (row_number() over (partition by doc_id, isl order by seq) - 1) // 4 as sub from i),
-    s as (select doc_id, min(seq) as first, max(seq) as last, cast(min(hit) as integer) as rank, string_agg(text, chr(10) || chr(10) order by seq) as text from u group by doc_id, isl, sub),
-    b as (select *, cast(length(text) as integer) as n_chars, row_number() over w as rn, sum(length(text)) over (w rows between unbounded preceding and current row) as total from s window w as (order by rank nulls last, doc_id, first))
-    select doc_id, first, last, rank, text, n_chars, cast(row_number() over (order by rank nulls last, doc_id, first) as integer) as number from b where rn = 1 or total <= 4000""")
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, chunks, skip): a document is taken as chunk doc_id % 4 of the item doc_id // 4, chunk 0 as its summary, and as the
+    text of the vector of its number. Each vector whose number divides by 25 is a question; items of its own label's number are skipped."""
+    docs = table(spark, sf_dir, "documents")
+    item, seq = F.floor(F.col("doc_id") / 4).cast("long"), (F.col("doc_id") % 4).cast("int")
+    chunks = docs.select(item.alias("item"), seq.alias("seq"), F.when(seq == 0, "summary").otherwise("transcript").alias("kind"), "text")
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0")
+    skip = asked.select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "label")
+    skip = skip.select("query_id", (F.col("k") * 10 + F.col("label") % 10).cast("long").alias("item"))
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), chunks, skip
+
+
+@query("""with c as (select doc_id // 4 as item, doc_id % 4 as seq, text from documents),
+    v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+    s as (select q.vec_id as query_id, q.label, v.vec_id as id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.e, q.e), 6) desc, v.vec_id) as rank
+          from v, v q where q.vec_id % 25 = 0),
+    h as (select query_id, id // 4 as item, id % 4 as seq, row_number() over (partition by query_id order by rank) as rank from s
+          where rank <= 24 and not ((id // 4) % 10 = label % 10 and id // 4 < 100)),
+    m as (select * from h where rank <= 8),
+    n as (select distinct m.query_id, c.item, c.seq, c.text from c join m on c.item = m.item
+          where c.seq = m.seq or (c.seq > 0 and c.seq between greatest(1, m.seq - 1) and greatest(1, m.seq + 1))),
+    i as (select n.*, m.rank as hit, case when n.seq > 0 then n.seq - row_number() over (partition by n.query_id, n.item, n.seq > 0 order by n.seq) else -9 end as isl
+          from n left join m on n.query_id = m.query_id and n.item = m.item and n.seq = m.seq),
+    u as (select query_id, item, min(seq) as first, max(seq) as last, cast(min(hit) as integer) as rank, string_agg(text, chr(10) || chr(10) order by seq) as text from i group by query_id, item, isl),
+    b as (select *, length(text) as n_chars, row_number() over w as rn, sum(length(text)) over (w rows between unbounded preceding and current row) as total
+          from u window w as (partition by query_id order by rank nulls last, item, first))
+    select query_id, item, cast(first as integer) as first, cast(last as integer) as last, rank, text, cast(n_chars as integer) as n_chars,
+           cast(row_number() over (partition by query_id order by rank nulls last, item, first) as integer) as number from b where rn = 1 or total <= 12000""")
 def retrieve_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
-    return retrieval.sources(_hits(spark, sf_dir), chunks, retrieval.Limits(8, 1, 1, 4000))
+    """Each question's nearest passages but those of skipped items, with their neighbours, in runs, within a budget."""
+    asked, chunks, skip = _answers(spark, sf_dir)
+    limits = retrieval.Limits(8, 1, 1, 12_000)
+    found = vectors.nearest(table(spark, sf_dir, "embeddings"), asked, retrieval.fetched(limits, skips=True))
+    placed = found.select("query_id", F.floor(F.col("id") / 4).cast("long").alias("item"), (F.col("id") % 4).cast("int").alias("seq"), "rank")
+    hits = retrieval.unskipped(placed, skip, limits, ["query_id"], "item")
+    return retrieval.sources(hits, chunks, limits, "item", "seq", ["query_id"], "kind")
 
 
 @query("""with k as (select doc_id from documents where contains(lower(text), 'license')),
@@ -98,13 +110,23 @@ def dedupe_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("h", "c", "l").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
 
 
-@query("""select conv_id, turn, cast(u.n as integer) as cited, cast(row_number() over (partition by conv_id order by turn) as integer) as pos
-    from conversations, (values (1), (2), (3)) u(n) where u.n = turn % 3 + 1""")
+#: What is added to turns, by turn: single numbers, lists, ranges, ranges that run backwards or too far, and none.
+ADDED = [" [{n}].", " [2, 5]", " [4-6] and [{n}, 7–9]", " [9-2][3]", " [4-30]", " none [x] [ 1 ]", " [1 , 2 - 4, 8]"]
+ADDED_SQL = "case turn % 7 " + " ".join(f"when {k} then '{a.replace('{n}', chr(39) + ' || (conv_id % 40) || ' + chr(39))}'" for k, a in enumerate(ADDED)) + " end"
+
+
+@query(f"""with t as (select conv_id, turn, text || {ADDED_SQL} || ' and [' || (turn + 1) || ']' as text from conversations),
+    p as (select conv_id, turn, generate_subscripts(g, 1) as i, unnest(g) as part from (
+      select conv_id, turn, flatten(list_transform(regexp_extract_all(text, '\\[([0-9]+(?:\\s*[-,–]\\s*[0-9]+)*)\\]', 1), lambda x: string_split(x, ','))) as g from t)),
+    e as (select *, try_cast(trim(regexp_split_to_array(part, '[-–]')[1]) as integer) as a, try_cast(trim(regexp_split_to_array(part, '[-–]')[2]) as integer) as b from p),
+    n as (select conv_id, turn, i, unnest(case when b >= a and b - a < 20 then range(a, b + 1) else [a::bigint] end) as cited from e)
+    select conv_id, turn, cast(cited as integer) as cited, cast(row_number() over (partition by conv_id order by turn, i, cited) as integer) as pos from n""")
 def citation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations put into turns and read again."""
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(" ["), ((F.col("turn") % 3) + 1).cast("string"), F.lit("]")))
-    marked = turns.select("conv_id", "turn", F.regexp_extract("text", r"(\[[0-9]\])$", 1).alias("text"))
-    return citations.mentions(marked, ["conv_id"], ["turn"], "text").select("conv_id", "turn", "cited", "pos")
+    """Citations read from whole turns."""
+    kinds = F.array(*[F.lit(a) for a in ADDED])
+    added = F.replace(F.get(kinds, (F.col("turn") % len(ADDED)).cast("int")), F.lit("{n}"), (F.col("conv_id") % 40).cast("string"))
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", added, F.lit(" and ["), (F.col("turn") + 1).cast("string"), F.lit("]")))
+    return citations.mentions(turns.select("conv_id", "turn", "text"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "cited", "pos")
 
 
 @query("select doc_id, substr(text, 1, 600) as text from documents")
@@ -112,10 +134,14 @@ def stored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.stored(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("chunk_id")))
 
 
-@query("""with s as (select source, count(*) as n, sum(length(text)) as chars from documents group by source)
-    select source, case when n <= 40 and chars <= 60000 then 'whole' else 'search' end as policy, cast(chars as bigint) as chars from s""")
+@query("""with s as (select source, count(*) as n, sum(length(text)) as chars, coalesce(sum(length(text)) filter (where doc_id % 50 = 0), 0) as pinned, least(ascii(substr(source, 4)) % 3, 2) as m from documents group by source)
+    select source, cast(chars as bigint) as chars, case when pinned > 0 and pinned <= 60000 then 'pinned' when n <= 40 and chars <= 60000 and m <> 2 then 'whole' else 'search' end as policy,
+      case when pinned > 0 and pinned <= 60000 then null when n <= 40 and chars <= 60000 and m <> 2 then null when pinned > 0 then 'pinned texts too long'
+           when m = 1 and n <= 40 then 'scope too long' when m = 1 then 'scope too wide' end as note from s""")
 def policy_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which way each series would be answered, by its size."""
-    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    whole = (F.col("n") <= 40) & (F.col("chars") <= 60000)
-    return sizes.select("source", F.when(whole, "whole").otherwise("search").alias("policy"), "chars")
+    """Which way each series would be answered, by its size, what is pinned in it, and what was asked for."""
+    pinned = F.coalesce(F.sum(F.when(F.col("doc_id") % 50 == 0, F.length("text"))), F.lit(0)).alias("pinned")
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), pinned)
+    mode = F.get(F.array(F.lit("auto"), F.lit("full"), F.lit("search")), (F.ascii(F.substring("source", 4, 1)) % 3).cast("int"))
+    chosen = retrieval.policy(F.col("n"), F.col("chars"), F.lit(60_000), F.col("pinned"), mode)
+    return sizes.select("source", "chars", chosen.alias("p")).select("source", "chars", F.col("p.way").alias("policy"), "p.note")

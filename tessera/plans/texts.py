@@ -40,17 +40,17 @@ def format_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", tx.format_time(F.col("value") * 60).alias("time"))
 
 
-@query("""select doc_id, case when n < 1000 then n || ' B' when n < 1000000 then cast(floor(n / 1000.0 + 0.5) as bigint) || ' KB' else cast(cast(floor(n / 1000000.0 * 10 + 0.5) / 10 as decimal(20,1)) as varchar) || ' MB' end as size
-    from (select doc_id, n_chars * 37 as n from documents)""")
+@query("""select doc_id, case when n >= 1048576 then ((n * 10 + 524288) // 1048576) // 10 || '.' || ((n * 10 + 524288) // 1048576) % 10 || ' MB' else greatest(1, (n + 512) // 1024) || ' KB' end as size
+    from (select doc_id, n_chars * n_chars // 3 + doc_id as n from documents)""")
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.human_bytes(F.col("n_chars") * 37).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.human_bytes(F.floor(F.col("n_chars") * F.col("n_chars") / 3) + F.col("doc_id")).alias("size"))
 
 
-@query("""select event_id, case when s < 60 then 'just now' when s < 3600 then s // 60 || ' minute' || case when s // 60 = 1 then ' ago' else 's ago' end
-    when s < 86400 then s // 3600 || ' hour' || case when s // 3600 = 1 then ' ago' else 's ago' end else s // 86400 || ' day' || case when s // 86400 = 1 then ' ago' else 's ago' end end as age
-    from (select event_id, event_id * 17 as s from events)""")
+@query("""select event_id, case when s is null then 'never' when s < 45 then 'just now' when s < 3600 then cast(floor(s / 60.0 + 0.5) as bigint) || ' min ago'
+    when s < 172800 then cast(floor(s / 3600.0 + 0.5) as bigint) || ' h ago' else cast(floor(s / 86400.0 + 0.5) as bigint) || ' days ago' end as age
+    from (select event_id, case when event_id % 19 = 0 then null else event_id * 17 - 40 end as s from events)""")
 def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", tx.ago(F.col("event_id") * 17).alias("age"))
+    return table(spark, sf_dir, "events").select("event_id", tx.ago(F.when(F.col("event_id") % 19 != 0, F.col("event_id") * 17 - 40)).alias("age"))
 
 
 @query("select p_partkey, 'Turn - ' || p_name as head, p_type as series from part")
@@ -118,28 +118,62 @@ def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.lines(table(spark, sf_dir, "documents")).select("doc_id", tx.squeeze(F.concat_ws(" ", "segments")).alias("text"))
 
 
-GOLDEN = ["John 3:16", "  john 3 ", "1 Cor 13", "II Timothy 2.15-17", "1john 4:8", "Psalm 23", "Song of Songs 2:1", "Eph. 2:8–10", "Jn 1:1", "Jude 5", "Jude 1:5", "Romans", "John 22", "rom", "faith 2"]
+#: Names as typed, and the book they stand for with a chapter and without one.
+TYPED = [
+    ("John", 43, 43), (" john ", 43, 43), ("1 Cor", 46, 46), ("II Timothy", 55, 55), ("1john", 62, 62), ("Psalm", 19, 19), ("Song of  Songs", 22, 22), ("Eph.", 49, None), ("Jn", 43, None), ("Jude", 65, 65),
+    ("rom", 45, None), ("Galat", 48, None), ("faith", None, None), ("3 things", None, None), ("ph", None, None), ("Gene.", 1, None), ("Isaiah", None, None), ("iii John", 64, 64),
+]
+TYPED_SQL = "(values " + ", ".join(f"({k}, '{n}', {a or 'null'}, {b or 'null'})" for k, (n, a, b) in enumerate(TYPED)) + ") t(k, name, with_chapter, alone)"
+CHAPTERS_SQL = "(values " + ", ".join(f"({k}, {n})" for k, (_, _, n) in enumerate(refs.BOOKS, 1)) + ") b(book, chapters)"
 
 
-@query()
+@query(f"""with e as (select event_id, event_id % {len(TYPED)} as k, event_id % 7 as shape, event_id % 23 as c, event_id % 40 + 1 as v from events),
+    r as (select e.*, t.name, case when shape = 0 then alone when shape < 6 then with_chapter end as book from e join {TYPED_SQL} on t.k = e.k)
+    select event_id, book, case when book is null or shape = 0 then null when chapters = 1 and shape in (1, 5) then 1 else c end as chapter,
+      case when book is null or shape = 0 then null when chapters = 1 and shape in (1, 5) then case when c > 1 then c end when shape in (1, 5) then null else v end as verse
+    from (select r.*, chapters from r join {CHAPTERS_SQL} using (book)) where shape = 0 or (chapters = 1 and shape in (1, 5)) or c between 1 and chapters""")
 def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References put before each turn of a conversation, and read again."""
-    rows = table(spark, sf_dir, "conversations")
-    choice = F.get(F.array(*[F.lit(g) for g in GOLDEN]), F.pmod("conv_id", F.lit(len(GOLDEN))).cast("int"))
-    return rows.select("conv_id", "turn", choice.alias("typed")).select("conv_id", "turn", "typed", refs.parse_reference("typed").alias("r")).select("conv_id", "turn", "typed", "r.book", "r.chapter", "r.verse")
-
-
-@query()
+    """References of all shapes, of books there are and are not; those that are none are left out."""
+    n = F.col("event_id")
+    chapter, verse = (n % 23).cast("string"), (n % 40 + 1).cast("string")
+    shapes = [F.lit(""), chapter, F.concat(chapter, F.lit(":"), verse), F.concat(chapter, F.lit("."), verse, F.lit("-99")), F.concat(chapter, F.lit(" : "), verse, F.lit(" – 3:4")), F.concat(chapter, F.lit("-"), verse), F.concat(chapter, F.lit("::"), verse)]
+    name = F.get(F.array(*[F.lit(t) for t, _, _ in TYPED]), (n % len(TYPED)).cast("int"))
+    typed = F.concat(name, F.when(n % 7 == 0, "").otherwise(" "), F.get(F.array(*shapes), (n % 7).cast("int")))
+    rows = table(spark, sf_dir, "events").select("event_id", refs.parse_reference(typed).alias("r")).where("r is not null")
+    return rows.select("event_id", "r.book", "r.chapter", "r.verse")
+
+
+@query("""with t as (select conv_id, turn, turn % 4 as k, cast(turn % 21 + 1 as integer) as c, cast(conv_id % 30 + 1 as integer) as v from conversations)
+    select conv_id, turn, 45 as book, c as chapter, v as first, v + 2 as last from t where k = 0 and c <= 16
+    union all select conv_id, turn, 62, 4, null, null from t where k in (0, 1)
+    union all select conv_id, turn, 19, c, null, null from t where k = 1
+    union all select conv_id, turn, 65, 1, case when v > 1 then v end, case when v > 1 then v end from t where k = 2
+    union all select conv_id, turn, 43, c, v, v from t where k = 3""")
 def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.lit("Compare Romans 8:28-30 and 1 John 4. "), "text"))
+    """References put into whole turns and found again: verses, chapters, books of one chapter, repeats, and chapters there are not."""
+    c, v = (F.col("turn") % 21 + 1).cast("string"), (F.col("conv_id") % 30 + 1).cast("string")
+    asides = [
+        F.concat(F.lit("Compare Romans "), c, F.lit(":"), v, F.lit("-"), (F.col("conv_id") % 30 + 3).cast("string"), F.lit(" with faith 1 John 4. ")),
+        F.concat(F.lit("ps. "), c, F.lit(", Psalms "), c, F.lit(" and i john 4, John 99:1: ")),
+        F.concat(F.lit("See Jude "), v, F.lit("; xjohn 3 is none. ")),
+        F.concat(F.lit("In JOHN "), c, F.lit(":"), v, F.lit("–0 and 1 Genesis. ")),
+    ]
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.get(F.array(*asides), (F.col("turn") % 4).cast("int")), "text"))
     return rows.select("conv_id", "turn", F.explode(refs.mentions("text")).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@query()
+QUESTIONS = [
+    ("Pastor Phil's view: ", "Phil Friesen"), ("What does Mark 4 teach? ", None), ("friesen on the church ", "Phil Friesen"), ("Did Pastor Mark say this? ", "Mark Prater"), ("In Mark’s gospel ", None),
+    ("Pastor Phil and Pastor Aaron ", None), ("Is grace enough? ", None), ("Dr. Grace, ", "Grace Hopper"), ("Sps. Phil ", None), ("AARON’S sons; ", "Aaron Anderson"), ("Andersons ", None), ("(aaron anderson) ", "Aaron Anderson"),
+]
+
+
+@query(f"""select conv_id, turn, case turn % {len(QUESTIONS)} {" ".join(f"when {k} then '{w}'" for k, (_, w) in enumerate(QUESTIONS) if w)} end as speaker from conversations""")
 def mentioned_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns with a question before them."""
     speakers = ["Aaron Anderson", "Phil Friesen", "Mark Prater", "Grace Hopper"]
-    asked = F.when(F.col("turn") % 2 == 0, "Pastor Phil's sermons: ").otherwise("What does Mark 4 teach? ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", refs.mentioned_speaker(F.concat(asked, "role"), speakers).alias("speaker"))
+    asked = F.get(F.array(*[F.lit(q) for q, _ in QUESTIONS]), (F.col("turn") % len(QUESTIONS)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", refs.mentioned_speaker(F.concat(asked, "text"), speakers).alias("speaker"))
 
 
 @query("select conv_id, cast(turn % 4 + 1 as integer) as source, cast(row_number() over (partition by conv_id order by min(turn)) as integer) as number from conversations group by conv_id, turn % 4")

@@ -15,17 +15,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ms", usage.millis("ts"))
 
 
-@query("""select event_id, count(*) over (partition by user_id order by epoch_ms(ts) range between 3599999 preceding and current row) as used from events""")
+@query("""select event_id, count(*) over (partition by user_id order by (epoch_us(ts) // 1000) range between 3599999 preceding and current row) as used from events""")
 def window_usage_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.window_counts(_events(spark, sf_dir), "user_id", "ms", usage.HOUR_MS).select("event_id", "used")
 
 
-@query("select epoch_ms(ts) - epoch_ms(ts) % 86400000 as day, count(*) as n from events group by 1")
+@query("select (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 86400000 as day, count(*) as n from events group by 1")
 def day_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.day_counts(_events(spark, sf_dir), "ms")
 
 
-@query("""with recursive e as (select user_id, event_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as i from events),
+@query("""with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
     s as (select user_id, event_id, i, true as granted, [ms] as held from e where i = 1
           union all
           select e.user_id, e.event_id, e.i, len(list_filter(s.held, lambda h: h > e.ms - 86400000)) < 2,
@@ -37,7 +37,15 @@ def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.admissions(_events(spark, sf_dir), "user_id", "ms", "event_id", 2, usage.DAY_MS).select("user_id", "event_id", "granted")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
+    s as (select user_id, event_id, i, true as valid, ms + 108000000 as expires, ms + 108000000 as ends, ms as refreshed from e where i = 1
+          union all
+          select e.user_id, e.event_id, e.i, coalesce(e.ms < s.ends, true),
+            case when s.ends is null then e.ms + 108000000 when e.ms >= s.ends then s.ends when e.ms - s.refreshed >= 14400000 then e.ms + 108000000 else s.ends end,
+            case when s.ends is null then e.ms + 108000000 when e.ms >= s.ends then null when e.ms - s.refreshed >= 14400000 then e.ms + 108000000 else s.ends end,
+            case when s.ends is null then e.ms when e.ms >= s.ends then null when e.ms - s.refreshed >= 14400000 then e.ms else s.refreshed end
+          from s join e on e.user_id = s.user_id and e.i = s.i + 1)
+    select user_id, event_id, valid, expires from s""")
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.sessions(_events(spark, sf_dir), "user_id", "ms", "event_id", 30 * usage.HOUR_MS, 4 * usage.HOUR_MS)
 
@@ -56,14 +64,33 @@ def due_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where(tx.is_due("ts", last, 9, 1, "UTC")).select("event_id")
 
 
-@query("select event_id from events where epoch_ms(ts) > (select max(epoch_ms(ts)) from events) - 86400000")
+@query("select event_id from events where (epoch_us(ts) // 1000) > (select max((epoch_us(ts) // 1000)) from events) - 86400000")
 def purge_after_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     newest = events.agg((F.max("ms") - usage.DAY_MS).alias("bound"))
     return events.join(F.broadcast(newest)).where("ms > bound").select("event_id")  # one row
 
 
-@query("select event_type, count(*) as n, count(distinct user_id) as users from events where event_type = 'error' and epoch_ms(ts) % 900000 < 450000 group by 1")
+@query("""with e as (select event_id, user_id % 3 as bucket, (epoch_us(ts) // 1000) as ms, event_type from events),
+    f as (select event_id, event_type, count(*) filter (where event_type = 'error') over (partition by bucket order by ms range between 14399999 preceding and current row) as failures from e)
+    select event_id, failures, failures >= 10 as limited from f where event_type <> 'error'""")
 def failures_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = _events(spark, sf_dir).where("event_type = 'error' and ms % 900000 < 450000")
-    return failed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    """Attempts that ten failures of their bucket in the four hours before would refuse."""
+    events = _events(spark, sf_dir).withColumn("bucket", F.col("user_id") % 3)
+    attempts = events.where("event_type <> 'error'").select("event_id", "bucket", "ms")
+    return usage.limited(events.where("event_type = 'error'").select("bucket", "ms"), attempts, "bucket", "ms", 10, 4 * usage.HOUR_MS).select("event_id", "failures", "limited")
+
+
+@query("""with recursive e as (select event_id, user_id % 5 as who, user_id % 5 = 0 as free, (epoch_us(ts) // 1000) as ms, row_number() over (order by (epoch_us(ts) // 1000), event_id) as i from events where event_type = 'purchase'),
+    s as (select 0::bigint as i, null::bigint as event_id, null::varchar as refused, []::struct(w bigint, m bigint)[] as held, -1::bigint as day, 0 as used
+          union all
+          select i, event_id, refused, case when refused is null then list_append(held, {'w': who, 'm': ms}) else held end, day, case when refused is null and not free then used + 1 else used end
+          from (select e.i, e.event_id, e.who, e.ms, e.free, e.ms // 86400000 as day, k.held, case when s.day = e.ms // 86400000 then s.used else 0 end as used,
+                  case when len(list_filter(k.held, lambda x: x.w = e.who)) >= 2 then 'hour'
+                       when not e.free and case when s.day = e.ms // 86400000 then s.used else 0 end >= 40 then 'day' end as refused
+                from s join e on e.i = s.i + 1, lateral (select list_filter(s.held, lambda x: x.m > e.ms - 3600000) as held) k))
+    select event_id, refused from s where i > 0""")
+def site_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two an hour for each of five askers, forty a day for all, from which one asker is exempt."""
+    asked = _events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "ms", (F.col("user_id") % 5).alias("who"))
+    return usage.quota(asked.withColumn("free", F.col("who") == 0), "who", "ms", "event_id", 2, 40, "free")

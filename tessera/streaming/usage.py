@@ -6,13 +6,17 @@ Both forms share one fold over a key's events in the order of (time, id); its st
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators import folds
+
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
 
@@ -45,17 +49,111 @@ def admit(times: list[int], granted: list[int], limit: int, width_ms: int) -> tu
     return out, granted
 
 
+def _pieces(events: DataFrame, key: str, ms: str, event_id: str, gap_ms: int, after: bool = False) -> DataFrame:
+    """events with `_piece`: a key's history cut where nothing of what was before matters any more.
+
+    That is at an event at least gap_ms after the one before; or, with after, at the one that follows such an event.
+    A busy key's pieces are dealt to different tasks.
+    """
+    w = Window.partitionBy(key).orderBy(ms, event_id)
+    wide = F.coalesce((F.col(ms) - F.lag(ms).over(w) >= gap_ms).cast("int"), F.lit(0))
+    cut = events.withColumn("_cut", wide)
+    if after:
+        cut = cut.withColumn("_cut", F.coalesce(F.lag("_cut").over(w), F.lit(0)))
+    return cut.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
 def admissions(events: DataFrame, key: str, ms: str, event_id: str, limit: int, width_ms: int) -> DataFrame:
     """(key, event_id, ms, granted) for each event with a key, which is a rate-limited actor."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ms, event_id])
-        frame["granted"], _ = admit(frame[ms].tolist(), [], limit, width_ms)
-        return frame
+    def start():
+        held: list[int] = []
 
-    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, event_id, ms)
+        def step(actor, piece, at, event):
+            granted, held[:] = admit([at], held, limit, width_ms)
+            return actor, event, at, granted[0]
+
+        return step
+
+    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, ms, event_id)
+    kinds = dict(rows.dtypes)
+    cut = _pieces(rows, key, ms, event_id, width_ms).select(key, "_piece", ms, event_id)
+    return folds.running(cut, [key, "_piece"], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, granted boolean", start)
+
+
+def touches(events: DataFrame, key: str, ms: str, event_id: str, least_ms: int) -> DataFrame:
+    """(key, event_id, ms, touched): whether a use writes down its time, which it does over least_ms after the last one that did."""
+
+    def start():
+        last: list[int] = []
+
+        def step(actor, piece, at, event):
+            touched = not last or at - last[0] > least_ms
+            if touched:
+                last[:] = [at]
+            return actor, event, at, touched
+
+        return step
+
+    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, ms, event_id)
     kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, granted boolean")
+    cut = _pieces(rows, key, ms, event_id, least_ms + 1).select(key, "_piece", ms, event_id)
+    return folds.running(cut, [key, "_piece"], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, touched boolean", start)
+
+
+def quota(events: DataFrame, key: str, ms: str, event_id: str, per_hour: int, per_day: int, exempt: str) -> DataFrame:
+    """(event_id, refused): null where granted, else 'hour' or 'day'.
+
+    A key has per_hour grants in the hour before; all keys together have per_day in a UTC day, from which exempt
+    ones are free. What either limit refuses counts for neither. The fold over all keys is cut between two days if
+    the hour before the later one is empty; its state is the grants of an hour.
+    """
+
+    def start():
+        held: dict = {}
+        order: deque = deque()
+        today = [None, 0]
+
+        def step(piece, at, event, actor, free):
+            while order and order[0][0] <= at - HOUR_MS:
+                gone = order.popleft()[1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+            day = at // DAY_MS
+            if today[0] != day:
+                today[:] = [day, 0]
+            if held.get(actor, 0) >= per_hour:
+                return event, "hour"
+            if not free and today[1] >= per_day:
+                return event, "day"
+            held[actor] = held.get(actor, 0) + 1
+            order.append((at, actor))
+            today[1] += not free
+            return event, None
+
+        return step
+
+    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(ms, event_id, key, F.coalesce(F.col(exempt), F.lit(False)).alias("_free"))
+    rows = rows.withColumn("_day", F.floor(F.col(ms) / DAY_MS))
+    days = rows.groupBy("_day").agg(F.min(ms).alias("_first"), F.max(ms).alias("_last"))
+    w = Window.orderBy("_day")  # a row for each day there is
+    days = days.withColumn("_cut", F.coalesce((F.col("_first") - F.lag("_last").over(w) >= HOUR_MS).cast("int"), F.lit(0)))
+    days = days.select("_day", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
+    dealt = rows.join(days, "_day").select("_piece", ms, event_id, key, "_free")
+    return folds.running(dealt, ["_piece"], [ms, event_id], f"{event_id} {dict(events.dtypes)[event_id]}, refused string", start)
+
+
+def limited(log: DataFrame, attempts: DataFrame, bucket: str, ms: str, most: int = 10, width_ms: int = 900_000) -> DataFrame:
+    """attempts (bucket, ms, ...) with `failures` of their bucket in the width before, and `limited` where these are most or more.
+
+    A failure counts if it is younger than width_ms; one at the attempt's own time does. One window over both tables.
+    """
+    marks = log.select(bucket, ms, F.lit(1).alias("_failed"))
+    both = attempts.withColumn("_failed", F.lit(0)).withColumn("_attempt", F.lit(True)).unionByName(marks.withColumn("_attempt", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(bucket).orderBy(ms).rangeBetween(-(width_ms - 1), 0)
+    counted = both.withColumn("failures", F.sum("_failed").over(w)).where("_attempt").drop("_failed", "_attempt")
+    return counted.withColumn("limited", F.col("failures") >= most)
 
 
 def admissions_stream(events: DataFrame, key: str, ms: str, event_id: str, limit: int, width_ms: int) -> DataFrame:
@@ -74,49 +172,64 @@ def admissions_stream(events: DataFrame, key: str, ms: str, event_id: str, limit
     return rows.groupBy(key).applyInPandasWithState(fold, schema, "granted array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def use_session(at: int, held: list[int], lasts_ms: int, refresh_ms: int) -> tuple[bool, int, list[int]]:
+    """(valid, expires, held) at a use; held is empty or (expires, refreshed).
+
+    A session starts with a first use, and is extended when its last refresh is old enough. A use after its end is
+    not valid and ends it; the next one starts another.
+    """
+    if held and at >= held[0]:
+        return False, held[0], []
+    if not held or at - held[1] >= refresh_ms:
+        held = [at + lasts_ms, at]
+    return True, held[0], held
+
+
 def extend_session(times: list[int], lasts_ms: int, refresh_ms: int) -> list[tuple[bool, int]]:
-    """(valid, expires) at each use: a session starts with the first, and is extended when its last refresh is old enough."""
-    out: list[tuple[bool, int]] = []
-    expires = refreshed = None
-    for t in times:
-        if expires is None:
-            expires, refreshed = t + lasts_ms, t
-        elif t >= expires:
-            out.append((False, expires))
-            expires = None
-            continue
-        elif t - refreshed >= refresh_ms:
-            expires, refreshed = t + lasts_ms, t
-        out.append((True, expires))
+    """(valid, expires) at each of the uses of one session in order."""
+    out, held = [], []
+    for at in times:
+        valid, expires, held = use_session(at, held, lasts_ms, refresh_ms)
+        out.append((valid, expires))
     return out
 
 
 def sessions(events: DataFrame, key: str, ms: str, event_id: str, lasts_ms: int, refresh_ms: int) -> DataFrame:
     """(key, event_id, valid, expires) for each use of a key's session."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ms, event_id])
-        found = extend_session(frame[ms].tolist(), lasts_ms, refresh_ms)
-        frame["valid"], frame["expires"] = [f[0] for f in found], [f[1] for f in found]
-        return frame[[key, event_id, "valid", "expires"]]
+    def start():
+        held: list[int] = []
+
+        def step(actor, piece, at, event):
+            valid, expires, held[:] = use_session(at, held, lasts_ms, refresh_ms)
+            return actor, event, valid, expires
+
+        return step
 
     kinds = dict(events.dtypes)
-    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, event_id, ms)
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, valid boolean, expires long")
+    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, ms, event_id)
+    cut = _pieces(rows, key, ms, event_id, lasts_ms, after=True).select(key, "_piece", ms, event_id)
+    return folds.running(cut, [key, "_piece"], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, valid boolean, expires long", start)
 
 
 def ingest_new(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Appends each key of a stream to a Parquet table once; a repeated micro-batch adds nothing."""
+    """Appends each key of a stream to a Parquet table once; rows without a key are appended as they come.
+
+    Each micro-batch is a partition of its own, `batch`, that is written whole or not at all and overwritten when
+    the batch is repeated. Keys that other batches brought are left out; only the key column of the table is read.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as error:  # the table is not there yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        new.write.mode("append").parquet(path)
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if there:
+            old = spark.read.schema(schema).parquet(path).where(F.col("batch") != batch_id).select(key)
+            new = new.join(old, key, "left_anti")
+        whole = new.unionByName(batch.where(F.col(key).isNull()))
+        whole.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

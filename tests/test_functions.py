@@ -193,10 +193,79 @@ def test_lifecycle(spark):
     assert lifecycle.merged_settings({"a": {"x": 1, "y": 2}, "b": 3}, {"a": {"x": 9}}) == {"a": {"x": 9, "y": 2}, "b": 3}
 
 
-def test_policy_and_retrieval(spark):
-    assert retrieval.policy(10, 1000, retrieval.Limits(), 5000) == "whole"
-    assert retrieval.policy(41, 1000, retrieval.Limits(), 5000) == "search"
-    assert retrieval.policy(41, 1000, retrieval.Limits(), 5000, pinned_chars=10) == "pinned"
+def test_policy(spark):
+    def way(n, chars, budget, pinned=0, mode="auto"):
+        n = F.lit(n).cast("int")
+        return tuple(value(spark, retrieval.policy(n, F.lit(chars), F.lit(budget), F.lit(pinned), F.lit(mode))))
+
+    assert way(10, 1000, 5000) == ("whole", None)
+    assert way(41, 1000, 5000) == ("search", None)
+    assert way(41, 1000, 5000, mode="full") == ("search", "scope too wide")
+    assert way(None, 0, 5000, mode="full") == ("search", "scope too wide")
+    assert way(40, 6000, 5000, mode="full") == ("search", "scope too long")
+    assert way(10, 1000, 5000, mode="search") == ("search", None)
+    assert way(41, 1000, 5000, pinned=10) == ("pinned", None)
+    assert way(41, 1000, 5000, pinned=5001, mode="full") == ("search", "pinned texts too long")
+    assert way(3, 1000, 5000, pinned=5001) == ("whole", None)
+
+
+def test_sources_with_kinds_and_skips(spark):
+    chunks = spark.createDataFrame([(d, s, "summary" if s == 0 else "transcript", f"{d}.{s}") for d in "ab" for s in range(6)], "item string, seq int, kind string, text string")
+    hits = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 3, 2), (2, "a", 1, 1), (2, "b", 5, 2)], "q int, item string, seq int, rank int")
+    out = retrieval.sources(hits, chunks, retrieval.Limits(8, 1, 1, 100), "item", "seq", ["q"], "kind").orderBy("q", "number").collect()
+    # a summary stands alone, and as a hit brings the first chunk; it is no neighbour
+    assert [(r["q"], r["item"], r["first"], r["last"], r["rank"]) for r in out] == [(1, "a", 0, 0, 1), (1, "b", 2, 4, 2), (1, "a", 1, 1, None), (2, "a", 1, 2, 1), (2, "b", 4, 5, 2)]
+    skip = spark.createDataFrame([(2, "a")], "q int, item string")
+    left = retrieval.unskipped(hits, skip, retrieval.Limits(1), ["q"], "item").orderBy("q").collect()
+    assert [(r["q"], r["item"], r["rank"]) for r in left] == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_unique_slugs_against_a_loop(spark, sf_dir):
+    from tessera.plans import records
+
+    def plain(names, reserved, most=26):
+        taken, out = set(reserved), []
+        for name in names:
+            slug, n = name, 2
+            while slug in taken:
+                slug, n = f"{name[:most]}-{n}", n + 1
+            taken.add(slug)
+            out.append(slug)
+        return out
+
+    names = ["a", "a", "a-2", "a", "a-2", "a-2-2", "a-4", "a", "llm", "x" * 40, "x" * 40, "x" * 30, "x" * 26 + "-2", "a-02", "a-02", "b-", "b-", "b"]
+    out = lifecycle.unique_slugs(spark.createDataFrame(list(enumerate(names)), "i int, s string"), "s", ["i"], ("llm",)).orderBy("i").collect()
+    assert [r["s"] for r in out] == plain(names, {"llm"})
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").collect()
+    ends = [lambda k: "", lambda k: "-2", lambda k: f"-{k % 4 + 1}", lambda k: "-with-a-name-that-is-rather-long", lambda k: ""]
+    want = plain([r["p_name"].replace(" ", "-") + ends[r["p_partkey"] % 5](r["p_partkey"]) for r in part], {"llm"})
+    assert [r["slug"] for r in records.unique_slugs(spark, sf_dir).orderBy("p_partkey").collect()] == want
+
+
+def test_quota(spark):
+    """Three questions a day for the site: a fourth is refused even from a new asker, an exempt one is not."""
+    rows = [(1, 0, "a", False), (2, 1, "a", False), (3, 2, "a", False), (4, 3, "b", False), (5, 4, "c", False), (6, 5, "boss", True), (7, usage.DAY_MS + 1, "c", False)]
+    out = usage.quota(spark.createDataFrame(rows, "id int, ms long, who string, free boolean"), "who", "ms", "id", 2, 3, "free").orderBy("id").collect()
+    assert [r["refused"] for r in out] == [None, None, "hour", None, "day", None, None]
+
+
+def test_limited_failures(spark):
+    log = spark.createDataFrame([("a", k * 1000) for k in range(10)] + [("b", 5)], "bucket string, ms long")
+    tries = spark.createDataFrame([(1, "a", 8_500), (2, "a", 9_000), (3, "a", 900_000), (4, "a", 899_999), (5, "b", 9_000), (6, "c", 1)], "id int, bucket string, ms long")
+    out = usage.limited(log, tries, "bucket", "ms").orderBy("id").collect()
+    assert [(r["failures"], r["limited"]) for r in out] == [(9, False), (10, True), (9, False), (10, True), (1, False), (0, False)]
+
+
+def test_nearest_in_rules(spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = known.where("vec_id = 7").selectExpr("vec_id as query_id", "embedding as query")
+    few, many = known.where("vec_id < 30").select("vec_id"), known.where("vec_id < 300").select("vec_id")
+    assert vectors.nearest_in(known, asked, 5, few.limit(0)).count() == 0
+    exact = vectors.nearest_in(known, asked, 5, few).collect()
+    assert vectors.nearest_in(known, asked, 5, few, overfetch=None).collect() == exact
+    lossy = vectors.nearest_in(known, asked, 5, many, overfetch=True).collect()
+    assert vectors.nearest_in(known, asked, 5, many, overfetch=None).collect() == lossy
+    assert all(r["id"] >= 30 for r in vectors.nearest_in(known, asked, 5, None, apart=few).collect())
 
 
 def test_embed_and_search(spark):
