@@ -25,8 +25,8 @@ from tessera.llm.common import components, least_names, materialize, spread_join
 COSINE = 0.9
 TABLES, HASHES, WIDTH, SEED = 40, 14, 2.0, 11
 SIGNS, LIMIT = 256, 70
-#: Members of one bucket, or of what buckets connect, that are compared at once; larger ones meet block against block.
-BLOCK = 1024
+#: Members of one bucket, and of what buckets connect, that are compared at once; larger ones meet block against block.
+BLOCK, MATCHED = 1024, 256
 #: Groups up to this size are screened together.
 SMALL = 64
 
@@ -161,10 +161,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["rep", "n", "other"])
 
 
-def _dealt(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """rows with block, i and j added: groups of more than BLOCK rows are in blocks, and each pair of blocks meets."""
-    big = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
-    big = materialize(big.select(key, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "big")
+def _dealt(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """rows with block, i and j added: groups of more than `most` rows are in blocks of about so many, and each pair of blocks meets."""
+    big = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    big = materialize(big.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_blocks")), "big")
     blocks = F.coalesce("_blocks", F.lit(1))
     rows = rows.join(big, key, "left").withColumn("block", F.pmod(F.xxhash64(member), blocks).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
@@ -191,11 +191,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     hashed = materialize(classes.select("rep", "embedding").mapInArrow(_hashed, "rep long, keys array<long>, signs array<long>"), "hashed")
     index = hashed.select(F.explode("keys").alias("bucket"), "rep", *(F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS // 64)))
-    met = _dealt(index, "bucket", "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "rep", *(f"s{k}" for k in range(SIGNS // 64)))
+    met = _dealt(index, "bucket", "rep", BLOCK).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "rep", *(f"s{k}" for k in range(SIGNS // 64)))
     near = materialize(met.mapInArrow(_connected, "u long, v long"), "near")
 
     joined = materialize(components(near).withColumnRenamed("node", "rep"), "joined")
-    groups = _dealt(joined, "component", "rep").join(classes.select("rep", "mult", "embedding"), "rep")
+    groups = _dealt(joined, "component", "rep", MATCHED).join(classes.select("rep", "mult", "embedding"), "rep")
     groups = groups.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "block", "rep", "mult", "embedding")
     found = materialize(groups.mapInArrow(_linked, "rep long, n long, other long"), "links")
 

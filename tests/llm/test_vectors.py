@@ -53,6 +53,7 @@ def test_links_against_brute_force(spark, monkeypatch):
     rows = planted()
     for block, small in ((1024, 64), (4, 3)):
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "MATCHED", block)
         monkeypatch.setattr(embedding_dedup, "SMALL", small)
         got = embedding_dedup.op3(table(spark, rows)).collect()
         assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == brute_links(rows)
