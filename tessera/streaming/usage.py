@@ -49,17 +49,13 @@ def admit(times: list[int], granted: list[int], limit: int, width_ms: int) -> tu
     return out, granted
 
 
-def _pieces(events: DataFrame, key: str, ms: str, event_id: str, gap_ms: int, after: bool = False) -> DataFrame:
-    """events with `_piece`: a key's history cut where nothing of what was before matters any more.
+def _pieces(events: DataFrame, key: str, ms: str, event_id: str, gap_ms: int) -> DataFrame:
+    """events with `_piece`: a key's history cut at events so long after the one before that nothing of it matters any more.
 
-    That is at an event at least gap_ms after the one before; or, with after, at the one that follows such an event.
     A busy key's pieces are dealt to different tasks.
     """
     w = Window.partitionBy(key).orderBy(ms, event_id)
-    wide = F.coalesce((F.col(ms) - F.lag(ms).over(w) >= gap_ms).cast("int"), F.lit(0))
-    cut = events.withColumn("_cut", wide)
-    if after:
-        cut = cut.withColumn("_cut", F.coalesce(F.lag("_cut").over(w), F.lit(0)))
+    cut = events.withColumn("_cut", F.coalesce((F.col(ms) - F.lag(ms).over(w) >= gap_ms).cast("int"), F.lit(0)))
     return cut.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
@@ -195,12 +191,12 @@ def extend_session(times: list[int], lasts_ms: int, refresh_ms: int) -> list[tup
 
 
 def sessions(events: DataFrame, key: str, ms: str, event_id: str, lasts_ms: int, refresh_ms: int) -> DataFrame:
-    """(key, event_id, valid, expires) for each use of a key's session."""
+    """(key, event_id, valid, expires) for each use of a key's session; what is held of a key are two times."""
 
     def start():
         held: list[int] = []
 
-        def step(actor, piece, at, event):
+        def step(actor, at, event):
             valid, expires, held[:] = use_session(at, held, lasts_ms, refresh_ms)
             return actor, event, valid, expires
 
@@ -208,8 +204,7 @@ def sessions(events: DataFrame, key: str, ms: str, event_id: str, lasts_ms: int,
 
     kinds = dict(events.dtypes)
     rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, ms, event_id)
-    cut = _pieces(rows, key, ms, event_id, lasts_ms, after=True).select(key, "_piece", ms, event_id)
-    return folds.running(cut, [key, "_piece"], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, valid boolean, expires long", start)
+    return folds.running(rows, [key], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, valid boolean, expires long", start)
 
 
 def ingest_new(stream: DataFrame, path: str, key: str, checkpoint: str):

@@ -312,3 +312,15 @@ def test_nearest_answers_more_queries_than_a_block_holds(spark, sf_dir):
     path = tempfile.mkdtemp(prefix="tessera-queries-")
     copies.write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
     assert search._queries(spark, path).count() == 5000
+
+
+def test_feed_elements_in_others(spark):
+    """An element that lies in another one counts where it has no place of its own; names that only begin alike do not."""
+    xml = "<RSS><channel x='1'><titles>no</titles><TITLE>Top</TITLE><item><description><![CDATA[<link>in</link> a]]></description></item><item><guide>g</guide><guid >  &lt;1&gt; </guid><title>t1</title><title>t2</title><pubDate>2026-09-14T15:00:00Z</pubDate></item><item/></channel>tail</RSS>"
+    src = spark.createDataFrame([(1, xml), (2, None), (3, "<channel></channel>")], "feed int, xml string")
+    rows = feeds.parse_feed(src).orderBy("position").collect()
+    assert [(r["guid"], r["title"], r["description"], str(r["published_at"])) for r in rows] == [("in", "Untitled episode", "in a", "None"), ("<1>", "t1", None, "2026-09-14 15:00:00")]
+    assert [(r["is_feed"], r["title"]) for r in feeds.feed_titles(src).orderBy("feed").collect()] == [(True, "Top"), (False, None), (False, None)]
+    times = ["Sun, 14 Sep 2026 15:00:00 GMT", "14 Sep 2026 15:00 +0100", "Mon, 4 Sep 2026 01:02:03 Z", "2026-09-14", "2026-09-14T15:00:00.500Z", "14/9/2026", ""]
+    got = [value(spark, tx.publication_time(F.lit(t))) for t in times]
+    assert [None if g is None else str(g) for g in got] == ["2026-09-14 15:00:00", "2026-09-14 14:00:00", "2026-09-04 01:02:03", "2026-09-14 00:00:00", "2026-09-14 15:00:00.500000", None, None]
