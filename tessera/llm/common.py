@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -52,13 +60,16 @@ def drop_tables(spark: SparkSession, frames: list[DataFrame]) -> None:
                 folder.getFileSystem(conf).delete(folder, True)
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], rank: str, salts: int = 256, salt: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, key: list[str], order: list[str], rank: str, salts: int = 256, tie: str | None = None) -> DataFrame:
     """Adds a gapless rank from 0 within each key, without bringing a key's rows together.
 
-    Rows are dealt by (key, salt); each salt's rank starts where the salts before it end. The table of
-    (key, salt) counts has at most keys x salts rows, whatever the size of a key.
+    Rows are dealt by (key, salt), the salt being a hash of what they are ordered by and, given a column that tells
+    all rows of a written table apart, of that: so rows alike in everything else are dealt, too. Each salt's rank
+    starts where the salts before it end. The table of (key, salt) counts has at most keys x salts rows, whatever
+    the size of a key.
     """
-    salted = df.withColumn("_salt", (salt if salt is not None else F.pmod(F.xxhash64(*order), F.lit(salts))).cast("int"))
+    order = [*order, *([tie] if tie else [])]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, salted
+from tessera.llm.common import drop_tables, materialize, salted
 from tessera.llm.url_filter import host_of
 
 #: A class needs so many of the host's different pages, as a share and at least.
@@ -258,8 +258,9 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html", "host").mapInArrow(run, PARSED)
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(host, token, kind, frame): the tokens of each host's template, for rows of PARSED; frame marks the root's class.
+    Also the tables written on the way, to be deleted after use.
 
     Copies of a page count once, by the hash of their whole html. The occurrence vector of a token is summed up
     as an exclusive or over (page, count), a partial aggregate, so no host's pages meet in one task; order is
@@ -285,12 +286,14 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = classes.join(ordered, "cls").join(hung, "cls", "left").where("elements > 0 and ordered and (up is null or up = other)")
     valid = materialize(valid.select("cls", "told", "up"), "valid")
 
+    steps = [vectors, supported, valid]
     level = valid.where("up is null")
     nested = level.select("cls", "told", F.lit(True).alias("frame"))
     while not level.isEmpty():
         level = materialize(valid.join(level.select(F.col("cls").alias("up")), "up", "left_semi"), "level")
+        steps.append(level)
         nested = nested.union(level.select("cls", "told", F.lit(False)))
-    return supported.where(F.col("kind") != ELEMENT).join(nested.where("told"), "cls").select("host", "token", "kind", "frame")
+    return supported.where(F.col("kind") != ELEMENT).join(nested.where("told"), "cls").select("host", "token", "kind", "frame"), steps
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -305,7 +308,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     rows = parsed(pages.select("page_id", "url", "html", host_of("url").alias("host"))).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "parsed")
-    template = materialize(templates(rows), "templates")
+    template, steps = templates(rows)
+    template = materialize(template, "templates")
+    drop_tables(rows.sparkSession, steps)
     owned = rows.select("row", "host", "marked", F.explode(F.array_distinct("owners")).alias("token"))
     # of a marked page, what is in no frame goes if anything is in one; of others, what is in the template
     fixed = template.where(f"(kind = {MARKED} and frame) or kind = {TEXT}").select("host", "token", (F.col("kind") == MARKED).alias("marked"))

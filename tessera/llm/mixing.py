@@ -79,8 +79,8 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return share(ends.join(middle, ["domain", "lang"]), ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "budget")
 
 
-def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
-    """docs with `_epoch` added: a row for each time a document is selected.
+def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens: Column | None = None, epoch: str = "_epoch") -> DataFrame:
+    """docs with a column epoch added, which docs must not have: a row for each time a document is selected.
 
     A leaf of A tokens and budget B gives all its documents floor(B / A) times, and in one more epoch the
     longest prefix, in an order seeded by (seed, epoch, id), whose tokens fit what is left of B. Rows alike in id
@@ -88,8 +88,8 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
 
     Rows are separate whatever their ids. Null languages and sources form leaves of their own, named ''. Null ids
     are ordered as ''. Null and empty texts have no tokens; a leaf without tokens has no budget and is left out,
-    since it cannot serve any weight. An empty table gives an empty result. Other columns, whatever their names
-    (but for those below that begin with an underscore), come through as they are.
+    since it cannot serve any weight. An empty table gives an empty result. Other columns, whatever their names,
+    come through as they are. Texts of any length are counted whole.
 
     Texts are read twice and never shuffled: sizes and places in the order go to a narrow table, and all that
     comes back from it is each leaf's last place. That place is found level by level, from the sums of 256 parts
@@ -131,11 +131,11 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tokens:
     last = end.select(*leaf, "_part").join(last, leaf, "left").select(*leaf, F.coalesce("_last", F.struct(F.col("_part").alias("_order"), F.lit(-1).cast("long").alias("_tokens"))).alias("_last"))
     plan = materialize(plan.join(last, leaf, "left"), "places")
 
-    rows = docs.select("*", *where, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), size.alias("_tokens"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *where, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), size.alias("_tokens"))
     mine = F.struct(place(F.col("_id")).alias("_order"), F.col("_tokens"))
     copies = F.col("_whole") + F.coalesce(mine <= F.col("_last"), F.lit(False)).cast("long")
     chosen = rows.join(plan, leaf).withColumn("_copies", copies).where("_copies > 0")
-    return chosen.select(*[chosen[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_epoch"))
+    return chosen.select("_doc.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias(epoch))
 
 
 def op2(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -128,7 +128,7 @@ def two_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32); a column row that tells them apart is used and dropped.
 
     The lengths' counts, at most max_tokens rows, are all that the driver sees; the plan that goes back to the
     tasks has a row for each length of each different bin, a number that the lengths bound and the corpus does not.
@@ -156,7 +156,7 @@ def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                 names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    order = ranked(cut, ["length"], ["id", "piece", "start", "ids_crc32"], "rank", salts=128)
+    order = ranked(cut, ["length"], ["id", "piece", "start", "ids_crc32"], "rank", salts=128, tie="row" if "row" in cut.columns else None).drop("row")
     return order.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
@@ -164,6 +164,7 @@ def op10(docs: DataFrame) -> DataFrame:
     """One row per piece, with its sequence and its offset there.
 
     Null and empty texts are the one id END_ID. Rows with equal or null ids are separate documents. An empty table
-    gives an empty result. Texts of any length are tokenised whole.
+    gives an empty result. Texts of any length are tokenised whole. Other columns, whatever their names, are not read.
     """
-    return pack(materialize(pieces(docs), "pieces")).withColumnRenamed("id", "doc_id")
+    cut = materialize(pieces(docs).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(cut).withColumnRenamed("id", "doc_id")

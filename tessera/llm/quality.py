@@ -148,8 +148,8 @@ def fit(x: np.ndarray, labels: np.ndarray, s: Settings = Settings()) -> Model:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that no model learns from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows that no model learns from. A null id is not among them: it has no labels either way."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
@@ -166,8 +166,16 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     return fit(np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES), np.array([r["label"] for r in rows], np.int64), s)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """docs with the score of each whole text added as a column called name; null scores like the empty text."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str | None = None) -> DataFrame:
+    """docs with the score of each whole text added as a column, called name or else `_score`, which docs must not have.
+
+    Null scores like the empty text. Without labels of both classes every score is the same: 0.5, or 0.05 if all
+    labelled texts are bad. Texts of any length are read whole. Rows with equal or null ids are scored each on its own;
+    an empty table gives an empty result.
+    """
+    name = name or "_score"
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -177,5 +185,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted): one row per row of docs; other columns, whatever their names, are not read."""
     out = scored(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= GOOD_AT).cast("int").alias("predicted"))

@@ -117,7 +117,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
 
     Null texts have size OVERHEAD, a null checksum and form one group; rows with equal or null ids are separate
     rows. A group larger than an equal share has a shard of at least its own size. With few groups some shards
-    stay empty; an empty table gives an empty result.
+    stay empty; an empty table gives an empty result. Texts of any length count whole. Other columns, whatever their
+    names, are not read.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -125,11 +126,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
         F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
         F.xxhash64(text_col).alias("key"),
     )
-    rows = materialize(rows, "sizes")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     cuts = minimax_cuts(groups, shards)
     shard = sum(((F.col("key") >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("int")
-    return ranked(rows.withColumn("shard", shard), ["shard"], ["key", "id", "text_crc32"], "slot", salt=F.pmod(F.xxhash64("id", "key"), F.lit(256))).drop("key")
+    return ranked(rows.withColumn("shard", shard), ["shard"], ["key", "id", "text_crc32"], "slot", tie="row").drop("key", "row")
 
 
 def op7(docs: DataFrame) -> DataFrame:

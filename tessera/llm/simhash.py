@@ -158,7 +158,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col
 
     rows = index.select("fp").distinct().join(classes.select("fp", "row"), "fp").select("fp", "row.*")
     rows = rows.select("fp", F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
-    texts = _keyed(docs, id_col, text_col).join(rows, ["_none", "_id", "_same"]).select("fp", F.col(text_col).cast("binary").alias("text"))
+    texts = _keyed(docs, id_col, text_col).join(rows, ["_none", "_id", "_same"]).select("fp", F.col("_doc")[text_col].cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,17 +234,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links, itself included. Null, empty and blank texts have
     fingerprint zero and link like any other. Rows with equal ids stay separate rows, linked only if their texts
     are; rows with a null id take part, but give no component its name: a component of such rows only has
-    component_id null. An empty table gives an empty result. Equal texts meet in one class before anything is
-    compared.
+    component_id null. An empty table gives an empty result. Texts of any length are read whole. Other columns,
+    whatever their names, are not read. Equal texts meet in one class before anything is compared.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     return spread_join(prints, labelled(prints).select("fp", "component_id"), ["fp"], ["id", "same"]).select("id", "fp", "component_id")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with a key of each row's id and text that has no nulls, so that the partitions of joins serve later steps, too."""
+    """(_doc, _none, _id, _same): rows as structs, with a key of each row's id and text that has no nulls, so that the partitions of joins serve later steps, too."""
     number = F.col(id_col).cast("long")
-    return docs.select("*", number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("_same"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return docs.select(whole, number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("_same"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -252,8 +253,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
     Fingerprints are linked within MAX_BITS, as in op1, or, given a similarity, texts whose sets of shingles of
     so many words have at least that Jaccard index. Of several rows with that id, one with the smallest hash of its
-    text stays, and of rows equal in both, any one. A component without any id keeps one row in the same way. Texts
-    are shuffled once; given a similarity, those that share a word with others, also to be verified.
+    text stays, and of rows equal in both, any one. A component without any id keeps one row in the same way. Null,
+    empty and blank texts are alike, so one of them stays. Texts of any length are read whole; an empty table gives an
+    empty result; all columns come through as they are, whatever their names. Texts are shuffled once; given a
+    similarity, those that share a word with others, also to be verified.
     """
     if similarity is None:
         if shingle != SHINGLE:
@@ -265,7 +268,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     kept = classes.groupBy("component").agg(F.min("row").alias("row")).select("row.*")
     key = ["_none", "_id", "_same"]
     kept = kept.select(F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
-    return _keyed(docs, id_col, text_col).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    return _keyed(docs, id_col, text_col).join(kept, key, "left_semi").dropDuplicates(key).select("_doc.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:

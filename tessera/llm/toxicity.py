@@ -7,26 +7,28 @@ a word's share of the logit is one number, so scoring a document is a weighted c
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import drop_tables, materialize
+
 TOXIC_AT = 0.7
 
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class bounds the labelled rows that the model is fitted on; everything else is scored whole."""
+    """per_class and most_mb bound the labelled rows that the model is fitted on; everything else is scored whole."""
 
     per_class: int = 3000
+    #: Megabytes of bags of a class: a text of a hundred thousand different words is 256 KB.
+    most_mb: int = 128
     buckets: int = 1 << 16  # at most: a bucket's number takes two bytes
     dim: int = 4
     shortest: int = 3
@@ -47,8 +49,8 @@ class Settings:
 
 #: Not part of a word at its ends.
 PUNCTUATION = ".,;:!?\"'()[]{}|"
-#: Weights of a word that occurs so often.
-LOGS = [0.0, *(1 + math.log(n) for n in range(1, 64))]
+#: Bytes of text that are split into words at once, about.
+SLICE = 4 << 20
 #: What a weight of one is stored as: in half precision, small weights would lose digits.
 UNIT = 4096
 #: Words whose share a task remembers.
@@ -65,26 +67,46 @@ def subwords(word: str, s: Settings) -> list[int]:
     return own
 
 
-def words_of(text: str | None) -> dict[str, float]:
-    """The words of a text and their weights: a word counts less each time it is repeated."""
-    counts = Counter((text or "").lower().split())
-    return {w: LOGS[n] if n < len(LOGS) else 1 + math.log(n) for w, n in counts.items()}
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts of about SLICE bytes, one text at least, nulls as empty texts."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
 
+def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, word, n, words): how often each different word of words occurs in which text, by text; words are lowered."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    lengths, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists)
+    coded = flat.dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    key, n = np.unique(np.repeat(np.arange(len(texts)), lengths) * max(len(words), 1) + code, return_counts=True)
+    at, word = np.divmod(key, max(len(words), 1))
+    real = np.array([bool(w) for w in words], bool)[word] if len(word) else np.zeros(0, bool)  # blanks at an end leave empty words
+    return at[real], word[real], n[real], words
 
-def bag(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text, as 16-bit numbers, and their weights, which sum to UNIT times the words' share of words and neutral words."""
-    words = words_of(text)
-    total = sum(words.values()) + s.neutral
-    ids: list[int] = []
-    weights: list[float] = []
-    for word, n in words.items():
-        own = subwords(word.strip(PUNCTUATION), s)
-        ids += own
-        weights += [n / total / len(own)] * len(own)
-    if not ids:
-        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
-    uniq, at = np.unique(np.array(ids, np.int32), return_inverse=True)
-    return uniq.astype(np.uint16), (UNIT * np.bincount(at, weights)).astype(np.float16)
+
+def bags(texts: pa.Array, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its buckets, as 16-bit numbers, and their weights, which sum to UNIT times the words' share of words and neutral words.
+
+    A word counts less each time it is repeated.
+    """
+    for part in slices(texts):
+        at, word, n, words = word_counts(part)
+        weight = 1 + np.log(n)
+        bounds = np.searchsorted(at, np.arange(len(part) + 1))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = [subwords(words[w].strip(PUNCTUATION), s) for w in word[lo:hi].tolist()]
+            total = weight[lo:hi].sum() + s.neutral
+            ids = np.array([i for o in own for i in o], np.int32)
+            shares = np.repeat(weight[lo:hi] / total / [len(o) for o in own], [len(o) for o in own]) if own else np.zeros(0)
+            uniq, place = np.unique(ids, return_inverse=True)
+            yield uniq.astype(np.uint16), (UNIT * np.bincount(place, shares, len(uniq))).astype(np.float16)
 
 
 @dataclass
@@ -147,26 +169,30 @@ class Scorer:
         self.model, self.memory, self.share = model, {}, model.share.tolist()
 
     def word(self, word: str) -> float:
-        if len(self.memory) >= CACHE:
-            self.memory.clear()
-        own = subwords(word.strip(PUNCTUATION), self.model.settings)
-        value = self.memory[word] = sum([self.share[i] for i in own]) / len(own)
+        value = self.memory.get(word)
+        if value is None:
+            if len(self.memory) >= CACHE:
+                self.memory.clear()
+            own = subwords(word.strip(PUNCTUATION), self.model.settings)
+            value = self.memory[word] = sum([self.share[i] for i in own]) / len(own)
         return value
 
-    def score(self, text: str | None) -> float:
-        words = words_of(text)
-        known, total, logit = self.memory, self.model.settings.neutral, 0.0
-        for word, n in words.items():
-            value = known.get(word)
-            logit += n * (self.word(word) if value is None else value)
-            total += n
-        logit = logit / total + self.model.bias
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """0 to 1 for each text: the mean of what its words add, by their weights, with the neutral words, as one sum over many texts."""
+        out = []
+        for part in slices(texts):
+            at, word, n, words = word_counts(part)
+            weight = 1 + np.log(n)
+            value = np.array([self.word(w) for w in words])
+            logit = np.bincount(at, weight * value[word], len(part)) if len(at) else np.zeros(len(part))
+            logit = logit / (np.bincount(at, weight, len(part)) + self.model.settings.neutral) + self.model.bias
+            out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that no model learns from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Rows that no model learns from. A null id is not among them: it has no labels either way."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: int) -> DataFrame:
@@ -186,36 +212,51 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: int
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """The model of a bounded sample of labelled rows; their bags are made where the texts are."""
+    """The model of a bounded sample of labelled rows; their bags are made where the texts are.
+
+    The sample of a class ends after per_class rows or most_mb of bags, in the order of a hash of their contents; this
+    is all that the driver ever holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [bag(t.as_py(), s) for t in batch.column(0)]
-            cols = [batch.column(1), pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].tobytes() for b in bags], pa.binary())]
+            found = list(bags(batch.column(0), s))
+            cols = [batch.column(1), pa.array([b[0].tobytes() for b in found], pa.binary()), pa.array([b[1].tobytes() for b in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["label", "ids", "weights"])
 
-    rows = sample(docs, labels, "toxic", ~held_out(), s.per_class).mapInArrow(run, "label int, ids binary, weights binary").toArrow()
+    made = materialize(sample(docs, labels, "toxic", ~held_out(), s.per_class).mapInArrow(run, "label int, ids binary, weights binary"), "bags")
+    # at most 2 x per_class rows
+    sizes = made.select("label", F.xxhash64("ids", "weights").alias("order"), (F.octet_length("ids") + F.octet_length("weights")).alias("size"))
+    through = Window.partitionBy("label").orderBy("order")
+    last = sizes.withColumn("sum", F.sum("size").over(through)).where(F.col("sum") <= s.most_mb << 20).groupBy("label").agg(F.max("order").alias("last"))
+    rows = made.join(F.broadcast(last), "label").where(F.xxhash64("ids", "weights") <= F.col("last")).select("label", "ids", "weights").toArrow()
+    drop_tables(docs.sparkSession, [made])
     rows = sorted(zip(*(rows[c].to_pylist() for c in rows.column_names)))  # so that the model doesn't depend on the order of tasks
-    bags = [(np.frombuffer(ids, np.uint16), np.frombuffer(weights, np.float16)) for _, ids, weights in rows]
-    return fit(bags, np.array([label for label, _, _ in rows], np.int64), s)
+    found = [(np.frombuffer(ids, np.uint16), np.frombuffer(weights, np.float16)) for _, ids, weights in rows]
+    return fit(found, np.array([label for label, _, _ in rows], np.int64), s)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """docs with the score of each whole text added as a column called name.
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str | None = None) -> DataFrame:
+    """docs with the score of each whole text added as a column, called name or else `_score`, which docs must not have.
 
     Null and empty texts get the score of a text without words. Without labels of both classes every score is a
-    constant: 0.5 if there are none, else on the side of the only class.
+    constant: 0.5 if there are none, else on the side of the only class. Texts of any length are scored whole, a few
+    megabytes at a time. Rows with equal or null ids are scored each on its own; an empty table gives an empty result.
     """
+    name = name or "_score"
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(model)
         for batch in texts:
-            yield pd.Series([own.score(t) for t in batch], dtype="float64")
+            yield pa.array(own.scores(batch), pa.float64())
 
     return docs.withColumn(name, score(F.col(text_col)))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted): one row per row of docs; other columns, whatever their names, are not read."""
     out = scored(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= TOXIC_AT).cast("int").alias("predicted"))

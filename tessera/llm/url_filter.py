@@ -67,12 +67,14 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     """Personalised PageRank (host, score) over edges (src, dst, weight: the share of src's links) from seeds (host, weight).
 
     A step is one join with the edges and one sum by host, both over hosts, not pages; sums are partial
-    aggregates. Every CUT steps the scores become a table in the shared folder.
+    aggregates. Every CUT steps the scores become a table in the shared folder. Without edges the seeds keep their
+    scores but for what would have flowed on.
     """
     spark = edges.sparkSession
+    rounds = 0 if edges.isEmpty() else rounds
     total = seeds.agg(F.sum("weight")).first()[0] or 0.0
     start = materialize(seeds.select("host", (F.col("weight") / (total or 1.0)).alias("score")), "seeds")
-    scores, old = start, None
+    scores, old = start if rounds else start.withColumn("score", F.col("score") * (1 - DAMPING)), None
     for step in range(1, rounds + 1):
         moved = edges.join(scores, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("weight") * F.col("score") * DAMPING).alias("score"))
         kept = start.select("host", (F.col("score") * (1 - DAMPING)).alias("score"))
@@ -98,7 +100,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null urls and urls without :// have an empty host and path and no rule. Null html has no links. A host that
     neither trust nor distrust reaches is allowed. Rows with equal or null ids stay separate rows. An empty table
-    gives an empty result.
+    gives an empty result. Urls and pages of any length are read whole. Other columns, whatever their names, are not read.
     """
     verdicts = {r.name: r.verdict for r in rules}
     given = F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair])

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import quality, toxicity
@@ -41,9 +42,10 @@ def test_held_out_rule(spark):
 def test_misspellings_share_subwords():
     s = toxicity.Settings(epochs=10)
     texts = ["the quiet house by the sea", "you are such an idiot today"] * 30
-    bags = [toxicity.bag(t, s) for t in texts]
+    bags = list(toxicity.bags(pa.array(texts), s))
     scorer = toxicity.Scorer(toxicity.fit(bags, np.array([0, 1] * 30), s))
-    assert scorer.score("oh idiiot") > scorer.score("oh house")
+    wrong, right = scorer.scores(pa.array(["oh idiiot", "oh house"]))
+    assert wrong > right
 
 
 def test_odd_rows_and_no_labels(spark, docs):
