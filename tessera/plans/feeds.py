@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import spread, table
 from tessera.sources import feeds
 
 
@@ -37,7 +37,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         opt(kind.isin(0, 1, 4), "<description><![CDATA[<p>From  <b>John</b> on ", F.col("o_orderstatus"), "</p>]]></description>"), F.lit("</item>"),
     )
     xml = F.concat(F.lit("<rss><channel><title>Feed</title>"), item, F.lit("</channel></rss>"))
-    rows = feeds.parse_feed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("feed"), xml.alias("xml")))
+    rows = feeds.parse_feed(spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("feed"), xml.alias("xml")))
     return rows.select("feed", "guid", "title", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "audio_url", "duration_seconds", "description", "author")
 
 

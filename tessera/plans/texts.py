@@ -9,7 +9,7 @@ from tessera.functions import refs
 from tessera.functions import text as tx
 from tessera.operators import citations
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import spread, table
 
 PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
@@ -158,7 +158,7 @@ def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("See Jude "), v, F.lit("; xjohn 3 is none. ")),
         F.concat(F.lit("In JOHN "), c, F.lit(":"), v, F.lit("–0 and 1 Genesis. ")),
     ]
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.get(F.array(*asides), (F.col("turn") % 4).cast("int")), "text"))
+    rows = spread(table(spark, sf_dir, "conversations")).withColumn("text", F.concat(F.get(F.array(*asides), (F.col("turn") % 4).cast("int")), "text"))
     return rows.select("conv_id", "turn", F.explode(refs.mentions("text")).alias("m")).select("conv_id", "turn", "m.*")
 
 

@@ -35,3 +35,9 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", app:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt over the cores, for work on each row that costs more than moving it; one of many files as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
