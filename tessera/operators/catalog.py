@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,3 +117,60 @@ def ranked_values(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, rank): by number, then by name."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+
+
+def summary_of_facets(entries: DataFrame, values: dict[str, str], id_col: str, published: str) -> DataFrame:
+    """(kind, value, n, rank, total, earliest, latest) of several facets of a catalogue that is read newest first.
+
+    The facet called series is ranked by when a value is first seen in that order, others by number and then name.
+    """
+    place = F.struct(F.col(published).isNull(), -F.unix_micros(F.col(published).cast("timestamp")), F.col(id_col))
+    each = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in values.items()]
+    told = entries.select(place.alias("_place"), F.explode(F.array(*each)).alias("f")).select("_place", "f.kind", "f.value").where("value <> ''")
+    counts = told.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_seen"))
+    by_kind = Window.partitionBy("kind")  # a row for each value of a facet
+    rank = F.when(F.col("kind") == "series", F.row_number().over(by_kind.orderBy("_seen"))).otherwise(F.row_number().over(by_kind.orderBy(F.desc("n"), "value")))
+    totals = entries.agg(F.count(F.lit(1)).alias("total"), F.min(day(published)).alias("earliest"), F.max(day(published)).alias("latest"))  # one row
+    return counts.withColumn("rank", rank).drop("_seen").join(F.broadcast(totals))
+
+
+def limited_then_filtered(rows: DataFrame, order: list, most: int, keep: Column) -> DataFrame:
+    """Of the first so many rows those that pass: what a page shows, which may be fewer than there are."""
+    return rows.orderBy(*order).limit(most).where(keep)
+
+
+def filtered_then_sliced(rows: DataFrame, order: list, offset: int, most: int, keep: Column) -> DataFrame:
+    """A slice of the rows that pass, with their total: what an interface returns."""
+    passing = rows.where(keep)
+    return passing.orderBy(*order).offset(offset).limit(most).join(F.broadcast(passing.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def reading_order(published: str, item: str, seq: str) -> list:
+    """Oldest first, what has no date before all."""
+    return [F.asc_nulls_first(published), F.asc(item), F.asc(seq)]
+
+
+#: Forms of a day and an id in requests, how long a text and how many ids they may have.
+DAY, ID, MAX_TEXT, MAX_IDS = re.compile(r"\d{4}-\d{2}-\d{2}"), re.compile(r"[\w-]{1,64}"), 120, 50
+
+
+def read_filters(params: dict[str, list[str]]) -> dict | str:
+    """Filters of a request (series, speaker, from, to, ids), or what is wrong with it. Texts are cut, ids taken once each."""
+    texts = {k: (params.get(k) or [""])[0].strip()[:MAX_TEXT] for k in ("series", "speaker", "from", "to")}
+    for k in ("from", "to"):
+        if texts[k] and not DAY.fullmatch(texts[k]):
+            return f"{k} must be a day like 2024-01-31"
+    ids = [i for given in params.get("id", []) for i in map(str.strip, given.split(",")) if i]
+    if not all(ID.fullmatch(i) for i in ids):
+        return "each id must be one of the catalogue's"
+    found = {k: v for k, v in texts.items() if v}
+    return found | ({"ids": list(dict.fromkeys(ids))[:MAX_IDS]} if ids else {})
+
+
+def read_count(params: dict[str, list[str]], name: str, fallback: int, most: int) -> int | str:
+    """A whole number of a request, the fallback if it is not given, or what is wrong with it."""
+    raw = (params.get(name) or [""])[0]
+    least = 0 if name == "offset" else 1
+    if raw == "":
+        return fallback
+    return int(raw) if re.fullmatch(r"\s*\+?\d+\s*", raw) and least <= int(raw) <= most else f"{name} must be a whole number from {least} to {most}"

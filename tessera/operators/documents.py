@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import citations
 from tessera.operators.providers import Chat
 
@@ -44,10 +46,46 @@ def assemble(parts: DataFrame) -> DataFrame:
             found = [citations.assemble(list(t), set(i) if given else None) for t, i in zip(frame["texts"], frame["ids"])]
             yield pd.DataFrame({"document": frame["document"], "markdown": [f[0] for f in found], "sources": [f[1] for f in found]})
 
-    from pyspark.sql import functions as F
-
     kind = dict(parts.dtypes)["document"]
     ids = F.flatten(F.collect_list("ids")) if given else F.array().cast("array<string>")
     listed = parts.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"), ids.alias("ids"))
     listed = listed.select("document", F.transform("p", lambda x: x["text"]).alias("texts"), "ids")
     return listed.mapInPandas(run, f"document {kind}, markdown string, sources array<string>")
+
+
+def export(written: DataFrame, sources: DataFrame, origin: str) -> DataFrame:
+    """(document, text): written documents (document, title, markdown) as files, with a numbered list of linked sources.
+
+    sources has (document, n, title, item, seq, kind, start, day); one document's list is one row.
+    """
+    shown = F.replace("title", F.lit("]"), F.lit("\\]"))
+    link = F.concat(F.col("n").cast("string"), F.lit(". ["), shown, F.lit(f"]({origin}/episodes/"), F.col("item").cast("string"), F.lit("#t-"), F.col("seq").cast("string"), F.lit("), "))
+    where = F.when(F.col("kind") == "summary", "summary").when(F.col("start").isNotNull(), F.concat(F.lit("at "), tx.format_time("start")))
+    lines = sources.select("document", "n", F.concat(link, F.concat_ws(", ", "day", where)).alias("line"))
+    listed = lines.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("list"))
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown", F.lit("\n\n## Sources\n\n"), F.coalesce("list", F.lit("")), F.lit("\n"))
+    return written.join(listed, "document", "left").select("document", text.alias("text"))
+
+
+def export_transcripts(items: DataFrame, chunks: DataFrame, origin: str, place: str = "", markdown: bool = True) -> DataFrame:
+    """(item, text): transcripts as files, in Markdown or plain.
+
+    items has (item, title, day, speaker, summary, main_reference, topics, references), chunks (item, seq, text,
+    start); one item's chunks are one row.
+    """
+    stamp = F.when(F.col("start").isNotNull(), F.concat(F.lit("**" if markdown else "["), tx.format_time("start"), F.lit("** " if markdown else "] "))).otherwise("")
+    said = chunks.select("item", "seq", F.concat(stamp, tx.full_trim("text"), F.lit("" if markdown else "\n")).alias("line"))
+    between = "\n\n" if markdown else "\n"
+    listed = said.groupBy("item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), between).alias("body"))
+    filled = lambda c: F.when(c != "", c)
+    about = F.concat_ws(" · ", filled(F.col("day")), filled(F.col("speaker")), filled(F.lit(place)))
+    link = F.concat(F.lit(f"From {origin}/episodes/"), F.col("item").cast("string"))
+    named = lambda name, c: F.when(c != "", F.concat(F.lit(f"**{name}:** "), c))
+    if markdown:
+        parts = [
+            F.concat(F.lit("# "), "title"), filled(about), F.concat(F.lit("## Summary\n\n"), tx.full_trim("summary")), named("Main text", F.col("main_reference")), named("Topics", F.array_join("topics", ", ")),
+            named("Scripture", F.array_join("references", ", ")), F.lit("## Transcript"), filled(F.col("body")), F.concat(F.lit("---\n\n"), link),
+        ]
+    else:
+        parts = [F.col("title"), about, F.lit(""), F.col("body"), link]
+    return items.join(listed, "item", "left").select("item", F.concat(F.concat_ws(between, *parts), F.lit("\n")).alias("text"))

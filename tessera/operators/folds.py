@@ -79,6 +79,24 @@ def packed_lines(docs: DataFrame, cap: int, between: int, each: int = 0) -> Data
     return grouped.select("doc_id", "part", "n", "first", "last", (F.col("size") + between * (F.col("n") - 1) + each * F.col("n")).alias("chars"), F.concat_ws(" ", F.transform("own", lambda x: x["segment"])).alias("text"))
 
 
+def built_chunks(items: DataFrame, segments: DataFrame, cap: int = 1200, key: str = "item") -> DataFrame:
+    """(item, seq, kind, text, start, end): each item's summary as chunk 0, then its segments packed to cap with their times.
+
+    items has (item, summary, main_reference, topics, references), segments (item, at, text, start, end). One item's
+    segments are one array.
+    """
+    line = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c))
+    told = [F.col("summary"), line("Main text", F.col("main_reference")), line("Topics", F.array_join("topics", ", ")), line("Scripture", F.array_join("references", ", "))]
+    nothing = F.lit(None).cast("double")
+    summaries = items.select(key, F.lit(0).alias("seq"), F.lit("summary").alias("kind"), F.concat_ws("\n", *told).alias("text"), nothing.alias("start"), nothing.alias("end"))
+    listed = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "text", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("segments"))
+    packed = pack_greedy(listed.withColumn("sizes", F.transform("segments", lambda x: F.length(x["text"]))), "sizes", cap, 1)
+    flat = packed.select(key, F.explode(F.arrays_zip("segments", "parts")).alias("s")).select(key, F.col("s.parts").alias("seq"), "s.segments.at", "s.segments.text", "s.segments.start", "s.segments.end")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ")
+    chunks = flat.groupBy(key, "seq").agg(joined.alias("text"), F.min_by("start", "at").alias("start"), F.max_by("end", "at").alias("end"))
+    return summaries.unionByName(chunks.withColumn("kind", F.lit("transcript")))
+
+
 def prefix_budget(rows: DataFrame, group: list[str], order: list, size: str, cap: int) -> DataFrame:
     """The first row of each group, and the rows after it while the running total stays within cap."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -17,6 +17,80 @@ def _equal(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
+def redo_state(status: str, redo: str, stage: str, error: str) -> Column:
+    """How a repeat of something done stands: 'running', 'waiting' or 'failed'; null if there is none."""
+    repeats = (F.col(status) == "done") & F.col(redo).isNotNull()
+    return F.when(repeats & F.col(stage).isNotNull(), "running").when(repeats & F.col(error).isNull(), "waiting").when(repeats, "failed")
+
+
+def any_rows(*tables: DataFrame) -> DataFrame:
+    """(found): one row that tells whether any of the tables has a row; no more than one of each is read."""
+    probes = reduce(DataFrame.union, [t.select(F.lit(1).alias("one")).limit(1) for t in tables])
+    return probes.agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def has_any(rows: DataFrame, key: str, *tables: DataFrame, flag: str = "found") -> DataFrame:
+    """rows with a flag: whether any of the tables has a row of that key."""
+    known = reduce(DataFrame.union, [t.select(F.col(key).alias("_key")) for t in tables]).distinct()
+    return rows.join(known, F.col(key) == F.col("_key"), "left").withColumn(flag, F.col("_key").isNotNull()).drop("_key")
+
+
+def unexpired(tokens: DataFrame, users: DataFrame, now: Column, user: str = "user_id", expires: str = "expires_at", used: str | None = None) -> DataFrame:
+    """Sessions, invitations or links with their users, while they last and, given a column for it, are not used up."""
+    good = F.col(expires) > now
+    if used is not None:
+        good = good & F.col(used).isNull()
+    return tokens.where(good).join(users, user)
+
+
+def available_models(models: DataFrame, providers: DataFrame, keys: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Models (provider, model, enabled) that are enabled and whose provider has a key; of the allowed ones if a person is limited.
+
+    keys has (slot, last4), providers (provider, slot); no table of allowed ones (provider, model) is no limit, an
+    empty one allows nothing.
+    """
+    usable = providers.join(keys, "slot", "left").where("last4 is not null").select("provider")
+    out = models.where("enabled").join(usable, "provider", "left_semi")
+    return out if allowed is None else out.join(allowed.select("provider", "model"), ["provider", "model"], "left_semi")
+
+
+def targets(choice: Column, wanted: Column, fallbacks: Column, available: Column, limited: Column) -> Column:
+    """Keys to try in order: the choice if available, else the default, else a limited person's first; then available fallbacks, once each."""
+    has = lambda key: F.coalesce(F.array_contains(available, key), F.lit(False))
+    first = F.when(has(choice), choice).when(has(wanted), wanted).when(limited, F.get(available, 0))
+    return F.array_distinct(F.array_compact(F.concat(F.array(first), F.filter(F.coalesce(fallbacks, F.array().cast("array<string>")), has))))
+
+
+def record_items(old: DataFrame, new: DataFrame, key: str, attributes: list[str], order: list, backfill: int | None = None) -> DataFrame:
+    """The table (key, attributes, ..., status, change) after new items came: unknown ones are added, known ones get the attributes they have now.
+
+    change is 'added', 'refreshed' or null. Added items are queued; in a first import only the newest `backfill` are,
+    the others are 'not_imported'. Attributes are compared null-safely. New items without a key are left out.
+    """
+    unique = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+    first = backfill is not None and old.isEmpty()
+    added = unique.join(old.select(key), key, "left_anti")
+    if first:
+        head = added.orderBy(*order).limit(backfill).select(F.col(key).alias("_head"))
+        added = added.join(head, F.col(key) == F.col("_head"), "left").withColumn("status", F.when(F.col("_head").isNotNull(), "queued").otherwise("not_imported")).drop("_head")
+    else:
+        added = added.withColumn("status", F.lit("queued"))
+    fresh = unique.select(F.col(key).alias("_key"), F.struct(*attributes).alias("_now"))
+    kept = old.join(fresh, F.col(key) == F.col("_key"), "left")
+    differs = F.col("_key").isNotNull() & ~F.struct(*attributes).eqNullSafe(F.col("_now"))
+    kept = kept.withColumn("change", F.when(differs, "refreshed")).withColumns({a: F.when(differs, F.col(f"_now.{a}")).otherwise(F.col(a)) for a in attributes}).drop("_key", "_now")
+    return kept.unionByName(added.withColumn("change", F.lit("added")), allowMissingColumns=True)
+
+
+def next_batch(items: DataFrame, group: list[str], order: str, size: str, done: str, cap: int) -> DataFrame:
+    """(group, first, last, n): of items numbered from 0 the next ones to do, after the first `done`, while their sizes stay within cap; one at least."""
+    waiting = items.where(F.col(order) >= F.col(done))
+    w = Window.partitionBy(*group).orderBy(order)
+    through = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    batch = waiting.withColumn("_sum", through).withColumn("_at", F.row_number().over(w)).where((F.col("_sum") <= cap) | (F.col("_at") == 1))
+    return batch.groupBy(*group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str) -> DataFrame:
     """One row per key: of new rows the latest by `newest`, else the old one."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

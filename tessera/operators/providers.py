@@ -95,3 +95,36 @@ def ask(rows: DataFrame, prompt: str, chat: Chat, out: str = "reply") -> DataFra
             yield frame.assign(**{out: [chat(p) for p in frame[prompt]]})
 
     return rows.mapInPandas(run, schema)
+
+
+def transcribe_parts(recordings: DataFrame, call: Callable[[object, float, float], list[tuple[str, float, float]]], part: float = 240.0, least: float = 30.0) -> DataFrame:
+    """(id, segments, done, part): each recording (id, seconds, done, segments) transcribed part by part from where it stands.
+
+    call(id, from, to) gives a part's segments or raises TimeoutError, after which parts are half as long, never
+    below least. If it fails at that length, or in another way, what is done so far comes back, to be resumed.
+    """
+    kind = dict(recordings.dtypes)["id"]
+    segment = "array<struct<text:string,start:double,end:double>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        length = part
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                at, found = float(row.done), [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in row.segments]
+                while at < row.seconds:
+                    end = min(row.seconds, at + length)
+                    try:
+                        found += call(row.id, at, end)
+                    except TimeoutError:
+                        if length <= least:
+                            break
+                        length = max(least, length // 2)
+                        continue
+                    except Exception:
+                        break
+                    at = end
+                out.append((row.id, [{"text": t, "start": a, "end": b} for t, a, b in found], at, length))
+            yield pd.DataFrame(out, columns=["id", "segments", "done", "part"])
+
+    return recordings.select("id", "seconds", "done", "segments").mapInPandas(run, f"id {kind}, segments {segment}, done double, part double")

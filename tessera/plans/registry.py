@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("passages", "catalog", "search", "records", "usage", "texts", "feeds", "replies")
+MODULES = ("passages", "catalog", "search", "records", "usage", "texts", "feeds", "replies", "engine")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
