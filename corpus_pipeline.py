@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     name = fresh(docs, "_score")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, name=name).where(F.col(name) < toxicity.TOXIC_AT).select(*docs.columns)
+    return toxicity.scored(docs, model, name=name).where(F.col(name) < toxicity.TOXIC_AT).drop(name)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     name = fresh(docs, "_score")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, name=name).where(F.col(name) >= quality.GOOD_AT).select(*docs.columns)
+    return quality.scored(docs, model, name=name).where(F.col(name) >= quality.GOOD_AT).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null languages and sources are leaves of their own; documents without tokens are in as often as their leaf, and
     a leaf without any tokens is left out. Rows that repeat count each; no rows give no rows.
     """
-    return mixing.mix_rows(docs, epoch=fresh(docs, "_epoch")).select(*docs.columns)
+    name = fresh(docs, "_epoch")
+    return mixing.mix_rows(docs, epoch=name).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
