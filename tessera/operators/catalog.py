@@ -60,6 +60,16 @@ def keyword_search(entries: DataFrame, columns: list[str], needle: str) -> DataF
     return entries.where(tx.any_contains(columns, needle))
 
 
+def with_status(entries: DataFrame, *wanted: str, status: str = "status") -> DataFrame:
+    """Entries in any of some states."""
+    return entries.where(F.col(status).isin(*wanted))
+
+
+def first_matches(entries: DataFrame, columns: list[str], needle: str, order: list, most: int) -> DataFrame:
+    """The first so many entries that hold the words, in a given order, such as that of a book."""
+    return keyword_search(entries, columns, needle).orderBy(*order).limit(most)
+
+
 def prefix_or_contains(entries: DataFrame, date: Column, columns: list[str], needle: str) -> DataFrame:
     """Entries whose date starts with the words, or whose columns hold them."""
     return entries.where(F.coalesce(F.startswith(date, F.lit(needle)), F.lit(False)) | tx.any_contains(columns, needle))

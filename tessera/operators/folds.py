@@ -144,6 +144,11 @@ def neighbours(hits: DataFrame, rows: DataFrame, group: list[str], seq: str, bef
     return rows.join(near, [*group, seq], "left_semi")
 
 
+def overlapping(left: DataFrame, right: DataFrame, key: str, span: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Rows of left and right of one key whose spans, ends included, overlap: an equi-join with the range as what remains."""
+    return left.join(right, key).where((F.col(span[0]) <= F.col(other[1])) & (F.col(span[1]) >= F.col(other[0])))
+
+
 def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str) -> DataFrame:
     """left with the value of the last row of right at or before its time, or of the first row if all come later.
 

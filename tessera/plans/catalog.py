@@ -126,7 +126,7 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey from orders where o_orderstatus in ('F', 'P') order by o_orderstatus = 'F' desc, o_orderdate desc nulls last, o_orderkey limit 5")
 def dispatch_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = _orders(spark, sf_dir).where(F.col("o_orderstatus").isin("F", "P"))
+    waiting = catalog.with_status(_orders(spark, sf_dir), "F", "P", status="o_orderstatus")
     return waiting.orderBy(F.desc(F.col("o_orderstatus") == "F"), F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
 
 

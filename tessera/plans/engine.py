@@ -285,3 +285,24 @@ def fitted_efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = [F.array(F.lit("low"), F.lit("medium")), F.array(F.lit("low")), F.array(F.lit("low"), F.lit("high"))]
     wanted = F.when(n % 4 > 0, _picked(["x", "low", "medium", "high"], n))
     return table(spark, sf_dir, "events").select("event_id", tx.fit_effort(wanted, F.get(F.array(*lists), (n % 3).cast("int")), ["low", "medium", "high"]).alias("effort"))
+
+
+@query(f"select doc_id from documents where contains(translate(text, '{tx.UPPER}', '{tx.LOWER}'), 'license') order by doc_id limit 50")
+def verse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty matches in the order of the book."""
+    return catalog.first_matches(table(spark, sf_dir, "documents"), ["text"], "License", ["doc_id"], 50).select("doc_id")
+
+
+@query("select o_orderkey, cast(row_number() over (order by o_orderdate nulls first, o_orderkey) as integer) as number from (select * from orders where o_orderstatus = 'P' order by o_orderdate nulls first, o_orderkey limit 300)")
+def planner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a planner lists, oldest first, at most three hundred."""
+    order = [F.asc_nulls_first("o_orderdate"), F.asc("o_orderkey")]
+    listed = catalog.with_status(table(spark, sf_dir, "orders"), "P", status="o_orderstatus").orderBy(*order).limit(300)
+    return listed.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).alias("number"))  # three hundred rows
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels) order by doc_id limit 256")
+def pending_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 256 that are not done."""
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left_anti").orderBy("doc_id").limit(256)

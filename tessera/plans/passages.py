@@ -119,7 +119,7 @@ def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that overlap a mention's range: equal keys first, the range as what remains, the first eight of each."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("lo"), (F.col("turn") + 1).alias("hi"))
     mentions = turns.groupBy("conv_id").agg((F.min("turn") + 1).alias("a"), (F.min("turn") + 2).alias("b"))
-    found = turns.join(mentions, "conv_id").where("lo <= b and hi >= a")
+    found = folds.overlapping(turns, mentions, "conv_id", ("lo", "hi"), ("a", "b"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("lo", "turn"))
     return found.withColumn("rank", rank).where("rank <= 8").select("conv_id", "turn", "rank")
 
