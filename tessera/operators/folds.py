@@ -67,16 +67,37 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, F.filter(trimmed, lambda x: x != "").alias("segments"))
 
 
-def packed_lines(docs: DataFrame, cap: int, between: int, each: int = 0) -> DataFrame:
-    """(doc_id, part, n, first, last, chars, text): parts of packed lines, in one pass over each document."""
-    sized = lines(docs).withColumn("sizes", F.transform("segments", lambda x: F.length(x)))
-    packed = pack_greedy(sized, "sizes", cap, between, each)
-    items = packed.select("doc_id", F.posexplode(F.arrays_zip("segments", "sizes", "parts")).alias("pos", "s"))
-    flat = items.select("doc_id", F.col("s.parts").alias("part"), (F.col("pos") + 1).alias("pos"), F.col("s.segments").alias("segment"), F.col("s.sizes").alias("size"))
-    grouped = flat.groupBy("doc_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "segment"))).alias("own")
-    )
-    return grouped.select("doc_id", "part", "n", "first", "last", (F.col("size") + between * (F.col("n") - 1) + each * F.col("n")).alias("chars"), F.concat_ws(" ", F.transform("own", lambda x: x["segment"])).alias("text"))
+def packed_lines(docs: DataFrame, cap: int, between: int, each: int = 0, texts: bool = True) -> DataFrame:
+    """(doc_id, part, n, first, last, chars, text): parts of packed lines, in one pass over each document and without a shuffle.
+
+    Without texts only the lines' sizes leave the plan for the packing.
+    """
+    sized = lines(docs).select("doc_id", F.transform("segments", lambda x: F.length(x)).alias("sizes"), *(["segments"] if texts else []))
+    names = ["doc_id", "part", "n", "first", "last", "chars", *(["text"] if texts else [])]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows, said = [], [], []
+            for doc, sizes in enumerate(batch.column(1).to_pylist()):
+                parts = greedy_parts(sizes or [], cap, between, each)
+                own = batch.column(2)[doc].as_py() if texts else None
+                at = 0
+                while at < len(parts):
+                    end = at + 1
+                    while end < len(parts) and parts[end] == parts[at]:
+                        end += 1
+                    n = end - at
+                    rows.append((parts[at], n, at + 1, end, sum(sizes[at:end]) + between * (n - 1) + each * n))
+                    owner.append(doc)
+                    if texts:
+                        said.append(" ".join(own[at:end]))
+                    at = end
+            found = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays(found + ([pa.array(said, pa.string())] if texts else []), names=names)
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, part int, n long, first int, last int, chars long" + (", text string" if texts else "")
+    return sized.mapInArrow(run, schema)
 
 
 def built_chunks(items: DataFrame, segments: DataFrame, cap: int = 1200, key: str = "item") -> DataFrame:

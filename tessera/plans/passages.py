@@ -31,12 +31,12 @@ def _packed_sql(key: str, seg: str, cap: int, between: int, each: int) -> str:
 
 @query(_packed_sql("doc_id", SEGMENTS, 1200, 1, 0))
 def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.packed_lines(table(spark, sf_dir, "documents"), 1200, 1).drop("text")
+    return folds.packed_lines(table(spark, sf_dir, "documents"), 1200, 1, texts=False)
 
 
 @query(_packed_sql("doc_id", SEGMENTS, 8000, 0, 0))
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.packed_lines(table(spark, sf_dir, "documents"), 8000, 0).drop("text")
+    return folds.packed_lines(table(spark, sf_dir, "documents"), 8000, 0, texts=False)
 
 
 @query(

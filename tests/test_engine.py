@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, lifecycle, providers
+from tessera.operators import catalog, folds, lifecycle, providers
 from tessera.sources import feeds
 from tessera.streaming import usage
 
@@ -63,3 +63,10 @@ def test_ingest_repeats_nothing(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["id"] for r in out.where("id is not null").collect()) == [1, 10, 11, 12]
     assert out.where("id is null").count() == 6
+
+
+def test_packed_lines(spark):
+    docs = spark.createDataFrame([(1, "aa\n\n bb \ncccccc\nd"), (2, ""), (3, None), (4, "x" * 50 + "\ny")], "doc_id long, text string")
+    rows = sorted(tuple(r) for r in folds.packed_lines(docs, 9, 1).collect())
+    assert rows == [(1, 1, 2, 1, 2, 5, "aa bb"), (1, 2, 2, 3, 4, 8, "cccccc d"), (4, 1, 1, 1, 1, 50, "x" * 50), (4, 2, 1, 2, 2, 1, "y")]
+    assert sorted(tuple(r) for r in folds.packed_lines(docs, 9, 1, texts=False).collect()) == [r[:-1] for r in rows]
