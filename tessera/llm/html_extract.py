@@ -56,7 +56,7 @@ PROSE_TAGS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 #: Names of parts that are not the article.
 BOILERPLATE_TAGS = frozenset("aside button canvas dialog fieldset footer form head input legend menu nav noscript object script select style svg template textarea title iframe".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Class names and ids, whole or as all parts of a compound but for neutral ones.
+#: Last words of class names and ids, but for neutral ones.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adbox adslot advert advertisement advertisements advertising adverts alert aside banner breadcrumb breadcrumbs byline comment commentlist "
     "comments consent cookie cookies copyright dialog disqus feedback footer form gdpr login masthead menu modal nav navbar navigation newsletter notice "
@@ -67,6 +67,7 @@ NEUTRAL_WORDS = frozenset(
     "area bar bottom box button buttons col column container global group icons inner item items left link links list main outer panel posts primary right "
     "row secondary section site slot thread top unit wrap wrapper".split()
 )
+LINKING_WORDS = frozenset("for free has have hide in is no non not on show with without".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies response responses".split())
 ARTICLE_WORDS = frozenset({"articlebody"})
 MAIN, BOILER, LINK, PROSE = 1, 2, 4, 8
@@ -75,10 +76,15 @@ ELEMENT, TEXT, MARKED = 0, 1, 2
 
 
 def names_boilerplate(names: list[str]) -> bool:
-    """Whether a class name or id says that a part is no article: `cookie-notice` does, `content-with-sidebar` does not."""
+    """Whether a class name or id says that a part is no article: what a compound ends in names the part.
+
+    `cookie-notice` and `post-share` do, `ad-slot` as well, since `slot` says nothing; `social-science` does not, nor
+    does `content-with-sidebar`, which names what there is beside it.
+    """
     for name in names:
         parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name) if not w.isdigit()]
-        if any(w in BOILERPLATE_WORDS for w in parts) and all(w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in parts):
+        said = [w for w in parts if w not in NEUTRAL_WORDS]
+        if said and said[-1] in BOILERPLATE_WORDS and not any(w in LINKING_WORDS for w in parts):
             return True
     return False
 

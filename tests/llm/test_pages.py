@@ -25,8 +25,8 @@ def test_article_only(spark):
 
 def test_names_of_parts(spark):
     page = "<article><p>A</p><div class='{}'><p>B</p></div></article>"
-    kept = ["content-with-sidebar", "social-science", "has-ads", "adventure", "legal", "response-theory", "shareholder"]
-    gone = ["ad", "cookie-notice", "site-footer", "navBar", "ad-slot-3", "x comments", "sidebar_left", "AD"]
+    kept = ["content-with-sidebar", "social-science", "has-ads", "adventure", "legal", "response-theory", "shareholder", "ad-free-content", "no-sidebar", "comment-theory"]
+    gone = ["ad", "cookie-notice", "site-footer", "navBar", "ad-slot-3", "x comments", "sidebar_left", "AD", "post-share", "entryComments", "article__ad", "reader-comment-list"]
     rows = [(k, f"http://n{k}.example/", page.format(c)) for k, c in enumerate(kept + gone)]
     got = {r["page_id"]: r["text"] for r in html_extract.op8(pages(spark, rows)).collect()}
     assert [got[k] for k in range(len(rows))] == ["A B"] * len(kept) + ["A"] * len(gone)
