@@ -7,7 +7,6 @@ a word's share of the logit is one number, so scoring a document is a weighted c
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,18 +52,34 @@ PUNCTUATION = ".,;:!?\"'()[]{}|"
 SLICE = 4 << 20
 #: What a weight of one is stored as: in half precision, small weights would lose digits.
 UNIT = 4096
-#: Words whose share a task remembers.
-CACHE = 400_000
+#: Constants of the hashes.
+FNV_BASIS, FNV_PRIME, POLYNOMIAL = np.uint32(2166136261), np.uint32(16777619), np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(word: str, s: Settings) -> list[int]:
-    """Buckets of a word's n-grams, in UTF-8 bytes, and of the word itself."""
-    marked = b"<%b>" % word.encode("utf-8", "surrogatepass")
-    crc, size, top = zlib.crc32, len(marked), s.buckets
-    own = [crc(marked) % top]
+def subwords(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word): for each of the words the bucket of the word itself and those of its n-grams, in UTF-8 bytes.
+
+    All words are hashed at once: n-grams by FNV-1a, whole words as a polynomial, both with marks at the ends.
+    """
+    raw = [b"<%b>" % w.strip(PUNCTUATION).encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    word = np.repeat(np.arange(len(raw)), sizes)
+    after = np.repeat(ends, sizes) - np.arange(len(flat))  # bytes from here to the end of the word
+    powers = np.full(int(sizes.max(initial=0)), POLYNOMIAL, np.uint64).cumprod()
+    whole = np.add.reduceat((flat + np.uint64(1)) * powers[np.repeat(sizes, sizes) - after], ends - sizes) if len(raw) else np.zeros(0, np.uint64)
+    buckets, owners = [(whole ^ (whole >> np.uint64(32))) % np.uint64(s.buckets)], [np.arange(len(raw))]
     for n in range(s.shortest, s.longest + 1):
-        own += [crc(marked[i : i + n]) % top for i in range(size - n + 1)]
-    return own
+        there = max(len(flat) - n + 1, 0)
+        h = np.full(there, FNV_BASIS, np.uint32)
+        for i in range(n):
+            h = (h ^ flat[i : i + there]) * FNV_PRIME
+        real = after[:there] >= n
+        h = h[real]
+        buckets.append((h ^ (h >> np.uint32(16))) % np.uint32(s.buckets))
+        owners.append(word[:there][real])
+    return np.concatenate([b.astype(np.int64) for b in buckets]), np.concatenate(owners)
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -99,13 +114,15 @@ def bags(texts: pa.Array, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]
     for part in slices(texts):
         at, word, n, words = word_counts(part)
         weight = 1 + np.log(n)
+        bucket, owner = subwords(words, s)
+        bucket = bucket[np.argsort(owner, kind="stable")]
+        of_word = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
         bounds = np.searchsorted(at, np.arange(len(part) + 1))
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            own = [subwords(words[w].strip(PUNCTUATION), s) for w in word[lo:hi].tolist()]
-            total = weight[lo:hi].sum() + s.neutral
-            ids = np.array([i for o in own for i in o], np.int32)
-            shares = np.repeat(weight[lo:hi] / total / [len(o) for o in own], [len(o) for o in own]) if own else np.zeros(0)
-            uniq, place = np.unique(ids, return_inverse=True)
+            own = [bucket[of_word[w] : of_word[w + 1]] for w in word[lo:hi].tolist()]
+            total, sizes = weight[lo:hi].sum() + s.neutral, [len(o) for o in own]
+            uniq, place = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_inverse=True)
+            shares = np.repeat(weight[lo:hi] / total / np.array(sizes, float), sizes)
             yield uniq.astype(np.uint16), (UNIT * np.bincount(place, shares, len(uniq))).astype(np.float16)
 
 
@@ -162,32 +179,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settin
     return Model((s.gain * (table @ slope)).astype(np.float32), float(bias[1] - bias[0]), s)
 
 
-class Scorer:
-    """Scores texts, remembering what words add."""
-
-    def __init__(self, model: Model):
-        self.model, self.memory, self.share = model, {}, model.share.tolist()
-
-    def word(self, word: str) -> float:
-        value = self.memory.get(word)
-        if value is None:
-            if len(self.memory) >= CACHE:
-                self.memory.clear()
-            own = subwords(word.strip(PUNCTUATION), self.model.settings)
-            value = self.memory[word] = sum([self.share[i] for i in own]) / len(own)
-        return value
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """0 to 1 for each text: the mean of what its words add, by their weights, with the neutral words, as one sum over many texts."""
-        out = []
-        for part in slices(texts):
-            at, word, n, words = word_counts(part)
-            weight = 1 + np.log(n)
-            value = np.array([self.word(w) for w in words])
-            logit = np.bincount(at, weight * value[word], len(part)) if len(at) else np.zeros(len(part))
-            logit = logit / (np.bincount(at, weight, len(part)) + self.model.settings.neutral) + self.model.bias
-            out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-        return np.concatenate(out) if out else np.zeros(0)
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """0 to 1 for each text: the mean of what its words add, by their weights, with the neutral words, as one sum over many texts."""
+    out = []
+    for part in slices(texts):
+        at, word, n, words = word_counts(part)
+        weight = 1 + np.log(n)
+        bucket, owner = subwords(words, model.settings)
+        value = np.bincount(owner, model.share[bucket], len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        logit = np.bincount(at, weight * value[word], len(part)) if len(at) else np.zeros(len(part))
+        logit = logit / (np.bincount(at, weight, len(part)) + model.settings.neutral) + model.bias
+        out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -249,9 +252,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str | No
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Scorer(model)
         for batch in texts:
-            yield pa.array(own.scores(batch), pa.float64())
+            yield pa.array(scores(batch, model), pa.float64())
 
     return docs.withColumn(name, score(F.col(text_col)))
 

@@ -15,9 +15,17 @@ def words_of(text):
 
 
 def grams(word, s):
+    """Buckets of a word with marks at its ends and of its parts of three to five bytes."""
     marked = ("<" + word + ">").encode()
-    found = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g) % s.buckets for g in found]
+    whole = sum((b + 1) * 0x9E3779B97F4A7C15 ** (i + 1) for i, b in enumerate(marked)) % 2**64
+    out = [(whole ^ whole >> 32) % s.buckets]
+    for n in (3, 4, 5):
+        for i in range(len(marked) - n + 1):
+            h = 2166136261
+            for b in marked[i : i + n]:
+                h = (h ^ b) * 16777619 % 2**32
+            out.append((h ^ h >> 16) % s.buckets)
+    return out
 
 
 def bag(text, s):

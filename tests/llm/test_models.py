@@ -46,8 +46,7 @@ def test_misspellings_share_subwords():
     s = toxicity.Settings(epochs=10)
     texts = ["the quiet house by the sea", "you are such an idiot today"] * 30
     bags = list(toxicity.bags(pa.array(texts), s))
-    scorer = toxicity.Scorer(toxicity.fit(bags, np.array([0, 1] * 30), s))
-    wrong, right = scorer.scores(pa.array(["oh idiiot", "oh house"]))
+    wrong, right = toxicity.scores(pa.array(["oh idiiot", "oh house"]), toxicity.fit(bags, np.array([0, 1] * 30), s))
     assert wrong > right
 
 
