@@ -25,7 +25,7 @@ K = 5
 SHARD, QUERIES = 4096, 2048
 #: Vectors scored outright to start with, from the strongest terms, and dimensions probed at a time.
 SEEDS, PROBE = 32, 8
-#: Candidates between two splits of the terms.
+#: Candidates between the first two splits of the terms.
 BLOCK = 512
 #: The largest score, and more than the size of any inner product of doubles times 256.
 LAST, HUGE = 2**63 - 1, 10**699
@@ -40,6 +40,7 @@ class Shard:
         strong = min(SEEDS, len(rows))
         rank = np.argsort(x, axis=0, kind="stable")
         self.strong = np.stack([rank[::-1][:strong], rank[:strong]])  # by sign: vectors of strongest impact
+        self.cuts = BLOCK * (2 ** np.arange(1, 32) - 1)  # blocks double, as the floor rises most at first
 
     def search(self, row: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(id, score) of the k best candidates but the query's own row; ties go to smaller ids.
@@ -55,7 +56,7 @@ class Shard:
         seeds = np.unique(self.strong[sign[order[-4:]], :, order[-4:]])
         others = np.delete(np.arange(len(self.rows)), seeds)
         best: list[tuple[int, int]] = []
-        for block in [seeds, *(others[i : i + BLOCK] for i in range(0, len(others), BLOCK))]:
+        for block in [seeds, *np.split(others, self.cuts[self.cuts < len(others)])]:
             at = block[self.rows[block] != row]
             floor = -best[-1][0] if len(best) == k else None
             split = int(np.searchsorted(weak, floor, "left")) if floor is not None and floor > 0 else 0
