@@ -43,6 +43,8 @@ HOT = 64
 BLOCK = 1 << 16
 #: Positional words of a wide fingerprint that are posted, a power of two.
 WORDS = 32
+#: Bits of a set's sketch.
+SKETCH = 1024
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -112,20 +114,28 @@ def wide_words(found: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """SKETCH bits of a set of shingle hashes: those that its members are dealt to."""
+    bits = np.zeros(SKETCH, bool)
+    bits[(found >> np.uint64(7)) % np.uint64(SKETCH)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, same, fp, size, words): as fingerprints; fp is a hash of the set of shingles, size their number, words the posted keys."""
+    """(id, same, fp, size, words, bits): as fingerprints; fp is a hash of the set of shingles, size their number, words the posted keys, bits a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(None if t is None else t.as_py(), shingle) for t in batch.column(2)]
             prints = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
             words = pa.array([wide_words(s, similarity) for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), words]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "fp", "size", "words"])
+            bits = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), words, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "fp", "size", "words", "bits"])
 
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("same"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, same long, fp long, size long, words array<long>")
+    return rows.mapInArrow(run, "id long, same long, fp long, size long, words array<long>, bits array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +159,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col
     """Edges (u, v) that connect all sets of shingles that share a posted word and are similar enough.
 
     First each posting's members meet its smallest. Whoever that connects need not meet again, so of a posting only
-    pairs from different components follow: a posting of near copies, however large, costs one pair a member.
+    pairs from different components follow: a posting of near copies, however large, costs one pair a member. Of these
+    pairs a sketch of either set drops, inside the join, those that have too many members apart to be similar, and
+    no others.
     """
     index = prints.select("fp", "size", F.explode("words").alias("word")).distinct()
     heads = index.groupBy("word").agg(F.min(F.struct("fp", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -172,10 +184,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col
     known = materialize(components(stars), "known")
     named = index.where("n > 2 and fp <> head.fp").join(known, F.col("fp") == F.col("node"), "left").select("word", "fp", "size", F.coalesce("component", "fp").alias("c"))
     mixed = named.groupBy("word").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("word")
-    named = materialize(named.join(mixed, "word"), "mixed")
-    a = named.select("word", F.col("fp").alias("u"), F.col("size").alias("a"), F.col("c").alias("cu"))
-    b = named.select("word", F.col("fp").alias("v"), F.col("size").alias("b"), F.col("c").alias("cv"))
-    pairs = a.join(b, "word").where("u < v and cu <> cv").where(in_reach(F.col("a"), F.col("b"))).select("u", "v").distinct()
+    bits = prints.groupBy("fp").agg(F.first("bits").alias("bits"))
+    named = materialize(named.join(mixed, "word").join(bits, "fp").select("word", "fp", "size", "c", *(F.col("bits")[k].alias(f"b{k}") for k in range(SKETCH // 64))), "mixed")
+    a = named.select("word", F.col("fp").alias("u"), F.col("size").alias("a"), F.col("c").alias("cu"), *(F.col(f"b{k}").alias(f"x{k}") for k in range(SKETCH // 64)))
+    b = named.select("word", F.col("fp").alias("v"), F.col("size").alias("b"), F.col("c").alias("cv"), *(F.col(f"b{k}").alias(f"y{k}") for k in range(SKETCH // 64)))
+    # a bit that only one side has is at least one member that only it has, and of those a similar pair has few
+    both = (F.col("a") + F.col("b")) * (similarity / (1 + similarity)) - 1e-6
+    only = lambda x, y: sum(F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(SKETCH // 64))
+    may = in_reach(F.col("a"), F.col("b")) & (only("x", "y") <= F.col("a") - both) & (only("y", "x") <= F.col("b") - both)
+    pairs = a.join(b, "word").where("u < v and cu <> cv").where(may).select("u", "v").distinct()
     return stars.union(_similar(pairs, sets, similarity))
 
 
