@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import embedding_dedup, html_extract, mixing, packing, quality, sharding, simhash, topk, toxicity, url_filter
+from tessera.llm import centroids, chat, embedding_dedup, html_extract, mixing, packing, quality, runs, sharding, simhash, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.op13(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_simhash_near_dedup,
@@ -62,9 +74,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_extraction,
         op9_url_filters,
         op10_best_fit_packing,
+        op11_periodic_runs,
+        op12_chat_formatting,
+        op13_centroid_clustering,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.op2_sql(), "op5_exact_top_k": topk.OP5_SQL}
+    return {"op2_mixing": mixing.op2_sql(), "op5_exact_top_k": topk.OP5_SQL, "op12_chat_formatting": chat.op12_sql(), "op13_centroid_clustering": centroids.op13_sql()}
