@@ -166,29 +166,75 @@ def neighbours(hits: DataFrame, rows: DataFrame, group: list[str], seq: str, bef
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, span: tuple[str, str], other: tuple[str, str]) -> DataFrame:
-    """Rows of left and right of one key whose spans, ends included, overlap: an equi-join with the range as what remains."""
-    return left.join(right, key).where((F.col(span[0]) <= F.col(other[1])) & (F.col(span[1]) >= F.col(other[0])))
+    """Rows of left and right of one key whose spans of numbers, ends included, overlap. A span that ends before it starts overlaps none.
 
-
-def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str) -> DataFrame:
+    Spans are posted in bins of time rather than met by key: a span's class is the power of two at or above its length,
+    and at the level of a class bins are as wide, so a span lies in three bins at most of its own and of each wider level.
+    Two spans meet at the level of the wider one, in the bin of the later start, and nowhere else. So a key's pairs are
+    dealt over its time, and long spans do not fill the bins of short ones.
+    """
+    sides, present = [], []
+    for rows, start, end, name in ((left, *span, "l"), (right, *other, "r")):
+        length = F.col(end).cast("double") - F.col(start).cast("double")
+        rows = rows.where(length >= 0).withColumn(f"_class_{name}", F.ceil(F.log2(F.greatest(length, F.lit(1.0)))).cast("int"))
+        present.append([r[0] for r in rows.select(f"_class_{name}").distinct().collect()])  # powers of two in doubles: a thousand at most
+        sides.append((rows, start, end, name))
+    posted = []
+    for (rows, start, end, name), others in zip(sides, reversed(present)):
+        own = f"_class_{name}"
+        # its own level, where narrower spans of the other side are posted, too, and each level above at which the other side has spans
+        above = F.filter(F.array(*[F.lit(c) for c in sorted(others)]).cast("array<int>"), lambda c: c > F.col(own))  # noqa: B023
+        rows = rows.withColumn("_level", F.explode(F.concat(F.array(F.col(own)), above)))
+        first, last = (F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), F.col("_level"))) for c in (start, end))
+        posted.append(rows.withColumn("_bin", F.explode(F.sequence(first, last))))
+    met = posted[0].join(posted[1], [key, "_level", "_bin"])
+    later = F.greatest(F.col(span[0]).cast("double"), F.col(other[0]).cast("double"))
+    here = (F.col("_level") == F.greatest("_class_l", "_class_r")) & (F.floor(later / F.pow(F.lit(2.0), F.col("_level"))) == F.col("_bin"))
+    overlap = (F.col(span[0]) <= F.col(other[1])) & (F.col(span[1]) >= F.col(other[0]))
+    return met.where(here & overlap).drop("_level", "_bin", "_class_l", "_class_r")
+
+
+def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str, stretches: int = 256) -> DataFrame:
     """left with the value of the last row of right at or before its time, or of the first row if all come later.
 
-    One window over the union; a left row with a null time gets the first value, as nothing moves on.
+    A left row with a null time gets the first value, as nothing moves on; rows of right without a time or a value are no
+    marks. A group's rows are dealt by stretches of time, so many over all the time there is; a stretch's last mark goes
+    to the ones after it through a table with a row a stretch.
     """
-    both = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_side", F.lit(1))
+    kind = dict(right.dtypes)[value]
+    right = right.where(F.col(value).isNotNull() & F.col(time).isNotNull())
+    both = left.withColumn("_v", F.lit(None).cast(kind)).withColumn("_side", F.lit(1))
     marks = right.select(*[F.col(c) if c in (*group, time) else F.lit(None).cast(t).alias(c) for c, t in left.dtypes], F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*group).orderBy(F.asc_nulls_first(time), "_side")
-    seen = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return both.unionByName(marks).withColumn(value, F.coalesce(seen, first)).where("_side = 1").drop("_v", "_side")
+    dated = dict(left.dtypes)[time].startswith(("timestamp", "date"))
+    number = (F.col(time).cast("timestamp") if dated else F.col(time)).cast("double")
+    ends = right.agg(F.min(number).alias("a"), F.max(number).alias("b")).first()
+    low, width = (ends["a"] or 0.0), max(((ends["b"] or 0.0) - (ends["a"] or 0.0)) / stretches, 1e-9)
+    # what comes before the first mark, rows without a time among it, is a stretch, too
+    part = F.least(F.lit(stretches), F.greatest(F.lit(-1), F.floor((number - low) / width))).cast("int")
+    both = both.unionByName(marks).withColumn("_part", part)
+    inside = Window.partitionBy(*group, "_part").orderBy(F.asc_nulls_first(time), "_side")
+    local = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.when(F.col("_side") == 0, F.col(time))
+    parts = both.groupBy(*group, "_part").agg(F.max_by("_v", at).alias("_last"), F.min_by("_v", at).alias("_first"))
+    along = Window.partitionBy(*group).orderBy("_part")
+    carried = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    earliest = F.first("_first", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), F.col("_part").alias("_of"), carried.alias("_carried"), earliest.alias("_earliest"))
+    same = F.col("_part") == F.col("_of")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    found = local.where("_side = 1").join(parts, same).withColumn("_found", F.coalesce("_seen", "_carried", "_earliest"))
+    return found.select(*left.columns, F.col("_found").alias(value))
 
 
 def quietest(samples: DataFrame, pos: str, value: str, width: int, hop: int, last: int) -> DataFrame:
     """(pos, energy): the start of the quietest window among those at multiples of hop in the last so many samples.
 
-    Samples are numbered from 0. Energies come from a window sum, dealt by blocks that overlap by the width.
+    Samples are numbered from 0. Only the last ones are read on; their energies come from a window sum, dealt by
+    blocks that overlap by the width.
     """
     total = samples.agg(F.count(F.lit(1)).alias("n"))
+    samples = samples.where(F.col(pos) >= total.first()["n"] - last)
     block = 1 << 20
     own = F.floor(F.col(pos) / block)
     spread = samples.select(pos, value, F.explode(F.array_distinct(F.array(own, F.floor((F.col(pos) - width + 1) / block)))).alias("_block"))

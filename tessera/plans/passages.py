@@ -147,3 +147,14 @@ def assemble_dedupe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("dup", F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn"))).where("dup = 1")
     kept = folds.prefix_budget(turns.withColumn("chars", F.length("text")), ["conv_id"], ["turn"], "chars", 1500)
     return folds.merge_runs(kept, ["conv_id"], "turn", 1_000_000, "text").select("conv_id", "first", "last", "n")
+
+
+@query("""with s as (select l_orderkey, l_linenumber, l_suppkey, epoch_us(l_shipdate) // 86400000000 as lo, epoch_us(l_shipdate) // 86400000000 + cast(l_quantity as bigint) as hi from lineitem)
+    select a.l_orderkey, a.l_linenumber, count(*) as n, min(b.lo) as first from s a join s b on a.l_suppkey = b.l_suppkey and a.lo <= b.hi and a.hi >= b.lo group by a.l_orderkey, a.l_linenumber""")
+def overlapping_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of its supplier's goods are on the way while one is, itself included, and since when; a good is on the way as many days as it counts pieces."""
+    lo = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", lo.alias("lo"), (lo + F.col("l_quantity").cast("long")).alias("hi"))
+    others = spans.select("l_suppkey", F.col("lo").alias("since"), F.col("hi").alias("until"))
+    found = folds.overlapping(spans, others, "l_suppkey", ("lo", "hi"), ("since", "until"))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("since").alias("first"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import refs
 from tessera.functions import text as tx
-from tessera.operators import citations
+from tessera.operators import citations, names
 from tessera.plans.registry import query
 from tessera.session import spread, table
 
@@ -162,18 +162,55 @@ def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(refs.mentions("text")).alias("m")).select("conv_id", "turn", "m.*")
 
 
-QUESTIONS = [
-    ("Pastor Phil's view: ", "Phil Friesen"), ("What does Mark 4 teach? ", None), ("friesen on the church ", "Phil Friesen"), ("Did Pastor Mark say this? ", "Mark Prater"), ("In Mark’s gospel ", None),
-    ("Pastor Phil and Pastor Aaron ", None), ("Is grace enough? ", None), ("Dr. Grace, ", "Grace Hopper"), ("Sps. Phil ", None), ("AARON’S sons; ", "Aaron Anderson"), ("Andersons ", None), ("(aaron anderson) ", "Aaron Anderson"),
-]
+#: How a turn goes on, by conversation and turn; {0} and {1} are customers, {2} a segment, {3} a full name in lower case.
+ASKED = [" Ask {0}.", " Dr. {0} said so", " {0}’s view", " Is it {3}?", " Pastor {0} and rev. {1}", " x{0}", " Rev {2}?", "", " Dr.{0}", " {0}y", " father\t{0}'s house", " {1} or {0}"]
+PUT = {"{0}": "a.c_name", "{1}": "b.c_name", "{2}": "b.c_mktsegment", "{3}": "lower(a.c_name || ' ' || a.c_mktsegment)"}
+
+
+def _asked_sql(said: str) -> str:
+    said = said.replace("'", "''")
+    for mark, value in PUT.items():
+        said = said.replace(mark, f"' || {value} || '")
+    return f"'{said}'"
+
+
+BEFORE, AFTER = r"(^|[^\p{L}])", r"($|[^\p{L}])"
+#: Titles before a name.
+TITLE = r"(pastor|ps\.?|rev\.?|reverend|dr\.?|elder|bishop|brother|sister|father|fr\.?|deacon)"
+
+
+def _stands(phrase: str, before: str | None = None, after: str | None = None) -> str:
+    """SQL: whether a phrase stands somewhere in text with what has to be before and after it, else no letters. Its pieces are what it parts text into."""
+    pieces = f"string_split(text, {phrase})"
+    left = f"case when p[i] = '' and i > 1 then {phrase} else p[i] end"
+    right = f"case when p[i + 1] = '' and i + 1 < len(p) then {phrase} else p[i + 1] end"
+    start = f"regexp_matches({left}, '{before}')" if before else f"not regexp_matches({left}, '\\p{{L}}$')"
+    end = f"regexp_matches({right}, '{after}')" if after else f"not regexp_matches({right}, '^\\p{{L}}')"
+    return f"list_bool_or(list_transform([{pieces}], lambda p: len(list_filter(range(1, len(p)), lambda i: {start} and {end})) > 0))"
 
 
-@query(f"""select conv_id, turn, case turn % {len(QUESTIONS)} {" ".join(f"when {k} then '{w}'" for k, (_, w) in enumerate(QUESTIONS) if w)} end as speaker from conversations""")
+@query(f"""with n as (select distinct case when c_custkey % 2 = 0 then c_name || ' ' || c_mktsegment else c_mktsegment || ' ' || c_name end as name from customer),
+    k as materialized (select name, lower(name) as whole, lower(split_part(name, ' ', 1)) as first, lower(split_part(name, ' ', 2)) as last from n),
+    m as (select count(*) as n from customer),
+    q as materialized (select conv_id, turn, replace(lower(t.text || case (conv_id * 5 + turn) % {len(ASKED)} {" ".join(f"when {k} then {_asked_sql(a)}" for k, a in enumerate(ASKED))} end), chr(8217), chr(39)) as text
+          from conversations t, m join customer a on a.c_custkey = (conv_id * 31 + turn * 7) % n join customer b on b.c_custkey = (conv_id * 17 + turn * 3 + 1) % n),
+    c as materialized (select * from q join k on contains(text, first) or contains(text, last)),
+    h as (select conv_id, turn, name from c where {_stands("whole")} or (length(last) >= 3 and {_stands("last")})
+          or {_stands("first", before=BEFORE + TITLE + chr(92) + "s+$")} or {_stands("first", after=f"^''s{AFTER}")})
+    select q.conv_id, q.turn, case when count(distinct name) = 1 then min(name) end as speaker from q left join h on h.conv_id = q.conv_id and h.turn = q.turn group by q.conv_id, q.turn""")
 def mentioned_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns with a question before them."""
-    speakers = ["Aaron Anderson", "Phil Friesen", "Mark Prater", "Grace Hopper"]
-    asked = F.get(F.array(*[F.lit(q) for q, _ in QUESTIONS]), (F.col("turn") % len(QUESTIONS)).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", refs.mentioned_speaker(F.concat(asked, "text"), speakers).alias("speaker"))
+    """Whole turns that go on with customers' names, asked for the one customer they name; all customers are the names."""
+    customers, turns = table(spark, sf_dir, "customer"), table(spark, sf_dir, "conversations")
+    pair = [F.col("c_name"), F.col("c_mktsegment")]
+    known = customers.select(F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" ", *pair)).otherwise(F.concat_ws(" ", *pair[::-1])).alias("speaker"))
+    n = customers.count()
+    turns = turns.withColumn("a", (F.col("conv_id") * 31 + F.col("turn") * 7) % n).withColumn("b", (F.col("conv_id") * 17 + F.col("turn") * 3 + 1) % n)
+    for side in "ab":
+        turns = turns.join(customers.select(F.col("c_custkey").alias(side), F.col("c_name").alias(f"name_{side}"), F.col("c_mktsegment").alias(f"segment_{side}")), side)
+    said = F.get(F.array(*[F.lit(a) for a in ASKED]), ((F.col("conv_id") * 5 + F.col("turn")) % len(ASKED)).cast("int"))
+    for mark, value in zip(PUT, (F.col("name_a"), F.col("name_b"), F.col("segment_b"), F.lower(F.concat_ws(" ", "name_a", "segment_a")))):
+        said = F.replace(said, F.lit(mark), value)
+    return names.named_one(turns, ["conv_id", "turn"], F.concat("text", said), known, "speaker")
 
 
 @query("select conv_id, cast(turn % 4 + 1 as integer) as source, cast(row_number() over (partition by conv_id order by min(turn)) as integer) as number from conversations group by conv_id, turn % 4")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import tables
 from tessera.plans.registry import query
 from tessera.session import table
-from tessera.streaming import usage
+from tessera.streaming import exact, usage
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,19 +26,22 @@ def day_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.day_counts(_events(spark, sf_dir), "ms")
 
 
-@query("""with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
+ADMITTED = """with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
     s as (select user_id, event_id, i, true as granted, [ms] as held from e where i = 1
           union all
           select e.user_id, e.event_id, e.i, len(list_filter(s.held, lambda h: h > e.ms - 86400000)) < 2,
                  case when len(list_filter(s.held, lambda h: h > e.ms - 86400000)) < 2 then list_append(list_filter(s.held, lambda h: h > e.ms - 86400000), e.ms)
                       else list_filter(s.held, lambda h: h > e.ms - 86400000) end
           from s join e on e.user_id = s.user_id and e.i = s.i + 1)
-    select user_id, event_id, granted from s""")
+    select user_id, event_id, granted from s"""
+
+
+@query(ADMITTED)
 def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.admissions(_events(spark, sf_dir), "user_id", "ms", "event_id", 2, usage.DAY_MS).select("user_id", "event_id", "granted")
 
 
-@query("""with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
+HELD = """with recursive e as (select user_id, event_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as i from events),
     s as (select user_id, event_id, i, true as valid, ms + 108000000 as expires, ms + 108000000 as ends, ms as refreshed from e where i = 1
           union all
           select e.user_id, e.event_id, e.i, coalesce(e.ms < s.ends, true),
@@ -45,7 +49,10 @@ def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
             case when s.ends is null then e.ms + 108000000 when e.ms >= s.ends then null when e.ms - s.refreshed >= 14400000 then e.ms + 108000000 else s.ends end,
             case when s.ends is null then e.ms when e.ms >= s.ends then null when e.ms - s.refreshed >= 14400000 then e.ms else s.refreshed end
           from s join e on e.user_id = s.user_id and e.i = s.i + 1)
-    select user_id, event_id, valid, expires from s""")
+    select user_id, event_id, valid, expires from s"""
+
+
+@query(HELD)
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.sessions(_events(spark, sf_dir), "user_id", "ms", "event_id", 30 * usage.HOUR_MS, 4 * usage.HOUR_MS)
 
@@ -71,9 +78,12 @@ def purge_after_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(F.broadcast(newest)).where("ms > bound").select("event_id")  # one row
 
 
-@query("""with e as (select event_id, user_id % 3 as bucket, (epoch_us(ts) // 1000) as ms, event_type from events),
+FAILED = """with e as (select event_id, user_id % 3 as bucket, (epoch_us(ts) // 1000) as ms, event_type from events),
     f as (select event_id, event_type, count(*) filter (where event_type = 'error') over (partition by bucket order by ms range between 14399999 preceding and current row) as failures from e)
-    select event_id, failures, failures >= 10 as limited from f where event_type <> 'error'""")
+    select event_id, failures, failures >= 10 as limited from f where event_type <> 'error'"""
+
+
+@query(FAILED)
 def failures_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts that ten failures of their bucket in the four hours before would refuse."""
     events = _events(spark, sf_dir).withColumn("bucket", F.col("user_id") % 3)
@@ -94,3 +104,45 @@ def site_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two an hour for each of five askers, forty a day for all, from which one asker is exempt."""
     asked = _events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "ms", (F.col("user_id") % 5).alias("who"))
     return usage.quota(asked.withColumn("free", F.col("who") == 0), "who", "ms", "event_id", 2, 40, "free")
+
+
+def _streamed(spark: SparkSession, events: DataFrame, fold: exact.Fold, key: str, days: int = 8) -> DataFrame:
+    """events through a stream whose files hold them up to two days out of order, a file a micro-batch.
+
+    A last file has an event of no one's, so late that the watermark passes all others.
+    """
+    path = tables.new_path(spark, "stream")
+    day = usage.DAY_MS
+    rows = tables.written(events.withColumn("file", F.floor((F.col("ms") + F.pmod(F.xxhash64("event_id"), F.lit(2 * day))) / (days * day))), "events")
+    for r in rows.select("file").distinct().orderBy("file").collect():  # a row for each file of so many days
+        rows.where(F.col("file") == r["file"]).drop("file").write.mode("append").parquet(path)
+    last = rows.agg(F.max("ms")).first()[0] or 0
+    end = spark.createDataFrame([(last + 99 * day, -1)], "ms long, event_id long").select(*(c if c in ("ms", "event_id") else F.lit(-1).cast("long").alias(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in events.dtypes))
+    end.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    what = "event_type" if "event_type" in events.columns else None
+    out = tables.new_path(spark, "folded")
+    exact.run_available(exact.folded(stream, fold, key, "ms", "event_id", "49 hours", what), out, tables.new_path(spark, "progress")).awaitTermination()
+    tables.drop(rows)
+    return spark.read.parquet(out).where("event_id >= 0")
+
+
+@query(ADMITTED)
+def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As admission_control, from a stream that brings events out of order."""
+    events = _events(spark, sf_dir).select("user_id", "ms", "event_id")
+    return _streamed(spark, events, exact.Admissions(2, usage.DAY_MS), "user_id").select("user_id", "event_id", "granted")
+
+
+@query(HELD)
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As session_fold, from a stream that brings uses out of order."""
+    events = _events(spark, sf_dir).select("user_id", "ms", "event_id")
+    return _streamed(spark, events, exact.Sessions(30 * usage.HOUR_MS, 4 * usage.HOUR_MS), "user_id").select("user_id", "event_id", "valid", "expires")
+
+
+@query(FAILED)
+def failure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As failures_by_type, from a stream that brings failures and attempts out of order."""
+    events = _events(spark, sf_dir).select((F.col("user_id") % 3).alias("bucket"), "ms", "event_id", "event_type")
+    return _streamed(spark, events, exact.Failures("error", 10, 4 * usage.HOUR_MS), "bucket").select("event_id", "failures", "limited")

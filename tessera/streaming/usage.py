@@ -1,21 +1,19 @@
 """Usage over time: sliding counts, admission, day caps and sessions, in batch and under Structured Streaming.
 
-An admission counts only if it is granted, so a window count cannot decide it: what was rejected must not count.
-Both forms share one fold over a key's events in the order of (time, id); its state holds at most `limit` times.
+An admission counts only if it is granted, so a window count cannot decide it: what was rejected must not count. It
+is a fold over a key's events in the order of (time, id), whose state holds at most `limit` times. exact.py runs the same
+folds over streams.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators import folds
+from tessera.operators import folds, tables
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
@@ -26,9 +24,17 @@ def millis(ts: str) -> Column:
 
 
 def window_counts(events: DataFrame, key: str, ms: str, width_ms: int) -> DataFrame:
-    """events with `used`: how many of the key's events lie in the width that ends with each, strictly younger."""
-    w = Window.partitionBy(key).orderBy(ms).rangeBetween(-(width_ms - 1), 0)
-    return events.withColumn("used", F.count(F.lit(1)).over(w))
+    """events with `used`: how many of the key's events lie in the width that ends with each, strictly younger.
+
+    A key's events are dealt by stretches of time of the width; each stretch also gets the times of the one before, which
+    is as far back as its events look. Rows without a time count each other.
+    """
+    stretch = F.floor(F.col(ms) / F.lit(width_ms))
+    own = events.withColumn("_at", F.col(ms)).withColumn("_stretch", stretch).withColumn("_own", F.lit(True))
+    before = events.where(F.col(ms).isNotNull()).select(key, F.col(ms).alias("_at"), (stretch + 1).alias("_stretch"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(-(width_ms - 1), 0)
+    counted = own.unionByName(before, allowMissingColumns=True).withColumn("used", F.count(F.lit(1)).over(w))
+    return counted.where("_own").drop("_at", "_stretch", "_own")
 
 
 def day_counts(events: DataFrame, ms: str) -> DataFrame:
@@ -52,11 +58,21 @@ def admit(times: list[int], granted: list[int], limit: int, width_ms: int) -> tu
 def _pieces(events: DataFrame, key: str, ms: str, event_id: str, gap_ms: int) -> DataFrame:
     """events with `_piece`: a key's history cut at events so long after the one before that nothing of it matters any more.
 
-    A busy key's pieces are dealt to different tasks.
+    A busy key's pieces are dealt to different tasks, and so is the cutting: events are compared within stretches of time,
+    and what goes from one to the next are a last time and a number of cuts, a row a stretch.
     """
-    w = Window.partitionBy(key).orderBy(ms, event_id)
-    cut = events.withColumn("_cut", F.coalesce((F.col(ms) - F.lag(ms).over(w) >= gap_ms).cast("int"), F.lit(0)))
-    return cut.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    spread = events.withColumn("_stretch", F.floor(F.col(ms) / F.lit(8 * gap_ms)))
+    inside = Window.partitionBy(key, "_stretch").orderBy(ms, event_id)
+    local = spread.withColumn("_gap", F.col(ms) - F.lag(ms).over(inside)).withColumn("_cut", F.coalesce((F.col("_gap") >= gap_ms).cast("int"), F.lit(0)))
+    local = local.withColumn("_cuts", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(key, "_stretch").agg(F.min(ms).alias("_first"), F.max(ms).alias("_last"), F.max("_cuts").alias("_all"))
+    along = Window.partitionBy(key).orderBy("_stretch")
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(along) >= gap_ms).cast("int"), F.lit(0))
+    ends = ends.withColumn("_opens", opens)
+    before = F.coalesce(F.sum(F.col("_opens") + F.col("_all")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_opens")
+    starts = ends.select(F.col(key).alias("_key"), F.col("_stretch").alias("_of"), before.alias("_before"))
+    joined = local.join(starts, (F.col(key) == F.col("_key")) & (F.col("_stretch") == F.col("_of")))
+    return joined.withColumn("_piece", F.col("_cuts") + F.col("_before")).drop("_stretch", "_gap", "_cut", "_cuts", "_key", "_of", "_before")
 
 
 def admissions(events: DataFrame, key: str, ms: str, event_id: str, limit: int, width_ms: int) -> DataFrame:
@@ -97,47 +113,83 @@ def touches(events: DataFrame, key: str, ms: str, event_id: str, least_ms: int)
     return folds.running(cut, [key, "_piece"], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, touched boolean", start)
 
 
-def quota(events: DataFrame, key: str, ms: str, event_id: str, per_hour: int, per_day: int, exempt: str) -> DataFrame:
+def quota(events: DataFrame, key: str, ms: str, event_id: str, per_hour: int, per_day: int, exempt: str, told: list[int] | None = None) -> DataFrame:
     """(event_id, refused): null where granted, else 'hour' or 'day'.
 
     A key has per_hour grants in the hour before; all keys together have per_day in a UTC day, from which exempt
-    ones are free. What either limit refuses counts for neither. The fold over all keys is cut between two days if
-    the hour before the later one is empty; its state is the grants of an hour.
+    ones are free. What either limit refuses counts for neither. Every day is a task of its own: what one day hands to
+    the next are the grants of its last hour, and these are assumed first (none) and corrected in rounds. In a
+    round only days whose assumption turned out otherwise are worked out again, until none did; a day's grants
+    rarely reach through the next one, so rounds are few however many days there are. Their sizes, in days, go to `told`.
     """
+    spark = events.sparkSession
+    kind, id_kind = (dict(events.dtypes)[c] for c in (key, event_id))
 
-    def start():
+    def start(decide: bool):
+        """A fold over a day: grants handed over (state 0) and asks (state 1), by time."""
         held: dict = {}
         order: deque = deque()
-        today = [None, 0]
+        used = [0]
 
-        def step(piece, at, event, actor, free):
+        def step(day, state, at, event, actor, free):
             while order and order[0][0] <= at - HOUR_MS:
                 gone = order.popleft()[1]
                 held[gone] -= 1
                 if not held[gone]:
                     del held[gone]
-            day = at // DAY_MS
-            if today[0] != day:
-                today[:] = [day, 0]
-            if held.get(actor, 0) >= per_hour:
-                return event, "hour"
-            if not free and today[1] >= per_day:
-                return event, "day"
-            held[actor] = held.get(actor, 0) + 1
-            order.append((at, actor))
-            today[1] += not free
-            return event, None
+            refused = None
+            if state:
+                refused = "hour" if held.get(actor, 0) >= per_hour else "day" if not free and used[0] >= per_day else None
+                used[0] += refused is None and not free
+            if refused is None:
+                held[actor] = held.get(actor, 0) + 1
+                order.append((at, actor))
+            if decide:
+                return event, refused, state
+            handed = state and refused is None and at >= (day + 1) * DAY_MS - HOUR_MS
+            return (day + 1 if handed else None), at, actor
 
         return step
 
-    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(ms, event_id, key, F.coalesce(F.col(exempt), F.lit(False)).alias("_free"))
-    rows = rows.withColumn("_day", F.floor(F.col(ms) / DAY_MS))
-    days = rows.groupBy("_day").agg(F.min(ms).alias("_first"), F.max(ms).alias("_last"))
-    w = Window.orderBy("_day")  # a row for each day there is
-    days = days.withColumn("_cut", F.coalesce((F.col("_first") - F.lag("_last").over(w) >= HOUR_MS).cast("int"), F.lit(0)))
-    days = days.select("_day", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
-    dealt = rows.join(days, "_day").select("_piece", ms, event_id, key, "_free")
-    return folds.running(dealt, ["_piece"], [ms, event_id], f"{event_id} {dict(events.dtypes)[event_id]}, refused string", start)
+    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(
+        F.floor(F.col(ms) / DAY_MS).alias("_day"), F.lit(1).alias("_state"), F.col(ms).alias("_ms"), F.col(event_id).alias("_event"), F.col(key).alias("_who"), F.coalesce(F.col(exempt), F.lit(False)).alias("_free")
+    )
+    rows = tables.written(rows, "asked")
+
+    def with_handed(asked: DataFrame, handed: DataFrame) -> DataFrame:
+        given = handed.select("_day", F.lit(0).alias("_state"), "_ms", F.lit(None).cast(id_kind).alias("_event"), "_who", F.lit(True).alias("_free"))
+        return asked.union(given.join(asked.select("_day").distinct(), "_day", "left_semi").select(asked.columns))
+
+    def hand_over(asked: DataFrame, handed: DataFrame) -> DataFrame:
+        found = folds.running(with_handed(asked, handed), ["_day"], ["_ms", "_state", "_event"], f"_day long, _ms long, _who {kind}", lambda: start(False))
+        return found.where("_day is not null")
+
+    def digests(handed: DataFrame) -> DataFrame:
+        return handed.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"), F.expr("bit_xor(xxhash64(_ms, _who))").alias("_x"), F.sum(F.col("_ms") % 1_000_003).alias("_s"))
+
+    assumed = spark.createDataFrame([], f"_day long, _ms long, _who {kind}")
+    handed = tables.written(hand_over(rows, assumed), "handed")
+    rounds = [rows.select("_day").distinct().count()]
+    while True:
+        # days that were worked out from other grants than they were handed; a row a day
+        now, then = digests(handed), digests(assumed).select("_day", *(F.col(c).alias(f"{c}_then") for c in ("_n", "_x", "_s")))
+        same = F.col("_n").eqNullSafe(F.col("_n_then")) & F.col("_x").eqNullSafe(F.col("_x_then")) & F.col("_s").eqNullSafe(F.col("_s_then"))
+        wrong = now.join(then, "_day", "full").where(~same).select("_day").join(rows.select("_day").distinct(), "_day", "left_semi")
+        wrong = tables.written(wrong, "wrong")
+        count = wrong.count()
+        if not count:
+            break
+        rounds.append(count)
+        again = hand_over(rows.join(wrong, "_day", "left_semi"), handed)
+        kept = handed.join(wrong.select((F.col("_day") + 1).alias("_day")), "_day", "left_anti")
+        new = tables.written(kept.unionByName(again), "handed")
+        tables.drop(wrong, assumed)
+        assumed, handed = handed, new
+    if told is not None:
+        told += rounds
+    schema = f"{event_id} {id_kind}, refused string, _state int"
+    decided = folds.running(with_handed(rows, handed), ["_day"], ["_ms", "_state", "_event"], schema, lambda: start(True))
+    return decided.where("_state = 1").drop("_state")
 
 
 def limited(log: DataFrame, attempts: DataFrame, bucket: str, ms: str, most: int = 10, width_ms: int = 900_000) -> DataFrame:
@@ -152,22 +204,6 @@ def limited(log: DataFrame, attempts: DataFrame, bucket: str, ms: str, most: int
     return counted.withColumn("limited", F.col("failures") >= most)
 
 
-def admissions_stream(events: DataFrame, key: str, ms: str, event_id: str, limit: int, width_ms: int) -> DataFrame:
-    """The same for a stream whose micro-batches bring a key's events in order; a key's state is at most `limit` times."""
-    kinds = dict(events.dtypes)
-
-    def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        granted = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values([ms, event_id])
-        frame["granted"], granted = admit(frame[ms].tolist(), granted, limit, width_ms)
-        state.update((granted,))
-        yield frame[[key, event_id, ms, "granted"]]
-
-    schema = f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {ms} {kinds[ms]}, granted boolean"
-    rows = events.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(key, event_id, ms)
-    return rows.groupBy(key).applyInPandasWithState(fold, schema, "granted array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def use_session(at: int, held: list[int], lasts_ms: int, refresh_ms: int) -> tuple[bool, int, list[int]]:
     """(valid, expires, held) at a use; held is empty or (expires, refreshed).
 
