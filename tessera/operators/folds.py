@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import text as tx
+
 
 def greedy_parts(sizes: list[int], cap: int, between: int = 0, each: int = 0) -> list[int]:
     """Part numbers from 1: an item joins the open part unless that would exceed cap; one too large stands alone.
@@ -194,8 +196,8 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, span: tuple[str, st
     return met.where(here & overlap).drop("_level", "_bin", "_class_l", "_class_r")
 
 
-def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str, stretches: int = 256) -> DataFrame:
-    """left with the value of the last row of right at or before its time, or of the first row if all come later.
+def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str, stretches: int = 256, or_first: bool = True) -> DataFrame:
+    """left with the value of the last row of right at or before its time, or of the first row if all come later (null without or_first).
 
     A left row with a null time gets the first value, as nothing moves on; rows of right without a time or a value are no
     marks. A group's rows are dealt by stretches of time, so many over all the time there is; a stretch's last mark goes
@@ -223,10 +225,22 @@ def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value:
     same = F.col("_part") == F.col("_of")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    found = local.where("_side = 1").join(parts, same).withColumn("_found", F.coalesce("_seen", "_carried", "_earliest"))
+    found = local.where("_side = 1").join(parts, same).withColumn("_found", F.coalesce("_seen", "_carried", *(["_earliest"] if or_first else [])))
     return found.select(*left.columns, F.col("_found").alias(value))
 
 
+def spoken(times: DataFrame, segments: DataFrame, group: list[str], time: str) -> DataFrame:
+    """times with (segment, index, word): what is being said then, in segments (group, start, end, text); nulls before the first segment.
+
+    The segment is the last that has started. Its words share its length evenly; past its end the last one stays.
+    """
+    marks = segments.select(*group, F.col("start").cast(dict(times.dtypes)[time]).alias(time), F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text").alias("segment"))
+    found = as_of(times, marks, group, time, "segment", or_first=False)
+    words = found.withColumn("_words", F.filter(F.split("segment.text", f"{tx.SPACE}+"), lambda w: w != ""))
+    index = tx.word_index(F.col(time).cast("double"), F.col("segment.start"), F.col("segment.end"), F.size("_words"))
+    return words.withColumn("index", F.when(F.col("segment").isNotNull(), index)).withColumn("word", F.get("_words", F.col("index"))).drop("_words")
+
+
 def quietest(samples: DataFrame, pos: str, value: str, width: int, hop: int, last: int) -> DataFrame:
     """(pos, energy): the start of the quietest window among those at multiples of hop in the last so many samples.
 

@@ -126,13 +126,26 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def claim(rows: DataFrame, order: list, slots: int, status: str = "status", queued: str = "queued", running: str = "running", key: str = "id") -> DataFrame:
-    """rows with the first so many queued ones running; a running one cannot be claimed again."""
+def claim(rows: DataFrame, order: list, at_once: int, status: str = "status", queued: str = "queued", running: str = "running", key: str = "id", busy: Column | None = None) -> DataFrame:
+    """rows with the first queued ones running, so many that at_once run in all; a running one cannot be claimed again.
+
+    What runs already takes its places: rows with that status, and those that busy is true of.
+    """
+    taken = F.col(status) == running if busy is None else (F.col(status) == running) | F.coalesce(busy, F.lit(False))
+    slots = max(0, at_once - rows.agg(F.count_if(taken)).first()[0])
     free = rows.where(F.col(status) == queued).orderBy(*order).limit(slots).select(F.col(key).alias("_key"))
     out = rows.join(free, F.col(key) == F.col("_key"), "left")
     return out.withColumn(status, F.when(F.col("_key").isNotNull(), running).otherwise(F.col(status))).drop("_key")
 
 
+def finish(rows: DataFrame, ended: DataFrame, order: list, at_once: int, status: str = "status", running: str = "running", key: str = "id") -> DataFrame:
+    """rows after runs ended (key, outcome): these have their outcome, and the next queued ones take their places."""
+    known = ended.select(F.col(key).alias("_ended"), F.col("outcome").alias("_outcome")).dropDuplicates(["_ended"])
+    out = rows.join(known, (F.col(key) == F.col("_ended")) & (F.col(status) == running), "left")
+    out = out.withColumn(status, F.coalesce("_outcome", status)).drop("_ended", "_outcome")
+    return claim(out, order, at_once, status=status, running=running, key=key)
+
+
 def after_failure(status: str) -> Column:
     """What was done once stays done when a repeat fails."""
     return F.when(F.col(status) == "done", "done").otherwise("failed")

@@ -26,12 +26,14 @@ class Limits:
 MOST_FETCHED, FETCHED_TIMES = 100, 3
 
 
-def unskipped(found: DataFrame, skip: DataFrame | None, limits: Limits, by: list[str], doc: str = "doc_id") -> DataFrame:
-    """The first limits.hits of found (by, doc, ..., rank) whose documents are not in skip (by, doc), ranked anew.
+def unskipped(found: DataFrame, skip: DataFrame | None, limits: Limits, by: list[str], doc: str = "doc_id", kept_by: list[str] | None = None) -> DataFrame:
+    """The first limits.hits of found (by, doc, ..., rank) whose documents are not in skip (kept_by, doc), ranked anew.
 
     found holds the best min(MOST_FETCHED, FETCHED_TIMES x hits) where there is something to skip, as fetched() says.
+    What is skipped is kept for each question, or by other columns of found, such as an asker's.
     """
-    kept = found if skip is None else found.join(skip.select(*by, doc).distinct(), [*by, doc], "left_anti")
+    key = [*(by if kept_by is None else kept_by), doc]
+    kept = found if skip is None else found.join(skip.select(*key).distinct(), key, "left_anti")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= limits.hits)
 

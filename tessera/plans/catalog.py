@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog
+from tessera.functions import text as tx
+from tessera.operators import catalog, tables, text_index
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -25,14 +26,28 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_search_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wildcards of other engines are plain characters here."""
     docs = table(spark, sf_dir, "documents")
-    return catalog.keyword_search(docs, ["text"], "%").select("doc_id").union(catalog.keyword_search(docs, ["text"], "_").select("doc_id")).distinct()
+    return docs.where(tx.any_contains(["text"], "%") | tx.any_contains(["text"], "_")).select("doc_id")
+
+
+NEEDLES = "select item_id, 0 as kind, array_to_string(string_split(text, ' ')[3:4], ' ') as needle from benchmark union all select item_id, 1, substr(text, 7, 40) from benchmark union all select item_id, 2, string_split(text, ' ')[1] || '%' from benchmark union all select item_id, 3, upper(substr(text, 1 + item_id % 5, 2)) from benchmark union all select item_id, 4, upper(substr(text, 20, 3)) || '_' from benchmark"
+
+
+@query(f"""with n as materialized (select item_id, kind, needle, {FOLD.format('needle')} as low from ({NEEDLES})), d as materialized (select doc_id, {FOLD.format('text')} as text from documents)
+    select item_id, kind, needle, doc_id from n join d on length(needle) > 0 and contains(text, low)""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words, a passage, a word with a percent sign, two letters and three letters with an underscore of each benchmark text, in all documents, by an index of trigrams."""
+    words, item = F.split("text", " "), F.col("item_id")
+    ways = [F.array_join(F.slice(words, 3, 2), " "), F.substring("text", 7, 40), F.concat(F.get(words, 0), F.lit("%")), F.upper(F.substr("text", item % 5 + 1, F.lit(2))), F.concat(F.upper(F.substring("text", 20, 3)), F.lit("_"))]
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(*ways)).alias("kind", "needle"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = tables.written(text_index.index(docs, "doc_id", "text"), "trigrams")
+    return text_index.find(known, docs, needles, "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 @query("select o_orderkey from orders where starts_with(strftime(o_orderdate, '%Y-%m-%d'), '1995-0') or contains(lower(o_orderpriority), 'urgent')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _orders(spark, sf_dir)
-    by_date = catalog.prefix_or_contains(orders, catalog.day("o_orderdate"), [], "1995-0")
-    return by_date.union(catalog.prefix_or_contains(orders, catalog.day("o_orderdate"), ["o_orderpriority"], "URGENT")).select("o_orderkey").distinct()
+    dated = F.startswith(catalog.day("o_orderdate"), F.lit("1995-0"))
+    return _orders(spark, sf_dir).where(F.coalesce(dated, F.lit(False)) | tx.any_contains(["o_orderpriority"], "URGENT")).select("o_orderkey")
 
 
 @query("select doc_id from documents where source = 'src3' and lower(lang) = 'en' and doc_id in (select doc_id from labels)")

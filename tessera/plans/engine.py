@@ -230,12 +230,18 @@ def recorded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.record_items(old, new, "id", ["author"], ["id"])
 
 
-@query("""select conv_id, turn, case when w > 0 then cast(floor(least(0.999, greatest(0.0, (turn * 7 % 13 - 2) / 9.5)) * w) as integer) end as word
-    from (select conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from conversations)""")
+@query("""with s as (select conv_id, turn, turn * 10.0 + 5 as start, turn * 10.0 + 14.5 as stop, text from conversations),
+    t as (select conv_id, turn, turn * 10.0 + (conv_id * 7 + turn * 5) % 19 - 6 as moment from conversations),
+    f as (select t.conv_id, t.turn, moment, s.turn as segment, start, stop, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w,
+          row_number() over (partition by t.conv_id, t.turn order by start desc nulls last) as i from t left join s on s.conv_id = t.conv_id and start <= moment),
+    k as (select *, case when len(w) > 0 then cast(floor(least(0.999, greatest(0.0, (moment - start) / greatest(0.001, stop - start))) * len(w)) as integer) end as index from f where i = 1)
+    select conv_id, turn, start, index, w[index + 1] as word from k""")
 def word_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which word of a turn is said at a time before, in or after it."""
-    start = F.col("turn") * 10.0
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.word_index(start + F.col("turn") * 7 % 13 - 2, start, start + 9.5, tx.word_count("text")).alias("word"))
+    """Which turn is being read at a time, and which of its words; some times come before the first."""
+    turns = table(spark, sf_dir, "conversations")
+    segments = turns.select("conv_id", (F.col("turn") * 10.0 + 5).alias("start"), (F.col("turn") * 10.0 + 14.5).alias("end"), "text")
+    times = turns.select("conv_id", "turn", (F.col("turn") * 10.0 + (F.col("conv_id") * 7 + F.col("turn") * 5) % 19 - 6).alias("at"))
+    return folds.spoken(times, segments, ["conv_id"], "at").select("conv_id", "turn", F.col("segment.start").alias("start"), "index", "word")
 
 
 SLUGS = "(values " + ", ".join(f"({k}, '{n.lower().replace(' ', '-')}', {c})" for k, (_, n, c) in enumerate(refs.BOOKS, 1)) + ") b(number, slug, chapters)"
@@ -277,14 +283,34 @@ def requeued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.requeue(rows, rows.where("id % 4 <> 0").select("id"), ["failed", "not_imported"])
 
 
-@query("""select event_id, case when w = 0 then null when w = 1 then 'low' when w = 2 then case when a = 0 then 'medium' else 'low' end else case when a = 2 then 'high' when a = 0 then 'medium' else 'low' end end as effort
-    from (select event_id, event_id % 4 as w, event_id % 3 as a from events)""")
+EFFORTS = [["low", "medium"], ["medium", "high"], ["high", "low"], [], ["high"], None]
+
+
+@query("""with e as (select event_id, case event_id % 6 when 0 then ['low', 'medium'] when 1 then ['medium', 'high'] when 2 then ['high', 'low'] when 3 then [] when 4 then ['high'] end as takes,
+      case event_type when 'error' then 'high' when 'view' then 'medium' when 'click' then 'low' end as wanted, case when value < 60 then 'medium' when value < 120 then 'high' when value < 200 then 'x' end as own from events)
+    select event_id, case when list_contains(takes, wanted) then wanted when list_contains(takes, own) then own when list_contains(takes, 'low') then 'low' else takes[1] end as effort from e""")
 def fitted_efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wanted effort fitted to what a model takes."""
+    """A wanted effort fitted to what a model takes and prefers."""
     n = F.col("event_id")
-    lists = [F.array(F.lit("low"), F.lit("medium")), F.array(F.lit("low")), F.array(F.lit("low"), F.lit("high"))]
-    wanted = F.when(n % 4 > 0, _picked(["x", "low", "medium", "high"], n))
-    return table(spark, sf_dir, "events").select("event_id", tx.fit_effort(wanted, F.get(F.array(*lists), (n % 3).cast("int")), ["low", "medium", "high"]).alias("effort"))
+    takes = F.get(F.array(*[F.lit(None).cast("array<string>") if e is None else F.array(*[F.lit(x) for x in e]).cast("array<string>") for e in EFFORTS]), (n % 6).cast("int"))
+    kind, v = F.col("event_type"), F.col("value")
+    wanted = F.when(kind == "error", "high").when(kind == "view", "medium").when(kind == "click", "low")
+    own = F.when(v < 60, "medium").when(v < 120, "high").when(v < 200, "x")
+    return table(spark, sf_dir, "events").select("event_id", tx.fit_effort(wanted, takes, own).alias("effort"))
+
+
+@query("""with s as (select source, lang, min(doc_id) as lo, max(doc_id) as hi, count(*) as n from documents group by source, lang),
+    p as (select source, lang, nullif(concat_ws(', ', case when n = 1 then '\u201cText ' || lo || '\u201d' when n < 30 then n || ' chosen sermons' end, 'Series: ' || source, case when hi % 3 > 0 then 'Speaker: ' || lang end,
+      case when lo % 3 > 0 and hi % 3 > 0 then lo || ' to ' || hi when lo % 3 > 0 then 'from ' || lo when hi % 3 > 0 then 'up to ' || hi end), '') as said, hi from s)
+    select source, lang, case hi % 5 when 0 then 'The Bible' when 1 then coalesce(said, 'All sermons') || ', and the Bible' else coalesce(said, 'All sermons') end as scope from p""")
+def scopes_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each series and language holds, as a scope in words."""
+    groups = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    lo, hi = F.col("lo"), F.col("hi")
+    titles = F.when(F.col("n") == 1, F.array(F.concat(F.lit("Text "), lo.cast("string")))).when(F.col("n") < 30, F.array_repeat(F.lit(None).cast("string"), F.col("n").cast("int")))
+    asked = F.when(hi % 5 == 0, "bible").when(hi % 5 == 1, "both").otherwise("sermons")
+    day = lambda c: F.when(c % 3 > 0, c.cast("string"))
+    return groups.select("source", "lang", tx.describe_scope(asked, titles, F.col("source"), F.when(hi % 3 > 0, F.col("lang")), day(lo), day(hi)).alias("scope"))
 
 
 @query(f"select doc_id from documents where contains(translate(text, '{tx.UPPER}', '{tx.LOWER}'), 'license') order by doc_id limit 50")

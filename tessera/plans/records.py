@@ -48,23 +48,40 @@ def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.stale_keys(old, old.where("conv_id % 3 = 0 and turn < 2"), "conv_id", "key")
 
 
-@query("""select o_orderkey as id, case when rn <= 20 then 'running' else s end as status from (
-    select *, case when s = 'queued' then row_number() over (partition by s order by o_orderdate desc nulls last, o_orderkey) end as rn
-    from (select *, case o_orderstatus when 'F' then 'done' when 'P' then 'queued' else 'failed' end as s from orders))""")
+@query("""with o as (select o_orderkey as id, case when o_orderstatus = 'F' then 'done' when o_orderkey % 97 = 0 then 'running' when o_orderstatus = 'P' then 'queued' else 'failed' end as s, o_orderdate from orders),
+    r as (select count(*) filter (s = 'running') as n from o),
+    q as (select *, row_number() over (partition by s order by o_orderdate desc nulls last, id) as rn from o)
+    select id, case when s = 'queued' and rn <= greatest(0, 150 - r.n) then 'running' else s end as status from q, r""")
 def claim_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "queued").otherwise("failed")
+    """At most 150 orders run at once; what runs already takes its places."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderkey") % 97 == 0, "running").when(F.col("o_orderstatus") == "P", "queued").otherwise("failed")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), "o_orderdate")
-    return lifecycle.claim(rows, [F.desc_nulls_last("o_orderdate"), "id"], 20).select("id", "status")
+    return lifecycle.claim(rows, [F.desc_nulls_last("o_orderdate"), "id"], 150).select("id", "status")
 
 
-@query("""select l_orderkey, l_linenumber, l_returnflag as status, case when l_linestatus = 'O' and l_shipdate < timestamp '1996-01-01' then 'failed' when l_linestatus = 'O' then 'running' else 'done' end as new_status from lineitem""")
+@query("""with o as (select o_orderkey as id, case when o_orderstatus = 'F' then 'done' when o_orderkey % 7 = 0 then 'running' else 'queued' end as s, o_orderdate, o_orderkey % 3 as k from orders),
+    e as (select *, case when s = 'running' and k < 2 then case k when 0 then 'done' else 'failed' end else s end as t from o),
+    r as (select count(*) filter (s = 'running') as most, count(*) filter (t = 'running') as n from e),
+    q as (select *, row_number() over (partition by t order by o_orderdate desc nulls last, id) as rn from e)
+    select id, case when t = 'queued' and rn <= most - n then 'running' else t end as status from q, r""")
+def next_on_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that end hand their places to the next in the queue."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderkey") % 7 == 0, "running").otherwise("queued")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), "o_orderdate")
+    ended = rows.where("status = 'running' and id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "done").otherwise("failed").alias("outcome"))
+    most = rows.where("status = 'running'").count()
+    return lifecycle.finish(rows, ended, [F.desc_nulls_last("o_orderdate"), "id"], most).select("id", "status")
+
+
+@query("""select l_orderkey, l_linenumber, case when late then 'failed' else s end as status, case when late then coalesce('stopped: ' || e, 'stopped') else e end as error from (
+    select *, s = 'running' and l_shipdate < timestamp '1996-01-01' as late from (select *, case l_linestatus when 'O' then 'running' else 'done' end as s, case when l_linenumber % 2 = 0 then l_returnflag end as e from lineitem))""")
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that stopped reporting fail, with the error there was."""
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("status"), F.when(F.col("l_linestatus") == "O", "running").otherwise("done").alias("new_status"),
-        F.col("l_shipdate").cast("timestamp").alias("updated_at"), F.lit(None).cast("string").alias("error"),
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", "running").otherwise("done").alias("status"),
+        F.col("l_shipdate").cast("timestamp").alias("updated_at"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("error"),
     )
-    out = lifecycle.fail_stale(rows, F.lit("1996-01-01 06:00:00").cast("timestamp"), status="new_status")
-    return out.select("l_orderkey", "l_linenumber", "status", "new_status")
+    return lifecycle.fail_stale(rows, F.lit("1996-01-01 06:00:00").cast("timestamp")).select("l_orderkey", "l_linenumber", "status", "error")
 
 
 @query("""select o_orderkey, list_element(['transcribe', 'rewrite', 'summary', 'index'], least(o_orderkey % 4 + 1, case when o_orderstatus = 'F' then 2 else 3 end)) as redo,

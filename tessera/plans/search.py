@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import citations, retrieval, vectors
+from tessera.operators import citations, retrieval, vector_index, vectors
 from tessera.plans.registry import query
 from tessera.session import table
 
 KNN = """with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings {where}),
-    q as (select vec_id as query_id, cast(embedding as double[]) as qe from embeddings where vec_id % 25 = 0),
+    q as (select vec_id as query_id, cast(embedding as double[]) as qe from embeddings where vec_id % 20 = 0),
     s as (select query_id, vec_id as id, round(list_cosine_similarity(e, qe), 6) as score from v, q),
     r as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from s)
     {rest}"""
@@ -18,7 +18,7 @@ KNN = """with v as (select vec_id, label, cast(embedding as double[]) as e from
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated queries."""
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(KNN.format(where="", rest="select query_id, id, score, rank from r where rank <= 8"))
@@ -26,6 +26,12 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 8)
 
 
+@query(KNN.format(where="", rest="select query_id, id, score, rank from r where rank <= 8"))
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index in clusters."""
+    return vector_index.nearest(vector_index.build(table(spark, sf_dir, "embeddings")), _queries(spark, sf_dir), 8)
+
+
 @query(KNN.format(where="where label % 2 = 0", rest="select query_id, id, score, rank from r where rank <= 8"))
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "embeddings")
@@ -45,22 +51,21 @@ def knn_overfetch_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, chunks, skip): a document is taken as chunk doc_id % 4 of the item doc_id // 4, chunk 0 as its summary, and as the
-    text of the vector of its number. Each vector whose number divides by 25 is a question; items of its own label's number are skipped."""
+    text of the vector of its number. Each vector whose number divides by 20 is a question; it skips all items that end in the last digit of its label."""
     docs = table(spark, sf_dir, "documents")
     item, seq = F.floor(F.col("doc_id") / 4).cast("long"), (F.col("doc_id") % 4).cast("int")
     chunks = docs.select(item.alias("item"), seq.alias("seq"), F.when(seq == 0, "summary").otherwise("transcript").alias("kind"), "text")
-    asked = table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0")
-    skip = asked.select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "label")
-    skip = skip.select("query_id", (F.col("k") * 10 + F.col("label") % 10).cast("long").alias("item"))
-    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), chunks, skip
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    skip = chunks.select((F.col("item") % 10).alias("digit"), "item").distinct()
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), (F.col("label") % 10).cast("long").alias("digit")), chunks, skip
 
 
 @query("""with c as (select doc_id // 4 as item, doc_id % 4 as seq, text from documents),
     v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
     s as (select q.vec_id as query_id, q.label, v.vec_id as id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.e, q.e), 6) desc, v.vec_id) as rank
-          from v, v q where q.vec_id % 25 = 0),
+          from v, v q where q.vec_id % 20 = 0),
     h as (select query_id, id // 4 as item, id % 4 as seq, row_number() over (partition by query_id order by rank) as rank from s
-          where rank <= 24 and not ((id // 4) % 10 = label % 10 and id // 4 < 100)),
+          where rank <= 24 and (id // 4) % 10 <> label % 10),
     m as (select * from h where rank <= 8),
     n as (select distinct m.query_id, c.item, c.seq, c.text from c join m on c.item = m.item
           where c.seq = m.seq or (c.seq > 0 and c.seq between greatest(1, m.seq - 1) and greatest(1, m.seq + 1))),
@@ -76,8 +81,9 @@ def retrieve_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks, skip = _answers(spark, sf_dir)
     limits = retrieval.Limits(8, 1, 1, 12_000)
     found = vectors.nearest(table(spark, sf_dir, "embeddings"), asked, retrieval.fetched(limits, skips=True))
-    placed = found.select("query_id", F.floor(F.col("id") / 4).cast("long").alias("item"), (F.col("id") % 4).cast("int").alias("seq"), "rank")
-    hits = retrieval.unskipped(placed, skip, limits, ["query_id"], "item")
+    found = found.join(asked.select("query_id", "digit"), "query_id")
+    placed = found.select("query_id", "digit", F.floor(F.col("id") / 4).cast("long").alias("item"), (F.col("id") % 4).cast("int").alias("seq"), "rank")
+    hits = retrieval.unskipped(placed, skip, limits, ["query_id"], "item", ["digit"])
     return retrieval.sources(hits, chunks, limits, "item", "seq", ["query_id"], "kind")
 
 

@@ -59,16 +59,19 @@ def series_of_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.title_without_series(title).alias("head"), tx.series_of(title).alias("series"))
 
 
-WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+WORDS = "len(list_filter(regexp_split_to_array({}, '[\\s\\x{{00a0}}]+'), lambda w: w <> ''))"
 
 
-@query(f"""select conv_id, turn, abs(b - a) <= greatest(2, ceil(a * 0.2)) as ok from (
-    select conv_id, turn, {WORDS.format("text")} as b, lag({WORDS.format("text")}) over (partition by conv_id order by turn) as a from conversations) where a is not null""")
+@query(f"""with t as (select conv_id, turn, case when turn % 2 = 0 then replace(text, ' ', chr(160)) else text end as text from conversations)
+    select conv_id, turn, abs(b - a) <= greatest(2, ceil(a * 0.2)) as ok from (
+    select conv_id, turn, {WORDS.format("text")} as b, lag({WORDS.format("text")}) over (partition by conv_id order by turn) as a from t) where a is not null""")
 def word_delta_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against the ones before them; those of even number have no-break spaces."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("draft", F.lag("text").over(w)).where("draft is not null")
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 2 == 0, F.translate("text", " ", "\u00a0")).otherwise(F.col("text")))
+    rows = rows.withColumn("draft", F.lag("text").over(w)).where("draft is not null")
     return rows.select("conv_id", "turn", tx.looks_like_correction("draft", "text").alias("ok"))
 
 

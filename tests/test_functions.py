@@ -76,7 +76,10 @@ def test_text_goldens(spark):
     assert value(spark, tx.local_slot(F.lit("2026-09-27 14:00:00").cast("timestamp"), "America/Chicago")).asDict() == {"slot": "2026-09-27T09", "weekday": 0, "hour": 9}
     assert str(value(spark, tx.publication_time(F.lit("Sun, 14 Sep 2026 15:00:00 GMT")))) == "2026-09-14 15:00:00"
     assert value(spark, tx.publication_time(F.lit("soon"))) is None
-    assert value(spark, tx.fit_effort(F.lit("high"), F.array(F.lit("low"), F.lit("medium")), ["low", "medium", "high"])) == "medium"
+    none = F.lit(None).cast("string")
+    for wanted, takes, own, want in (("high", ["low", "medium"], None, "low"), ("high", ["medium", "low"], "medium", "medium"), ("high", ["medium"], "low", "medium"), (None, ["low", "high"], "high", "high"), ("low", [], "low", None)):
+        takes = F.array(*[F.lit(t) for t in takes]).cast("array<string>")
+        assert value(spark, tx.fit_effort(F.lit(wanted) if wanted else none, takes, F.lit(own) if own else none)) == want
 
 
 def test_more_text_goldens(spark):
@@ -302,7 +305,7 @@ def test_nearest_answers_more_queries_than_a_block_holds(spark, sf_dir):
     want = sorted(map(tuple, vectors.nearest(known, asked, 3).collect()))
     got = sorted(map(tuple, vectors.nearest(known, asked, 3, max_queries=7).collect()))
     assert got == want and len(got) == 180
-    copies = spark.range(5000).selectExpr("id * 25 as vec_id", "array(1f, 2f) as embedding", "0 as label")
+    copies = spark.range(5000).selectExpr("id * 20 as vec_id", "array(1f, 2f) as embedding", "0 as label")
     import tempfile
 
     path = tempfile.mkdtemp(prefix="tessera-queries-")
