@@ -168,6 +168,16 @@ def stale(status: str, updated: Column, now: Column, running: str = "running", h
     return (F.col(status) == running) & (F.unix_micros(now) - F.unix_micros(updated) > F.lit(int(hours * 3_600_000_000)))
 
 
+#: After how many hours without a report a run, a document being written, a re-processing and a book import count as stopped.
+STALE_HOURS = {"run": 6.0, "writing": 2.0, "redo": 1 / 3, "import": 0.25}
+
+
+def stopped(kind: str, status: str, updated: Column, now: Column, running: dict[str, str]) -> Column:
+    """Whether a row of some kind, running in its own word for it, has been silent for longer than its kind may be."""
+    late = [(F.col(kind) == k) & stale(status, updated, now, running=running[k], hours=h) for k, h in STALE_HOURS.items() if k in running]
+    return F.coalesce(reduce(lambda a, b: a | b, late), F.lit(False))
+
+
 def fail_stale(rows: DataFrame, now: Column, status: str = "status", updated: str = "updated_at", error: str = "error", hours: float = 6.0) -> DataFrame:
     """rows with those running too long failed; a message joins the error that is there, or stands alone."""
     old = stale(status, F.col(updated), now, hours=hours)

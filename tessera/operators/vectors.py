@@ -129,6 +129,6 @@ def indexed_text(label: Column, text: Column) -> Column:
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame, stale: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
-    """The index after new rows replace those of their key and stale keys go."""
+    """The index after new rows replace those of their key and stale keys go; buckets.upsert does so in place."""
     kept = old.join(new.select(key), key, "left_anti").unionByName(new)
     return kept if stale is None else kept.join(stale.select(key), key, "left_anti")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import refs
 from tessera.functions import text as tx
+from tessera.operators import tables
 from tessera.plans.registry import query
 from tessera.session import spread, table
-from tessera.sources import feeds
+from tessera.sources import archives, feeds
 
 
 @query("""with o as (select o_orderkey as k, o_orderkey % 6 as v, 'https://cdn.example.org/' || o_orderkey || '.mp3?a=1&b=2' as sound, o_orderstatus as s, o_orderpriority as p, o_orderdate as d from orders)
@@ -87,3 +95,87 @@ def bulk_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows sent as one JSON list per row."""
     json = F.to_json(F.array(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))))
     return feeds.bulk_rows(table(spark, sf_dir, "region").select(json.alias("json")), "json", "id int, name string")
+
+
+def _zipped(docs: DataFrame, path: str) -> None:
+    """Writes documents as zip archives, one a task, each text a member; and an archive that is damaged."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = io.BytesIO(), 0
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    z.writestr(f"{doc}.txt", text or "")
+                    n += 1
+        _put(path, f"{TaskContext.get().partitionId()}.zip", out.getvalue())  # the same name when a task is repeated
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    docs.select("doc_id", "text").repartition(8, "doc_id").mapInArrow(pack, "n long").agg(F.sum("n")).first()
+    _put(path, "damaged.zip", b"PK but no archive")
+
+
+def _put(path: str, name: str, data: bytes) -> None:
+    store, base = archives.opened(path)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{name}") as f:
+        f.write(data)
+
+
+@query("""with l as (select doc_id, string_split(text, chr(10)) as lines from documents),
+    n as (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from l),
+    a as (select doc_id, i, len(lines) as total, lines[i] as line, sum(strlen(lines[i]) + 1) over (partition by doc_id order by i rows between unbounded preceding and current row) - strlen(lines[i]) - 1 as begins from n)
+    select doc_id, cast(begins as bigint) as begins, rtrim(line, chr(13)) as text from a where i < total or line <> ''""")
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' lines, read back from zip archives."""
+    archives.register(spark)
+    path = tables.new_path(spark, "archives")
+    _zipped(table(spark, sf_dir, "documents"), path)
+    rows = spark.read.format("archive_lines").option("path", path).option("range", 1 << 20).load()
+    return rows.select(F.regexp_extract("member", "^(-?[0-9]+)", 1).cast("long").alias("doc_id"), F.col("at").alias("begins"), "text")
+
+
+@query("select source as feed, 'g' || doc_id as guid, lang as title from documents")
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed for each source, read as a stream when half of its documents were out, and again when all were."""
+    archives.register(spark)
+    path, out, progress = (tables.new_path(spark, n) for n in ("feeds", "items", "progress"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    item = F.concat(F.lit("<item><guid>g"), F.col("doc_id").cast("string"), F.lit("</guid><title>"), F.coalesce("lang", F.lit("")), F.lit("</title></item>"))
+
+    def write(rows: pa.Table) -> pa.Table:
+        body = "".join(rows["item"].to_pylist())
+        _put(path, f"{rows['source'][0].as_py()}.xml", f"<rss><channel><title>t</title>{body}</channel></rss>".encode())
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    for early in (docs.where("doc_id % 2 = 0"), docs):
+        early.select("source", item.alias("item")).groupBy("source").applyInArrow(write, "n long").agg(F.sum("n")).first()
+        stream = spark.readStream.format("feed_files").option("path", path).load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(F.regexp_extract("feed", "([^/]+)[.]xml$", 1).alias("feed"), "guid", F.regexp_extract("item", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+CODES = [code for code, _, _ in refs.BOOKS]
+
+
+@query("""select cast(conv_id % 66 + 1 as integer) as book, cast(turn + 1 as integer) as chapter, cast(conv_id // 66 + 1 as integer) as verse, trim(replace(text, chr(10), ' ')) as text
+    from conversations where trim(replace(text, chr(10), ' ')) <> ''""")
+def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of a verse file, and lines that are none."""
+    turns = table(spark, sf_dir, "conversations")
+    place = F.concat_ws(" ", F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("conv_id") % 66).cast("int")), F.concat((F.col("turn") + 1).cast("string"), F.lit(":"), F.floor(F.col("conv_id") / 66 + 1).cast("string")))
+    good = turns.select(F.concat_ws(" ", place, F.regexp_replace("text", "\\n", " ")).alias("value"))
+    bad = turns.select(F.concat(F.lit("XXX 1:1 "), F.regexp_replace("text", "\\n", " ")).alias("value"))
+    return feeds.parse_verses(spark, good.union(bad)).select("book", "chapter", "verse", "text")
+
+
+@query("""select conv_id, cast(turn * 2.5 + 0.25 as double) as start, cast(greatest(turn * 2.5 + 0.25, turn * 2.5 + (turn % 3) * 1.125) as double) as stop, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations where turn % 5 <> 4
+    union all select conv_id, 0.25, 12.75, 'all of ' || conv_id from (select conv_id, count(*) filter (turn % 5 <> 4) as n from conversations group by 1) where n = 0""")
+def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as replies with turns in milliseconds, some without times."""
+    ms = lambda c: F.when(F.col("turn") % 5 != 4, c.cast("long"))
+    turn = F.struct(ms(F.col("turn") * 2500).alias("startMs"), ms(F.col("turn") * 2500 + (F.col("turn") % 3) * 1125 - 250).alias("endMs"), F.col("text").alias("transcript"))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))
+    found = whole.select("conv_id", F.explode(feeds.turn_segments("turns", F.concat(F.lit("all of "), F.col("conv_id").cast("string")), F.lit(0.25), F.lit(12.5))).alias("s"))
+    return found.select("conv_id", "s.start", F.col("s.end").alias("stop"), "s.text")
+

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import lifecycle
+from tessera.operators import buckets, enrich, lifecycle, tables
 from tessera.plans.registry import query
 from tessera.session import table
+from tessera.streaming import batches
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -152,3 +155,73 @@ def enrichment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = table(spark, sf_dir, "labels").where("toxic = 1").orderBy("doc_id").limit(60).select("doc_id")
     batch = F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 10).cast("int")
     return due.withColumn("batch", batch).join(F.broadcast(due.agg(F.count(F.lit(1)).alias("total"))))
+
+
+@query("""with n as (select o_custkey, arg_max(o_orderstatus, o_orderkey) as status, max(o_orderkey) as seen from orders where o_custkey % 5 < 2 group by 1)
+    select c_custkey as id, coalesce(status, 'none') as status, coalesce(seen, -1) as seen from customer left join n on o_custkey = c_custkey where c_custkey % 7 <> 3""")
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets after the newest orders of some customers came and others went; a second time changes nothing."""
+    path, customers = tables.new_path(spark, "upserted"), table(spark, sf_dir, "customer")
+    buckets.create(customers.select(F.col("c_custkey").alias("id"), F.lit("none").alias("status"), F.lit(-1).cast("long").alias("seen")), path, "id", 16)
+    orders = table(spark, sf_dir, "orders").where("o_custkey % 5 < 2").join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    new = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seen"))
+    for _ in range(2):
+        buckets.upsert(path, new, "id", 16, "seen", gone=customers.where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("id")))
+    return buckets.read(spark, path, new.schema)
+
+
+@query("""select vec_id, case when vec_id % 10 = 4 then label + 100 else label end as label, case when vec_id % 10 = 4 then cast(-embedding[1] as double) else cast(embedding[1] as double) end as first from embeddings where vec_id % 10 <> 6""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in buckets after some were replaced and some deleted."""
+    path, known = tables.new_path(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    buckets.create(known, path, "vec_id", 16)
+    new = known.where("vec_id % 10 = 4").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"), (F.col("label") + 100).alias("label"))
+    buckets.upsert(path, new.select(known.columns), "vec_id", 16, gone=known.where("vec_id % 10 = 6").select("vec_id"))
+    return buckets.read(spark, path, known.schema).select("vec_id", "label", F.get("embedding", 0).cast("double").alias("first"))
+
+
+@query("""select o_orderkey, o_orderstatus = 'O' and (epoch_us(timestamp '1998-12-01') - epoch_us(o_orderdate)) / 3600000000.0 > case o_orderkey % 4 when 0 then 6 when 1 then 2 when 2 then 1 / 3.0 else 0.25 end * 24 * 365 as stopped from orders""")
+def stopped_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as work of four kinds with limits of their own, an hour of which is a year here."""
+    kinds = F.get(F.array(*[F.lit(k) for k in lifecycle.STALE_HOURS]), (F.col("o_orderkey") % 4).cast("int"))
+    now, old = F.unix_micros(F.lit("1998-12-01").cast("timestamp")), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    quick = F.timestamp_micros(((now - (now - old) / (24 * 365))).cast("long"))  # a year's silence as an hour's
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kinds.alias("kind"), F.when(F.col("o_orderstatus") == "O", F.concat(kinds, F.lit(" goes on"))).otherwise("done").alias("status"), quick.alias("updated"))
+    words = {k: f"{k} goes on" for k in lifecycle.STALE_HOURS}
+    return rows.select("o_orderkey", lifecycle.stopped("kind", "status", F.col("updated"), F.lit("1998-12-01").cast("timestamp"), words).alias("stopped"))
+
+
+def _second_words(prompt: str) -> str:
+    """A stand-in for a model: the second word of each numbered line, none where there is none."""
+    lines = [line.split(". ", 1) for line in prompt.split("\n")[1:]]
+    return "Here: " + json.dumps({n: text.split(" ")[1] for n, text in lines if len(text.split(" ")) > 1})
+
+
+OPENING = "regexp_replace(substr(text, 1, 60), '[^A-Za-z]+', ' ', 'g')"
+
+
+@query(f"""with d as (select doc_id, case when doc_id in (select doc_id from labels) then 'label' end as set_by, string_split({OPENING}, ' ') as w from documents)
+    select doc_id, case when set_by is not null then 'kept' when len(w) > 1 then w[2] end as word, case when set_by is not null then set_by when len(w) > 1 then 'ai' end as source from d""")
+def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model says of each document's opening, but for those that have a label: asked in batches, the replies kept, asked again for nothing."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit("label").alias("source")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    items = docs.select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", " ").alias("line"), F.when(F.col("source").isNotNull(), "kept").alias("word"), "source")
+    kept = tables.new_path(spark, "replies")
+    out = enrich.enriched(items, "doc_id", F.col("line"), "word", "source", _second_words, kept, "stand-in", "Second words:")
+    return out.select("doc_id", "word", "source")
+
+
+@query("select 'even' as name, doc_id as id from documents where doc_id % 2 = 0 union all select 'long', doc_id from documents where length(text) > 1000")
+def batches_of_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream into two tables that are written as one; a batch without its marker is not seen."""
+    path, source = tables.new_path(spark, "marked"), tables.new_path(spark, "arriving")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    docs.repartition(3, "doc_id").write.parquet(source)
+    split = lambda rows: {"even": rows.where("doc_id % 2 = 0").select("doc_id"), "long": rows.where("n > 1000").select("doc_id")}
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    batches.run_available(stream, split, path, tables.new_path(spark, "progress")).awaitTermination()
+    docs.select("doc_id").write.parquet(f"{path}/even/batch=99")  # what a lost batch leaves
+    found = [batches.read(spark, path, name, docs.select("doc_id").schema).select(F.lit(name).alias("name"), F.col("doc_id").alias("id")) for name in ("even", "long")]
+    return found[0].union(found[1])
+

@@ -122,8 +122,8 @@ ADDED_SQL = "case turn % 7 " + " ".join(f"when {k} then '{a.replace('{n}', chr(3
 
 
 @query(f"""with t as (select conv_id, turn, text || {ADDED_SQL} || ' and [' || (turn + 1) || ']' as text from conversations),
-    p as (select conv_id, turn, generate_subscripts(g, 1) as i, unnest(g) as part from (
-      select conv_id, turn, flatten(list_transform(regexp_extract_all(text, '\\[([0-9]+(?:\\s*[-,–]\\s*[0-9]+)*)\\]', 1), lambda x: string_split(x, ','))) as g from t)),
+    b as (select conv_id, turn, list_filter(regexp_extract_all(text, '\\[([^\\[\\]]*)\\]', 1), lambda x: x = trim(x) and len(list_filter(string_split(replace(replace(x, '–', ','), '-', ','), ','), lambda n: not regexp_full_match(trim(n), '[0-9]+'))) = 0) as inside from t),
+    p as (select conv_id, turn, generate_subscripts(g, 1) as i, unnest(g) as part from (select conv_id, turn, flatten(list_transform(inside, lambda x: string_split(x, ','))) as g from b)),
     e as (select *, try_cast(trim(regexp_split_to_array(part, '[-–]')[1]) as integer) as a, try_cast(trim(regexp_split_to_array(part, '[-–]')[2]) as integer) as b from p),
     n as (select conv_id, turn, i, unnest(case when b >= a and b - a < 20 then range(a, b + 1) else [a::bigint] end) as cited from e)
     select conv_id, turn, cast(cited as integer) as cited, cast(row_number() over (partition by conv_id order by turn, i, cited) as integer) as pos from n""")
@@ -151,3 +151,9 @@ def policy_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.get(F.array(F.lit("auto"), F.lit("full"), F.lit("search")), (F.ascii(F.substring("source", 4, 1)) % 3).cast("int"))
     chosen = retrieval.policy(F.col("n"), F.col("chars"), F.lit(60_000), F.col("pinned"), mode)
     return sizes.select("source", "chars", chosen.alias("p")).select("source", "chars", F.col("p.way").alias("policy"), "p.note")
+
+
+@query("select doc_id, concat_ws(chr(10), source, text) as text from documents")
+def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of each document: its series on a line of its own before the text."""
+    return table(spark, sf_dir, "documents").select("doc_id", vectors.indexed_text(F.col("source"), F.col("text")).alias("text"))

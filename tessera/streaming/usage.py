@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import folds, tables
+from tessera.operators import buckets, folds, tables
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
@@ -243,24 +243,27 @@ def sessions(events: DataFrame, key: str, ms: str, event_id: str, lasts_ms: int,
     return folds.running(rows, [key], [ms, event_id], f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, valid boolean, expires long", start)
 
 
-def ingest_new(stream: DataFrame, path: str, key: str, checkpoint: str):
+def ingest_new(stream: DataFrame, path: str, key: str, checkpoint: str, n: int = 64):
     """Appends each key of a stream to a Parquet table once; rows without a key are appended as they come.
 
-    Each micro-batch is a partition of its own, `batch`, that is written whole or not at all and overwritten when
-    the batch is repeated. Keys that other batches brought are left out; only the key column of the table is read.
+    The table is in n buckets by key, and in each a micro-batch has a partition of its own, `batch`, that is overwritten
+    when the batch is repeated. Keys that other batches brought are left out; for that only the key column of the
+    buckets that the batch's keys fall into is read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        if there:
-            old = spark.read.schema(schema).parquet(path).where(F.col("batch") != batch_id).select(key)
-            new = new.join(old, key, "left_anti")
-        whole = new.unionByName(batch.where(F.col(key).isNull()))
-        whole.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        held = tables.written(batch.withColumn(buckets.BUCKET, buckets.bucket(key, n)), "ingest")
+        schema = T.StructType([*held.schema.fields, T.StructField("batch", T.LongType())])
+        new = held.where(F.col(key).isNotNull()).dropDuplicates([key])
+        which = [r[0] for r in held.select(buckets.BUCKET).distinct().collect()]  # n at most
+        if tables.exists(spark, path):
+            old = spark.read.schema(schema).parquet(path).where(F.col(buckets.BUCKET).isin(which) & (F.col("batch") != batch_id)).select(key)
+            new = new.join(old, key, "left_anti").select(held.columns)
+        whole = new.unionByName(held.where(F.col(key).isNull())).withColumn("batch", F.lit(batch_id).cast("long"))
+        whole = tables.written(whole, "ingest")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(buckets.BUCKET, "batch").parquet(path)
+        tables.drop(held, whole)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
