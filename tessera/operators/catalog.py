@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import folds
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,7 @@ def estimate(items: DataFrame, order: list, n: int, seconds: str, fallback_minut
 def ranked_values(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, rank): by number, then by name."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+    return folds.numbered_by(counts, [F.desc("n"), F.col("value")], "rank")
 
 
 def summary_of_facets(entries: DataFrame, values: dict[str, str], id_col: str, published: str) -> DataFrame:
@@ -138,10 +139,13 @@ def summary_of_facets(entries: DataFrame, values: dict[str, str], id_col: str, p
     each = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in values.items()]
     told = entries.select(place.alias("_place"), F.explode(F.array(*each)).alias("f")).select("_place", "f.kind", "f.value").where("value <> ''")
     counts = told.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_seen"))
-    by_kind = Window.partitionBy("kind")  # a row for each value of a facet
-    rank = F.when(F.col("kind") == "series", F.row_number().over(by_kind.orderBy("_seen"))).otherwise(F.row_number().over(by_kind.orderBy(F.desc("n"), "value")))
+    series = F.col("kind") == "series"
+    counts = counts.withColumn("_by", F.when(series, F.col("_seen"))).withColumn("_many", F.when(~series, F.col("n")))
+    ranked = folds.numbered_by(counts, [F.col("kind"), F.col("_by"), F.desc("_many"), F.col("value")], "_rank")
+    first = ranked.groupBy("kind").agg(F.min("_rank").alias("_first"))  # a row a facet
+    ranked = ranked.join(F.broadcast(first), "kind").withColumn("rank", F.col("_rank") - F.col("_first") + 1)
     totals = entries.agg(F.count(F.lit(1)).alias("total"), F.min(day(published)).alias("earliest"), F.max(day(published)).alias("latest"))  # one row
-    return counts.withColumn("rank", rank).drop("_seen").join(F.broadcast(totals))
+    return ranked.drop("_seen", "_by", "_many", "_rank", "_first").join(F.broadcast(totals))
 
 
 def limited_then_filtered(rows: DataFrame, order: list, most: int, keep: Column) -> DataFrame:

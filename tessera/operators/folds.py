@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as tx
+from tessera.operators import tables
 
 
 def greedy_parts(sizes: list[int], cap: int, between: int = 0, each: int = 0) -> list[int]:
@@ -241,6 +242,21 @@ def spoken(times: DataFrame, segments: DataFrame, group: list[str], time: str) -
     return words.withColumn("index", F.when(F.col("segment").isNotNull(), index)).withColumn("word", F.get("_words", F.col("index"))).drop("_words")
 
 
+def numbered_by(rows: DataFrame, order: list, out: str, parts: int = 64) -> DataFrame:
+    """rows with their number, from 1 without gaps, in an order over all of them.
+
+    Rows are sorted in ranges, which are written with each row's place, since ranges may fall otherwise if they are
+    worked out again; a range starts where those before it end.
+    """
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = ranged.select(*rows.columns, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = tables.written(placed, "numbered")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range, `parts` at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_place") + 1).cast("int").alias(out))
+
+
 def quietest(samples: DataFrame, pos: str, value: str, width: int, hop: int, last: int) -> DataFrame:
     """(pos, energy): the start of the quietest window among those at multiples of hop in the last so many samples.
 

@@ -93,20 +93,11 @@ def policy(n_docs: Column, chars: Column, budget: Column, pinned_chars: Column |
 
 
 def numbered(groups: list[DataFrame], order: list[str], parts: int = 64) -> DataFrame:
-    """Lists one after another, numbered from 1 without gaps.
-
-    Rows are sorted by ranges; each range is numbered on its own, from where the ranges before it end.
-    """
+    """Lists one after another, numbered from 1 without gaps."""
     out = groups[0].withColumn("_group", F.lit(0))
     for k, g in enumerate(groups[1:], 1):
         out = out.unionByName(g.withColumn("_group", F.lit(k)))
-    ranged = out.repartitionByRange(parts, "_group", *order).sortWithinPartitions("_group", *order)
-    # place within a range, and the range: both from the identifier that counts rows by partition
-    placed = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range, `parts` at most
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_range").withColumn("number", (F.col("_start") + F.col("_place") + 1).cast("int")).drop("_group", "_id", "_range", "_place", "_start")
+    return folds.numbered_by(out, [F.col("_group"), *(F.col(c) for c in order)], "number", parts).drop("_group")
 
 
 def stored(rows: DataFrame, text: str = "text", most: int = 600) -> DataFrame:
