@@ -49,7 +49,7 @@ class Settings:
 #: Not part of a word at its ends.
 PUNCTUATION = ".,;:!?\"'()[]{}|"
 #: Bytes of text that are split into words at once, about.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: What a weight of one is stored as: in half precision, small weights would lose digits.
 UNIT = 4096
 #: Constants of the hashes.
