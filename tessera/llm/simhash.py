@@ -8,15 +8,19 @@ is still hot is split once more, by two further bytes. All pairs that meet in a
 positions of their postings add up to all that they share if that is six or more, and to fewer than six otherwise.
 Pairs with six shared positions are retained and verified by their differing bits.
 
-Links by similarity (the Jaccard index of sets of word shingles) need a wider fingerprint: at 0.8 about 15 of 100
-bits differ, so no choice of bytes is sure to be shared. The shingles are dealt by their hashes into groups, about
-four to eight to a group, and each group has a SimHash of its own: a positional word. A shingle that only one side
-has spoils one word at most, so most pairs share some; WORDS of them are posted. Pairs that share a word are
-verified by their sets.
+Links by similarity (the Jaccard index of sets of word shingles) need a wider fingerprint. Shingles are dealt by
+their hashes into groups, two to a group at most on average, and the SimHash of each group is a positional word. A shingle
+that only one side has spoils one word at most, and similar sets have few such shingles, so a pair is sure to share a
+number of words: the guaranteed minimum. Words are put in one order for all sets, rare ones first, and of each
+set's words only so many first ones are posted that a similar pair still meets in TALLY postings, or in as many as its
+minimum says. All that meet are tallied, pairs that reach this are retained and verified by their sets. Sets too small
+to be sure of a common word post all words and all shingles. So no pair is missed, and common words, of which a
+text always has rarer ones beside it, are hardly ever posted.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, least_names, materialize, spread_join
+from tessera.llm.common import components, drop_tables, least_names, materialize, spread_join
 
 SEED = 42
 SHINGLE = 3
@@ -41,8 +45,16 @@ SETS = (
 HOT = 64
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 16
-#: Positional words of a wide fingerprint that are posted, a power of two.
-WORDS = 32
+#: Postings that a similar pair has in common at least, if its guaranteed minimum allows.
+TALLY = 4
+#: Counters of words, which words are put in order by; what shares a counter is counted together. Their number bounds what tasks hold.
+COUNTERS = 1 << 22
+#: A posting with more sets is compared with their sketches at hand.
+LARGE = 8
+#: Slices in which the tasks' counters are added up.
+SLICES = 256
+#: Fingerprints that a task remembers, to post equal sets once.
+SEEN = 1 << 20
 #: Bits of a set's sketch.
 SKETCH = 1024
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -84,34 +96,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
     """The distinct XXH64 hashes of a text's word shingles, ascending; none for null, empty and blank texts."""
     words = (text or b"").lower().split()
-    n = max(1, len(words) - shingle + 1)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1) if words else 0
+    starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist() if words else []
     digest = xxhash.xxh64_intdigest
-    blocks = [np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + BLOCK))], np.uint64)) for at in range(0, n if words else 0, BLOCK)]
+    blocks = [np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64)) for at in range(0, n, BLOCK)]
     return blocks[0] if len(blocks) == 1 else np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
 
 
-def wide_words(found: np.ndarray, similarity: float) -> np.ndarray:
-    """The posted words of a set of shingle hashes, as keys that also name position and number of groups.
+def exponent(size: int) -> int:
+    """The groups of a set are two to this power: the least such number with two shingles a group at most, on average."""
+    return max(0, (size - 1).bit_length() - 1)
+
 
-    Sets of up to 4 x WORDS shingles have WORDS groups, larger ones a fourth of the power of two at or below their
-    size. Where a larger partner may have the next number of groups, the words for that are posted, too.
+def positional(found: np.ndarray, groups: int) -> np.ndarray:
+    """The words of a set of shingle hashes in so many groups, one for each group that is not empty; keys name group and number of groups, too.
+
+    A word is its group's SimHash: a bit is 1 if it is set in over half of the hashes.
+    """
+    place = (found * MIX >> np.uint64(20)) & np.uint64(groups - 1)
+    order = np.argsort(place, kind="stable")
+    place, hashes = place[order], found[order]
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    counts = np.diff(np.append(starts, len(place)))
+    word = hashes[starts]
+    two = counts == 2
+    word[two] &= hashes[starts[two] + 1]
+    more = np.flatnonzero(counts > 2)
+    if len(more):
+        ends = np.cumsum(counts[more])
+        own = hashes[np.repeat(starts[more] - ends + counts[more], counts[more]) + np.arange(ends[-1])]
+        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, ends - counts[more], axis=0, dtype=np.int32)
+        word[more] = np.packbits(ones * 2 > counts[more][:, None], axis=1).view(">u8").ravel()
+    return _mixed(word ^ ((np.uint64(groups) + place[starts]) * STEP))
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key = key * MIX
+    return (key ^ (key >> np.uint64(29))) * STEP
+
+
+def words_of(found: np.ndarray, similarity: float) -> list[tuple[np.ndarray, int]]:
+    """(words, number to post) for each number of groups that a set of shingle hashes may meet a similar set in.
+
+    That is its own and the one of the largest similar set; the smaller of two sets always has the larger one's. A set
+    of a shingles has at most a (1 - s) / s that a similar one has not or the other way round: so many words may be
+    spoilt. Where that may be all of them, all shingles are posted as words, too.
     """
-    base = max(4 * WORDS, 1 << (len(found).bit_length() - 1)) // 4 if len(found) else WORDS
-    keys = []
-    for groups in [base] + [2 * base] * bool(len(found) >= similarity * 8 * base):
-        place = (found * MIX >> np.uint64(20)) & np.uint64(groups - 1)
-        own = place < WORDS
-        order = np.argsort(place[own], kind="stable")
-        place, hashes = place[own][order], found[own][order].astype(">u8")
-        if not len(place):
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
-        counts = np.diff(np.append(starts, len(place)))
-        word = np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        key = (word ^ ((np.uint64(groups) * np.uint64(WORDS) + place[starts]) * STEP)) * MIX
-        keys.append(key ^ (key >> np.uint64(29)))
-    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+    if not len(found):
+        return []
+    apart = int(len(found) * (1 - similarity) / similarity + 1e-9)
+    out, unsure = [], False
+    for e in sorted({exponent(len(found)), exponent(int(len(found) / similarity + 1e-9))}):
+        words = positional(found, 1 << e)
+        unsure |= len(words) <= apart
+        out.append((words, len(words) if len(words) <= apart else min(len(words), apart + TALLY)))
+    if unsure:
+        out.append((_mixed(found), len(found)))
+    return out
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -122,20 +167,123 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, same, fp, size, words, bits): as fingerprints; fp is a hash of the set of shingles, size their number, words the posted keys, bits a sketch."""
+    """(id, same, fp, size, e, m, wider, bits, counters): as fingerprints; fp is a hash of the set of shingles, size their number.
+
+    e is the set's exponent, m the number of its words, wider that for the next exponent if it has one; bits is a sketch.
+    Each task adds a row of its own, all null but for counters: how often it met the words of each counter.
+    """
+    numbers = ["size", "e", "m", "wider"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sets = [shingles(None if t is None else t.as_py(), shingle) for t in batch.column(2)]
-            prints = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
-            words = pa.array([wide_words(s, similarity) for s in sets], pa.list_(pa.int64()))
-            bits = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), words, bits]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "fp", "size", "words", "bits"])
+            rows, prints, bits = [], [], []
+            for text in batch.column(2):
+                found = shingles(None if not text.is_valid else text.as_py(), shingle)
+                own = words_of(found, similarity)
+                for words, _ in own:
+                    np.add.at(count, words % np.uint64(COUNTERS), 1)
+                e = exponent(len(found))
+                steps = exponent(int(len(found) / similarity + 1e-9)) - e
+                rows.append((len(found), e, len(own[0][0]) if own else 0, len(own[1][0]) if steps else None))
+                prints.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                bits.append(sketch(found))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            columns += [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(numbers))]
+            columns += [pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "same", "fp", *numbers, "bits", "counters"])
+        kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], names=["id", "same", "fp", *numbers, "bits", "counters"])
 
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("same"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, same long, fp long, size long, words array<long>, bits array<long>")
+    return rows.mapInArrow(run, "id long, same long, fp long, size long, e long, m long, wider long, bits array<long>, counters binary")
+
+
+def added_up(counters: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counters (counters), slice by slice, as eight times its logarithm; COUNTERS bytes, whatever the size of the corpus."""
+    width = COUNTERS // SLICES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0):
+                parts = np.frombuffer(zlib.decompress(own.as_py()), np.uint32).reshape(SLICES, width)
+                there = np.flatnonzero(parts.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in there], pa.binary())], names=["slice", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(zlib.decompress(part.as_py()), np.uint32).astype(np.int64)
+                total[k] = total[k] + own if k in total else own
+        parts = [np.floor(8 * np.log2(np.minimum(v, 1 << 31) + 1)).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part"])
+
+    parts = counters.select("counters").mapInArrow(cut, "slice int, part binary").repartition("slice").mapInArrow(add, "slice int, part binary")
+    found = np.zeros((SLICES, width), np.uint8)
+    for row in parts.collect():  # SLICES rows
+        found[row["slice"]] = np.frombuffer(row["part"], np.uint8)
+    return found.ravel()
+
+
+def postings(docs: DataFrame, text_col: str, shingle: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(word, fp): each set's posted words, the rarest by counts first; of equal sets a task posts one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            words, prints = [], []
+            for text in batch.column(0):
+                found = shingles(None if not text.is_valid else text.as_py(), shingle)
+                fp = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                if fp in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(fp)
+                for own, most in words_of(found, similarity):
+                    order = np.lexsort((own, counts[own % np.uint64(COUNTERS)]))[:most]
+                    words.append(own[order])
+                    prints.append(np.full(len(order), fp, np.uint64))
+            if words:
+                columns = [pa.array(np.concatenate(c).view(np.int64)) for c in (words, prints)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "fp"])
+
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "word long, fp long")
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """(word, fp, head): postings with at least two sets, each set once; head is the least of the posting.
+
+    Rows come sorted, so a posting of any size passes through holding its head.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = last = head = None
+        alone = False  # the head of the open posting has not been given yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate(([word is None or w[0] != word], w[1:] != w[:-1]))
+            fresh = new | np.concatenate(([last is None or f[0] != last], f[1:] != f[:-1]))
+            w, f, new = w[fresh], f[fresh], new[fresh]
+            if not len(w):
+                continue
+            starts = np.flatnonzero(new)
+            lead = int(starts[0]) if len(starts) else len(w)  # rows that go on with the open posting
+            owner = np.concatenate((np.full(lead, head, np.int64) if lead else np.empty(0, np.int64), np.repeat(f[starts], np.diff(np.append(starts, len(w))))))
+            single = np.zeros(len(w), bool)
+            single[starts] = np.diff(np.append(starts, len(w))) == 1
+            out = [w[~single], f[~single], owner[~single]]
+            if lead and alone:
+                out = [np.concatenate(([x], c)) for x, c in zip((word, head, head), out)]
+            alone = bool(single[-1]) if len(starts) else False
+            word, last, head = w[-1], f[-1], owner[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names=["word", "fp", "head"])
+
+    return posted.repartition("word").sortWithinPartitions("word", "fp").mapInArrow(run, "word long, fp long, head long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -155,45 +303,83 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect all sets of shingles that share a posted word and are similar enough.
+def retained(tally: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of tally (u, v, n) that reach the guaranteed minimum, or TALLY, and whose sketches (known) do not rule them out."""
+    u, v = (known.select(F.col("fp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in known.columns if c != "fp")) for side in "uv")
+    both = tally.join(u, "u").join(v, "v")
+    e = F.greatest("e_u", "e_v")
+    words = [F.when(F.col(f"e_{x}") == e, F.col(f"m_{x}")).otherwise(F.col(f"wider_{x}")) for x in "uv"]
+    total = F.col("size_u") + F.col("size_v")
+    sure = F.greatest(*words) - F.floor(total * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    enough = F.col("n") >= F.greatest(F.lit(1), F.least(F.lit(TALLY), sure))
+    return both.where(enough & _may("u", "v", similarity, lambda side, k: F.get(f"bits_{side}", F.lit(k)))).select("u", "v")
+
 
-    First each posting's members meet its smallest. Whoever that connects need not meet again, so of a posting only
-    pairs from different components follow: a posting of near copies, however large, costs one pair a member. Of these
-    pairs a sketch of either set drops, inside the join, those that have too many members apart to be similar, and
-    no others.
+def _apart(named: DataFrame, similarity: float | None) -> DataFrame:
+    """(u, v) for all sets of a posting (word, fp, c, main) that are not in one component (c), once for each posting they share.
+
+    One of a pair is not in the component of the posting's head (main), so those alone meet all others. Given a
+    similarity, pairs that sizes and sketches (size, b0, b1, ...) rule out do not leave the join.
     """
-    index = prints.select("fp", "size", F.explode("words").alias("word")).distinct()
-    heads = index.groupBy("word").agg(F.min(F.struct("fp", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = materialize(index.join(heads, "word"), "postings")
-    in_reach = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity
+    x, y = (named.select("word", *(F.col(c).alias(f"{c}_{side}") for c in named.columns if c != "word")) for side in "xy")
+    apart = (F.col("c_x") != F.col("c_y")) & (F.col("c_y").eqNullSafe(F.col("main_y")) | (F.col("fp_x") < F.col("fp_y")))
+    if similarity is not None:
+        apart = apart & _may("x", "y", similarity, lambda side, k: F.col(f"b{k}_{side}"))
+    return x.where("c_x <> main_x").join(y, "word").where(apart).select(F.greatest("fp_x", "fp_y").alias("u"), F.least("fp_x", "fp_y").alias("v"))
+
 
-    rows = index.select("fp").distinct().join(classes.select("fp", "row"), "fp").select("fp", "row.*")
-    rows = rows.select("fp", F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
-    texts = _keyed(docs, id_col, text_col).join(rows, ["_none", "_id", "_same"]).select("fp", F.col("_doc")[text_col].cast("binary").alias("text"))
+def _may(a: str, b: str, similarity: float, bits: Callable[[str, int], Column]) -> Column:
+    """Whether sizes (size_a, size_b) and sketches leave it open that two sets are similar enough.
+
+    A bit that only one side has is at least one member that only it has, and of those a similar pair has few.
+    """
+    sizes = [F.col(f"size_{side}") for side in (a, b)]
+    shared = (sizes[0] + sizes[1]) * (similarity / (1 + similarity)) - 1e-6
+    only = lambda x, y: sum(F.bit_count(bits(x, k).bitwiseAND(F.bitwise_not(bits(y, k)))) for k in range(SKETCH // 64))
+    in_reach = F.least(*sizes) >= F.greatest(*sizes) * similarity - 1e-6
+    return in_reach & (only(a, b) <= sizes[0] - shared) & (only(b, a) <= sizes[1] - shared)
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect all sets of shingles that are similar enough.
+
+    First each posting's members meet its head only. Whoever that connects need not meet again, so near copies,
+    however many, cost a pair a member. Then the members of a posting that are not connected to its head meet all of
+    it that they are not connected to.
+    """
+    spark = docs.sparkSession
+    posted = postings(docs, text_col, shingle, similarity, added_up(counters))
+    index = materialize(met(posted), "postings")
+    known = materialize(prints.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("size", "e", "m", "wider", "bits"))), "known")
+    row = classes.select("fp", F.col("row.none").alias("_none"), F.coalesce("row.id", F.lit(0)).alias("_id"), F.col("row.same").alias("_same"))
+    number = F.col(id_col).cast("long")
+    text = F.col(text_col).cast("binary")
+    texts = docs.select(number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_same"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = [shingles(None if t is None else t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            members = [shingles(None if not t.is_valid else t.as_py(), shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], names=["fp", "members"])
 
-    sets = materialize(texts.dropDuplicates(["fp"]).mapInArrow(run, "fp long, members binary"), "sets")
-
-    stars = index.where("fp <> head.fp").where(in_reach(F.col("size"), F.col("head.size"))).select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct()
-    stars = materialize(_similar(stars, sets, similarity), "stars")
-    known = materialize(components(stars), "known")
-    named = index.where("n > 2 and fp <> head.fp").join(known, F.col("fp") == F.col("node"), "left").select("word", "fp", "size", F.coalesce("component", "fp").alias("c"))
-    mixed = named.groupBy("word").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("word")
-    bits = prints.groupBy("fp").agg(F.first("bits").alias("bits"))
-    named = materialize(named.join(mixed, "word").join(bits, "fp").select("word", "fp", "size", "c", *(F.col("bits")[k].alias(f"b{k}") for k in range(SKETCH // 64))), "mixed")
-    a = named.select("word", F.col("fp").alias("u"), F.col("size").alias("a"), F.col("c").alias("cu"), *(F.col(f"b{k}").alias(f"x{k}") for k in range(SKETCH // 64)))
-    b = named.select("word", F.col("fp").alias("v"), F.col("size").alias("b"), F.col("c").alias("cv"), *(F.col(f"b{k}").alias(f"y{k}") for k in range(SKETCH // 64)))
-    # a bit that only one side has is at least one member that only it has, and of those a similar pair has few
-    both = (F.col("a") + F.col("b")) * (similarity / (1 + similarity)) - 1e-6
-    only = lambda x, y: sum(F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(SKETCH // 64))
-    may = in_reach(F.col("a"), F.col("b")) & (only("x", "y") <= F.col("a") - both) & (only("y", "x") <= F.col("b") - both)
-    pairs = a.join(b, "word").where("u < v and cu <> cv").where(may).select("u", "v").distinct()
-    return stars.union(_similar(pairs, sets, similarity))
+    def verified(tally: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(retained(tally, known, similarity), "pairs")
+        wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(row, "fp")
+        sets = materialize(texts.join(wanted, ["_none", "_id", "_same"]).select("fp", "text").dropDuplicates(["fp"]).mapInArrow(run, "fp long, members binary"), "sets")
+        found = materialize(_similar(pairs, sets, similarity), name)
+        drop_tables(spark, [pairs, sets])
+        return found
+
+    stars = verified(index.where("fp <> head").groupBy(F.col("fp").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("n")), "stars")
+    joined = materialize(components(stars), "joined")
+    named = index.join(joined, F.col("fp") == F.col("node"), "left").select("word", "fp", "head", F.coalesce("component", "fp").alias("c"))
+    mixed = named.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("fp") == F.col("head"), F.col("c"))).alias("main"))
+    mixed = mixed.where("least < most").select("word", "n", "main")
+    named = materialize(named.join(mixed, "word").select("word", "fp", "c", "main", "n"), "mixed")
+    many = named.where(F.col("n") > LARGE).join(known.select("fp", "size", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64))), "fp")
+    pairs = _apart(named.where(F.col("n") <= LARGE).select("word", "fp", "c", "main"), None).unionByName(_apart(many, similarity))
+    rest = verified(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "rest")
+    drop_tables(spark, [index, known, joined, named])
+    return stars.union(rest)
 
 
 def _key(fp: str, positions: tuple[int, ...]) -> Column:
@@ -280,8 +466,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
             raise ValueError("fingerprints within MAX_BITS have shingles of SHINGLE words")
         classes = labelled(materialize(fingerprints(docs, id_col, text_col), "fingerprints"))
     else:
-        prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "fingerprints")
-        classes = labelled(prints, lambda found: similar_links(docs, prints, found, id_col, text_col, shingle, similarity))
+        made = materialize(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "fingerprints")
+        prints = made.where("counters is null")
+        classes = labelled(prints, lambda found: similar_links(docs, prints, made.where("counters is not null"), found, id_col, text_col, shingle, similarity))
     kept = classes.groupBy("component").agg(F.min("row").alias("row")).select("row.*")
     key = ["_none", "_id", "_same"]
     kept = kept.select(F.col("none").alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))
