@@ -56,7 +56,7 @@ SLICES = 256
 #: Fingerprints that a task remembers, to post equal sets once.
 SEEN = 1 << 20
 #: Bits of a set's sketch.
-SKETCH = 1024
+SKETCH = 2048
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -319,7 +319,7 @@ def _apart(named: DataFrame, similarity: float | None) -> DataFrame:
     """(u, v) for all sets of a posting (word, fp, c, main) that are not in one component (c), once for each posting they share.
 
     One of a pair is not in the component of the posting's head (main), so those alone meet all others. Given a
-    similarity, pairs that sizes and sketches (size, b0, b1, ...) rule out do not leave the join.
+    similarity, pairs that sizes and sketches (size, ones, b0, b1, ...) rule out do not leave the join.
     """
     x, y = (named.select("word", *(F.col(c).alias(f"{c}_{side}") for c in named.columns if c != "word")) for side in "xy")
     apart = (F.col("c_x") != F.col("c_y")) & (F.col("c_y").eqNullSafe(F.col("main_y")) | (F.col("fp_x") < F.col("fp_y")))
@@ -331,13 +331,21 @@ def _apart(named: DataFrame, similarity: float | None) -> DataFrame:
 def _may(a: str, b: str, similarity: float, bits: Callable[[str, int], Column]) -> Column:
     """Whether sizes (size_a, size_b) and sketches leave it open that two sets are similar enough.
 
-    A bit that only one side has is at least one member that only it has, and of those a similar pair has few.
+    A bit that only one side has is at least one member that only it has, and of those a similar pair has few; ones_a
+    and ones_b are the sketches' numbers of bits.
     """
     sizes = [F.col(f"size_{side}") for side in (a, b)]
     shared = (sizes[0] + sizes[1]) * (similarity / (1 + similarity)) - 1e-6
-    only = lambda x, y: sum(F.bit_count(bits(x, k).bitwiseAND(F.bitwise_not(bits(y, k)))) for k in range(SKETCH // 64))
+    both = _sum([F.bit_count(bits(a, k).bitwiseAND(bits(b, k))) for k in range(SKETCH // 64)])
     in_reach = F.least(*sizes) >= F.greatest(*sizes) * similarity - 1e-6
-    return in_reach & (only(a, b) <= sizes[0] - shared) & (only(b, a) <= sizes[1] - shared)
+    return in_reach & (both >= F.greatest(*(F.col(f"ones_{side}") - size + shared for side, size in zip((a, b), sizes))))
+
+
+def _sum(terms: list[Column]) -> Column:
+    """The terms' sum, added up in pairs, which keeps the expression shallow."""
+    while len(terms) > 1:
+        terms = [reduce(lambda x, y: x + y, terms[k : k + 2]) for k in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -350,7 +358,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
     spark = docs.sparkSession
     posted = postings(docs, text_col, shingle, similarity, added_up(counters))
     index = materialize(met(posted), "postings")
-    known = materialize(prints.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("size", "e", "m", "wider", "bits"))), "known")
+    known = prints.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("size", "e", "m", "wider", "bits")))
+    known = materialize(known.withColumn("ones", F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))), "known")
     row = classes.select("fp", F.col("row.none").alias("_none"), F.coalesce("row.id", F.lit(0)).alias("_id"), F.col("row.same").alias("_same"))
     number = F.col(id_col).cast("long")
     text = F.col(text_col).cast("binary")
@@ -375,7 +384,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
     mixed = named.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("fp") == F.col("head"), F.col("c"))).alias("main"))
     mixed = mixed.where("least < most").select("word", "n", "main")
     named = materialize(named.join(mixed, "word").select("word", "fp", "c", "main", "n"), "mixed")
-    many = named.where(F.col("n") > LARGE).join(known.select("fp", "size", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64))), "fp")
+    many = named.where(F.col("n") > LARGE).join(known.select("fp", "size", "ones", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64))), "fp")
     pairs = _apart(named.where(F.col("n") <= LARGE).select("word", "fp", "c", "main"), None).unionByName(_apart(many, similarity))
     rest = verified(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "rest")
     drop_tables(spark, [index, known, joined, named])
