@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
 
@@ -97,27 +96,35 @@ def bulk_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.bulk_rows(table(spark, sf_dir, "region").select(json.alias("json")), "json", "id int, name string")
 
 
+#: Documents of an archive, about.
+ARCHIVED = 2048
+
+
 def _zipped(docs: DataFrame, path: str) -> None:
     """Writes documents as zip archives, one a task, each text a member; and an archive that is damaged."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = io.BytesIO(), 0
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        n = 0
+        with _created(path, f"{TaskContext.get().partitionId()}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:  # the same name when a task is repeated
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     z.writestr(f"{doc}.txt", text or "")
                     n += 1
-        _put(path, f"{TaskContext.get().partitionId()}.zip", out.getvalue())  # the same name when a task is repeated
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    docs.select("doc_id", "text").repartition(8, "doc_id").mapInArrow(pack, "n long").agg(F.sum("n")).first()
+    docs = docs.select("doc_id", "text")
+    docs.repartition(max(8, -(-docs.count() // ARCHIVED)), "doc_id").mapInArrow(pack, "n long").agg(F.sum("n")).first()
     _put(path, "damaged.zip", b"PK but no archive")
 
 
-def _put(path: str, name: str, data: bytes) -> None:
+def _created(path: str, name: str) -> pa.NativeFile:
     store, base = archives.opened(path)
     store.create_dir(base, recursive=True)
-    with store.open_output_stream(f"{base}/{name}") as f:
+    return store.open_output_stream(f"{base}/{name}")
+
+
+def _put(path: str, name: str, data: bytes) -> None:
+    with _created(path, name) as f:
         f.write(data)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from tessera.sources.feeds import Markup
 
-#: Bytes of a task: small archives are read together, members of large ones in ranges of so many.
+#: Bytes of a task: small archives are read together, and so are small members of large ones; large members in ranges of so many.
 RANGE = 64 << 20
 #: Bytes of lines in a batch.
 BATCH = 4 << 20
@@ -37,17 +37,17 @@ def listed(path: str, suffix: str) -> list[tuple[str, int]]:
 
 
 class Part(InputPartition):
-    """Whole archives, or one member's lines that begin in a range of its bytes."""
+    """Whole archives, or members of one, from the first to before the last by their places; of a single one, lines that begin in a range of its bytes."""
 
-    def __init__(self, archives: list[str], member: str | None = None, start: int = 0, end: int | None = None):
-        self.archives, self.member, self.start, self.end = archives, member, start, end
+    def __init__(self, archives: list[str], first: int = 0, last: int | None = None, start: int = 0, end: int | None = None):
+        self.archives, self.first, self.last, self.start, self.end = archives, first, last, start, end
 
 
 class ArchiveLines(DataSource):
     """format("archive_lines"): (archive, member, at, text), the lines of members of the zip archives in a folder.
 
     Options: path; member, the ending of the names of members that are read (default: .txt); range, the bytes of a task. `at` is
-    where a line begins in its member. Archives that cannot be read give nothing, or what comes before the damage; lines
+    where a line begins in its member. Archives and members that cannot be read give nothing, or what comes before the damage, whatever the range; lines
     are UTF-8 with damage replaced, without their line ends; empty lines come, too.
     """
 
@@ -82,10 +82,23 @@ class ArchiveReader(DataSourceReader):
     def _ranges(self, archive: str) -> list[Part]:
         try:
             with opened(self.path)[0].open_input_file(archive) as file, zipfile.ZipFile(file) as zipped:
-                members = [(m.filename, m.file_size) for m in zipped.infolist() if m.filename.endswith(self.suffix)]
+                sizes = [m.file_size for m in self._members(zipped)]
         except DAMAGED:
             return []
-        return [Part([archive], m, at, min(n, at + self.range)) for m, n in members for at in range(0, n, self.range)]
+        out, first, together = [], 0, 0
+        for k, n in enumerate(sizes):
+            if together + n > self.range and first < k:
+                out.append(Part([archive], first, k))
+                first, together = k, 0
+            if n > self.range:
+                out += [Part([archive], k, k + 1, at, min(n, at + self.range)) for at in range(0, n, self.range)]
+                first = k + 1
+            else:
+                together += n
+        return out + ([Part([archive], first, len(sizes))] if first < len(sizes) else [])
+
+    def _members(self, zipped: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+        return [m for m in zipped.infolist() if m.filename.endswith(self.suffix)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -102,16 +115,21 @@ class ArchiveReader(DataSourceReader):
     def _lines(self, archive: str, part: Part) -> Iterator[tuple]:
         try:
             with opened(self.path)[0].open_input_file(archive) as file, zipfile.ZipFile(file) as zipped:
-                names = [part.member] if part.member else [m.filename for m in zipped.infolist() if m.filename.endswith(self.suffix)]
-                for name in names:
-                    with zipped.open(name) as member:
-                        at = _skip(member, part.start)
-                        while part.end is None or at < part.end:
-                            line = member.readline()
-                            if not line:
-                                break
-                            yield archive, name, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                            at += len(line)
+                for info in self._members(zipped)[part.first : part.last]:
+                    yield from self._member(archive, zipped, info, part)
+        except DAMAGED:
+            return
+
+    def _member(self, archive: str, zipped: zipfile.ZipFile, info: zipfile.ZipInfo, part: Part) -> Iterator[tuple]:
+        try:
+            with zipped.open(info) as member:
+                at = _skip(member, part.start)
+                while part.end is None or at < part.end:
+                    line = member.readline()
+                    if not line:
+                        break
+                    yield archive, info.filename, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+                    at += len(line)
         except DAMAGED:
             return
 

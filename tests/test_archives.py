@@ -43,6 +43,19 @@ def test_archives(spark, tmp_path):
     assert spark.read.format("archive_lines").option("path", str(tmp_path / "none")).load().count() == 0
 
 
+def test_small_members_of_a_large_archive_share_tasks(spark, tmp_path):
+    archives.register(spark)
+    members = {f"m{m}.txt": b"line\n" * (m % 4) + b"some words of a line" * (m % 50 == 7) * 30 for m in range(400)}
+    path = tmp_path / "many.zip"
+    path.write_bytes(zipped(members, zipfile.ZIP_STORED).replace(members["m1.txt"] + b"PK", b"LINE\n" + b"PK", 1))  # m1 is damaged
+    df = spark.read.format("archive_lines").option("path", str(tmp_path)).option("range", "500").load()
+    want = sorted((m, at, text) for m, data in members.items() if m != "m1.txt" for at, text in lines(data))
+    assert sorted(r[1:] for r in map(tuple, df.collect()) if r[1] != "m1.txt") == want
+    assert 8 <= df.rdd.getNumPartitions() < 40
+    whole = spark.read.format("archive_lines").option("path", str(tmp_path)).load()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.collect()))
+
+
 def feed(*items):
     return ("<rss><channel><title>t</title>" + "".join(f"<item><guid>{g}</guid><title>{t}</title></item>" for g, t in items) + "</channel></rss>").encode()
 
