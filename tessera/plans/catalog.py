@@ -37,7 +37,7 @@ NEEDLES = "select item_id, 0 as kind, array_to_string(string_split(text, ' ')[3:
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words, a passage, a word with a percent sign, two letters and three letters with an underscore of each benchmark text, in all documents, by an index of trigrams."""
     words, item = F.split("text", " "), F.col("item_id")
-    ways = [F.array_join(F.slice(words, 3, 2), " "), F.substring("text", 7, 40), F.concat(F.get(words, 0), F.lit("%")), F.upper(F.substr("text", item % 5 + 1, F.lit(2))), F.concat(F.upper(F.substring("text", 20, 3)), F.lit("_"))]
+    ways = [F.array_join(F.slice(words, 3, 2), " "), F.substring("text", 7, 40), F.concat(F.get(words, 0), F.lit("%")), tx.upper_each(F.substr("text", item % 5 + 1, F.lit(2))), F.concat(tx.upper_each(F.substring("text", 20, 3)), F.lit("_"))]
     needles = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(*ways)).alias("kind", "needle"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = tables.written(text_index.index(docs, "doc_id", "text"), "trigrams")

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,14 @@ def test_feed_elements_in_others(spark):
     times = ["Sun, 14 Sep 2026 15:00:00 GMT", "14 Sep 2026 15:00 +0100", "Mon, 4 Sep 2026 01:02:03 Z", "2026-09-14", "2026-09-14T15:00:00.500Z", "14/9/2026", ""]
     got = [value(spark, tx.publication_time(F.lit(t))) for t in times]
     assert [None if g is None else str(g) for g in got] == ["2026-09-14 15:00:00", "2026-09-14 14:00:00", "2026-09-04 01:02:03", "2026-09-14 00:00:00", "2026-09-14 15:00:00.500000", None, None]
+
+
+def test_upper_case_is_as_long_as_the_text(spark):
+    letters = [c for c in map(chr, range(0x20, 0x20000)) if c < "\x80" or c.upper() != c]  # others have an upper case in newer editions of Unicode only, or none
+    texts = ["", "Straße 😀", *letters, *("a" + "".join(letters[k : k + 50]) + "z" for k in range(0, len(letters), 50))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.upper_each("t")).collect()
+    con = duckdb.connect()
+    con.execute("create table t as select unnest(?) as t", [texts])
+    want = dict(con.execute("select t, upper(t) from t").fetchall())
+    assert [(t, up, want[t]) for t, up in got if up != want[t]] == []
+    assert spark.sql("select cast(null as string) as t").select(tx.upper_each("t")).first()[0] is None
