@@ -16,6 +16,7 @@ from tessera.operators import tables
 from tessera.plans.registry import query
 from tessera.session import spread, table
 from tessera.sources import archives, feeds
+from tessera.streaming import exact
 
 
 @query("""with o as (select o_orderkey as k, o_orderkey % 6 as v, 'https://cdn.example.org/' || o_orderkey || '.mp3?a=1&b=2' as sound, o_orderstatus as s, o_orderpriority as p, o_orderdate as d from orders)
@@ -156,8 +157,8 @@ def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for early in (docs.where("doc_id % 2 = 0"), docs):
         early.select("source", item.alias("item")).groupBy("source").applyInArrow(write, "n long").agg(F.sum("n")).first()
-        stream = spark.readStream.format("feed_files").option("path", path).load()
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.format("feed_files").option("path", path).option("changed", True).load()
+        exact.run_available(stream.dropDuplicates(["feed", "guid"]), out, progress).awaitTermination()
     rows = spark.read.parquet(out)
     return rows.select(F.regexp_extract("feed", "([^/]+)[.]xml$", 1).alias("feed"), "guid", F.regexp_extract("item", "<title>([^<]*)</title>", 1).alias("title"))
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from tessera.sources.feeds import Markup
 
@@ -155,6 +155,10 @@ class FeedStream(DataSource):
 
     A feed is a file that is replaced when it changes. What was seen of one are the guids it listed last; an item comes
     once as long as its feed goes on to list it. Options: path, and most, the items of a micro-batch at most, feeds being taken whole.
+    That reads in the driver, and a run over what is there, which is one micro-batch, leaves what is over `most` to the next.
+
+    Given changed=true, all items come of every feed that was replaced, a task a feed and in one micro-batch, however many;
+    which were seen is then left to the stream, as by dropDuplicates on feed and guid.
     """
 
     @classmethod
@@ -164,6 +168,11 @@ class FeedStream(DataSource):
     def schema(self) -> str:
         return "feed string, guid string, item string"
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        if self.options.get("changed", "false").lower() != "true":
+            return super().streamReader(schema)  # which makes Spark ask for the simple one
+        return ChangedFeeds(self.options)
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return FeedReader(self.options)
 
@@ -214,6 +223,35 @@ class FeedReader(SimpleDataSourceStreamReader):
             yield from ((feed, guid, item) for guid, item in items if guid in wanted and guid not in known)
 
 
+class Feed(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class ChangedFeeds(DataSourceStreamReader):
+    """Offsets are {"feed": size and time}, so what passes the driver are a few numbers a feed."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def initialOffset(self) -> dict:
+        return {"feeds": "{}"}
+
+    def latestOffset(self) -> dict:
+        store, base = opened(self.path)
+        found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        return {"feeds": json.dumps({f.path: [f.size, f.mtime_ns] for f in found if f.type == fs.FileType.File and f.path.endswith(".xml")}, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[Feed]:
+        before, after = json.loads(start["feeds"]), json.loads(end["feeds"])
+        return [Feed(path) for path, stamp in after.items() if before.get(path) != stamp]
+
+    def read(self, partition: Feed) -> Iterator[tuple]:
+        with opened(self.path)[0].open_input_file(partition.path) as f:
+            data = f.read()
+        return ((partition.path, guid, item) for guid, item in items_of(data))
+
+
 def register(spark: SparkSession) -> None:
     """Makes both formats known to a session."""
     spark.dataSource.register(ArchiveLines)

@@ -5,6 +5,7 @@ import random
 import zipfile
 
 from tessera.sources import archives
+from tessera.streaming import exact
 
 
 def zipped(files: dict[str, bytes], way=zipfile.ZIP_DEFLATED) -> bytes:
@@ -82,3 +83,21 @@ def test_feed_stream_reads_what_is_new(spark, tmp_path):
     second, end = reader.read(seen)
     assert [len(list(first)), len(list(second))] == [3, 1]
     assert [r[1] for r in reader.readBetweenOffsets(seen, end)] == ["b1"] and len(list(reader.readBetweenOffsets(reader.initialOffset(), end))) == 4
+
+
+def test_feed_stream_reads_all_of_large_feeds(spark, tmp_path):
+    """A run over what is there ends with one micro-batch; feeds of more items than the driver takes at once come whole."""
+    archives.register(spark)
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+
+    def run():
+        stream = spark.readStream.format("feed_files").option("path", str(folder)).option("changed", True).option("most", 5).load()
+        exact.run_available(stream.dropDuplicates(["feed", "guid"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return sorted(r["guid"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for f in "abc":
+        (folder / f"{f}.xml").write_bytes(feed(*((f"{f}{k}", "x") for k in range(9))))
+    assert run() == run() == [f"{f}{k}" for f in "abc" for k in range(9)]
+    (folder / "b.xml").write_bytes(feed(*((f"b{k}", "y") for k in range(3, 12))))
+    assert run() == sorted([f"{f}{k}" for f in "abc" for k in range(9)] + ["b9", "b10", "b11"])
