@@ -107,22 +107,23 @@ def site_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, events: DataFrame, fold: exact.Fold, key: str, days: int = 8) -> DataFrame:
-    """events through a stream whose files hold them up to two days out of order, a file a micro-batch.
+    """events through a stream whose batches hold them up to two days out of order.
 
-    A last file has an event of no one's, so late that the watermark passes all others.
+    A batch is all the files that its rows were written to, however many, and the stream goes on once they are there: read
+    one by one, the first would move the watermark past what the others hold. A last batch has an event of no one's, so
+    late that the watermark passes all others.
     """
-    path = tables.new_path(spark, "stream")
+    path, out, progress = (tables.new_path(spark, n) for n in ("stream", "folded", "progress"))
     day = usage.DAY_MS
     rows = tables.written(events.withColumn("file", F.floor((F.col("ms") + F.pmod(F.xxhash64("event_id"), F.lit(2 * day))) / (days * day))), "events")
-    for r in rows.select("file").distinct().orderBy("file").collect():  # a row for each file of so many days
-        rows.where(F.col("file") == r["file"]).drop("file").write.mode("append").parquet(path)
     last = rows.agg(F.max("ms")).first()[0] or 0
     end = spark.createDataFrame([(last + 99 * day, -1)], "ms long, event_id long").select(*(c if c in ("ms", "event_id") else F.lit(-1).cast("long").alias(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in events.dtypes))
-    end.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = [r["file"] for r in rows.select("file").distinct().orderBy("file").collect()]  # a row for each batch of so many days
     what = "event_type" if "event_type" in events.columns else None
-    out = tables.new_path(spark, "folded")
-    exact.run_available(exact.folded(stream, fold, key, "ms", "event_id", "49 hours", what), out, tables.new_path(spark, "progress")).awaitTermination()
+    for batch in [*(rows.where(F.col("file") == k).drop("file") for k in files), end]:
+        batch.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        exact.run_available(exact.folded(stream, fold, key, "ms", "event_id", "49 hours", what), out, progress).awaitTermination()
     tables.drop(rows)
     return spark.read.parquet(out).where("event_id >= 0")
 

@@ -9,6 +9,7 @@ the state store, one at a time, and only those are ever read back.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,10 +83,15 @@ class Failures(Fold):
         self.failure, self.most, self.width = failure, most, width_ms
 
     def step(self, held: list[int], at: int, what: str | None) -> tuple[list[int], tuple | None]:
-        held = [t for t in held if t > at - self.width]
+        gone = bisect_right(held, at - self.width)
+        if 2 * gone > len(held):  # now and then, so that an event costs the same however many are held
+            del held[:gone]
+            gone = 0
         if what == self.failure:
-            return [*held, at], None
-        return held, (len(held), len(held) >= self.most)
+            held.append(at)
+            return held, None
+        n = len(held) - gone
+        return held, (n, n >= self.most)
 
     def ends(self, held: list[int]) -> int:
         return held[-1] + self.width
@@ -158,7 +164,7 @@ def folded(events: DataFrame, fold: Fold, key: str, ms: str, event_id: str, late
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes what is there of a stream of folded() to a Parquet table. State is in RocksDB, which these folds need."""
+    """Writes what is there of a stream to a Parquet table. State is in RocksDB, which folded() needs and which holds it on disk."""
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name)
     conf.set(name, ROCKS)

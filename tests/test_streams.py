@@ -61,6 +61,30 @@ def test_failures(spark, tmp_path):
     assert state["numRowsTotal"] <= 4
 
 
+def test_a_failure_costs_no_more_the_more_are_held():
+    class Counted(list):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += len(self)
+            return super().__iter__()
+
+    fold, held, out = exact.Failures("error", 3, 1000), Counted(), []
+    for k in range(4000):
+        held, result = fold.step(held, k, "error" if k % 2 else "view")
+        out.append(result)
+    assert [r for r in out if r] == [(min(k // 2, 500), k >= 6) for k in range(0, 4000, 2)]
+    assert Counted.read == 0 and len(held) <= 1001
+
+
+def test_a_batch_of_many_files(spark):
+    """What the tasks of one batch wrote is read together: no file moves the watermark past the others."""
+    events = spark.createDataFrame(rows(900), KIND).where("user_id is not null").repartition(12, "event_id")
+    got = plans._streamed(spark, events.select("user_id", "ms", "event_id"), exact.Admissions(2, DAY), "user_id")
+    want = usage.admissions(events, "user_id", "ms", "event_id", 2, DAY)
+    assert sorted(map(tuple, got.select("user_id", "event_id", "ms", "granted").collect())) == sorted(map(tuple, want.collect()))
+
+
 def plain_quota(asked, per_hour, per_day):
     granted, used, out = [], {}, {}
     for event, ms, who, free in sorted(asked, key=lambda r: (r[1], r[0])):
