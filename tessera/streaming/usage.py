@@ -23,18 +23,26 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def window_counts(events: DataFrame, key: str, ms: str, width_ms: int) -> DataFrame:
-    """events with `used`: how many of the key's events lie in the width that ends with each, strictly younger.
+def _younger(asked: DataFrame, counted: DataFrame, key: str, ms: str, width_ms: int, out: str) -> DataFrame:
+    """asked with how many of counted, by key, lie in the width that ends with each, strictly younger. Rows without a time count each other.
 
-    A key's events are dealt by stretches of time of the width; each stretch also gets the times of the one before, which
-    is as far back as its events look. Rows without a time count each other.
+    A row adds one at its time and takes it away a width later, and what is asked is the sum up to there, so the work does
+    not grow with how many rows a width holds. Keys are dealt by stretches of the width: a row also adds one at the start of the
+    next stretch, where it ends; none reaches further.
     """
-    stretch = F.floor(F.col(ms) / F.lit(width_ms))
-    own = events.withColumn("_at", F.col(ms)).withColumn("_stretch", stretch).withColumn("_own", F.lit(True))
-    before = events.where(F.col(ms).isNotNull()).select(key, F.col(ms).alias("_at"), (stretch + 1).alias("_stretch"), F.lit(False).alias("_own"))
-    w = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(-(width_ms - 1), 0)
-    counted = own.unionByName(before, allowMissingColumns=True).withColumn("used", F.count(F.lit(1)).over(w))
-    return counted.where("_own").drop("_at", "_stretch", "_own")
+    at = F.col(ms).cast("long")
+    start = at - F.pmod(at, F.lit(width_ms))
+    mark = lambda stretch, when, n: F.struct(stretch.alias("_stretch"), when.alias("_at"), F.lit(n).alias("_n"))
+    own, after = mark(start, at, 1), [mark(start + width_ms, start + width_ms, 1), mark(start + width_ms, at + width_ms, -1)]
+    marks = counted.select(key, F.explode(F.when(at.isNull(), F.array(own)).otherwise(F.array(own, *after))).alias("_m")).select(key, "_m.*", F.lit(False).alias("_asks"))
+    asks = asked.withColumns({"_stretch": start, "_at": at, "_n": F.lit(0), "_asks": F.lit(True)})
+    w = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    return asks.unionByName(marks, allowMissingColumns=True).withColumn(out, F.sum("_n").over(w)).where("_asks").drop("_stretch", "_at", "_n", "_asks")
+
+
+def window_counts(events: DataFrame, key: str, ms: str, width_ms: int) -> DataFrame:
+    """events with `used`: how many of the key's events lie in the width that ends with each, strictly younger. Rows without a time count each other."""
+    return _younger(events, events, key, ms, width_ms, "used")
 
 
 def day_counts(events: DataFrame, ms: str) -> DataFrame:
@@ -195,13 +203,9 @@ def quota(events: DataFrame, key: str, ms: str, event_id: str, per_hour: int, pe
 def limited(log: DataFrame, attempts: DataFrame, bucket: str, ms: str, most: int = 10, width_ms: int = 900_000) -> DataFrame:
     """attempts (bucket, ms, ...) with `failures` of their bucket in the width before, and `limited` where these are most or more.
 
-    A failure counts if it is younger than width_ms; one at the attempt's own time does. One window over both tables.
+    A failure counts if it is younger than width_ms; one at the attempt's own time does.
     """
-    marks = log.select(bucket, ms, F.lit(1).alias("_failed"))
-    both = attempts.withColumn("_failed", F.lit(0)).withColumn("_attempt", F.lit(True)).unionByName(marks.withColumn("_attempt", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(bucket).orderBy(ms).rangeBetween(-(width_ms - 1), 0)
-    counted = both.withColumn("failures", F.sum("_failed").over(w)).where("_attempt").drop("_failed", "_attempt")
-    return counted.withColumn("limited", F.col("failures") >= most)
+    return _younger(attempts, log, bucket, ms, width_ms, "failures").withColumn("limited", F.col("failures") >= most)
 
 
 def use_session(at: int, held: list[int], lasts_ms: int, refresh_ms: int) -> tuple[bool, int, list[int]]:

@@ -128,6 +128,20 @@ def test_window_counts_of_a_hot_key(spark):
         assert got[k] == (1 if ms is None else sum(1 for o, t, _ in data if o == key and t is not None and ms - 1000 < t <= ms))
 
 
+def test_failures_of_a_hot_bucket(spark):
+    """No window slides over what its width holds, and a bucket is dealt over its time."""
+    rng = random.Random(9)
+    log = [(rng.choice([0, 0, 0, 1, None]), rng.choice([None, -rng.randrange(900), rng.randrange(20) * 250 + rng.randrange(3)])) for _ in range(500)]
+    tries = [(*rng.choice([(0, 250), (1, 2001), (None, None), *log]), k) for k in range(500)]
+    out = usage.limited(spark.createDataFrame(log, "b int, ms long"), spark.createDataFrame(tries, "b int, ms long, id int"), "b", "ms", 4, 1000)
+    got = {r["id"]: (r["failures"], r["limited"]) for r in out.collect()}
+    for b, ms, k in tries:
+        n = sum(1 for o, t in log if o == b and (t is None if ms is None else t is not None and ms - 1000 < t <= ms))
+        assert got[k] == (n, n >= 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$()" in plan and "RangeFrame, -" not in plan and "_stretch" in plan
+
+
 def test_pieces_of_a_hot_key(spark):
     rng = random.Random(8)
     data = [(rng.choice([0, 0, 0, 1]), rng.randrange(3000) ** 2 // 100, k) for k in range(700)]
