@@ -197,6 +197,36 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, span: tuple[str, st
     return met.where(here & overlap).drop("_level", "_bin", "_class_l", "_class_r")
 
 
+def overlap_counts(spans: DataFrame, key: str, start: str, end: str, ids: list[str], stretches: int = 16) -> DataFrame:
+    """(ids, n, first): how many spans of its key each overlaps, ends and itself included, and the least start of these.
+
+    No pairs are made. Those that a span overlaps have started by its end, less those that had ended before its start; the
+    least start is that of those which end at its start or later. So a span is two rows, in the order of time, with counts up to
+    each and the least start from each on. A key's rows are dealt by stretches of time, so many over all of it; what goes from
+    one to another comes from a table with a row a key and stretch. Spans that end before they start overlap none, as do those
+    without a key, start or end; spans that share ids are added up.
+    """
+    whole = spans.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+    ends = whole.agg(F.min(start).cast("double").alias("a"), F.max(end).cast("double").alias("b")).first()
+    low, width = ends["a"] or 0.0, max(((ends["b"] or 0.0) - (ends["a"] or 0.0)) / stretches, 1e-9)
+    # starts come before ends of the same time, so both counts run up to the row itself
+    mark = lambda at, is_end: F.struct(F.col(at).alias("_at"), F.lit(is_end).alias("_end"), F.when(F.lit(is_end == 1), F.col(start)).alias("_from"))
+    marks = whole.select(*ids, F.col(key).alias("_key"), F.explode(F.array(mark(start, 0), mark(end, 1))).alias("_m")).select(*ids, "_key", "_m.*")
+    marks = marks.withColumn("_part", F.least(F.lit(stretches - 1), F.floor((F.col("_at").cast("double") - low) / width)).cast("int"))
+    parts = marks.groupBy("_key", "_part").agg(F.count_if(F.col("_end") == 0).alias("_starts"), F.sum("_end").alias("_ends"), F.min("_from").alias("_least"))
+    along = Window.partitionBy("_key").orderBy("_part")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_key").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_key", "_part", F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_begun"), F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("_over"), F.min("_least").over(after).alias("_later"))
+    inside = Window.partitionBy("_key", "_part").orderBy("_at", "_end")
+    upto, onward = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_key", "_part").orderBy(F.desc("_at"), F.desc("_end")).rowsBetween(Window.unboundedPreceding, 0)
+    # rows of one time and kind: starts need the ends before them, ends the starts; neither counts its own kind
+    counted = marks.withColumns({"_s": F.count_if(F.col("_end") == 0).over(upto), "_e": F.sum("_end").over(upto)}).withColumn("_l", F.min("_from").over(onward))
+    joined = counted.join(carried, ["_key", "_part"])
+    n = F.sum(F.when(F.col("_end") == 1, F.col("_begun") + F.col("_s")).otherwise(-F.col("_over") - F.col("_e")))
+    first = F.min(F.when(F.col("_end") == 0, F.least("_l", "_later")))
+    return joined.groupBy(*ids).agg(n.alias("n"), first.alias("first"))
+
+
 def as_of(left: DataFrame, right: DataFrame, group: list[str], time: str, value: str, stretches: int = 256, or_first: bool = True) -> DataFrame:
     """left with the value of the last row of right at or before its time, or of the first row if all come later (null without or_first).
 

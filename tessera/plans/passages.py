@@ -155,6 +155,4 @@ def overlapping_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of its supplier's goods are on the way while one is, itself included, and since when; a good is on the way as many days as it counts pieces."""
     lo = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
     spans = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", lo.alias("lo"), (lo + F.col("l_quantity").cast("long")).alias("hi"))
-    others = spans.select("l_suppkey", F.col("lo").alias("since"), F.col("hi").alias("until"))
-    found = folds.overlapping(spans, others, "l_suppkey", ("lo", "hi"), ("since", "until"))
-    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("since").alias("first"))
+    return folds.overlap_counts(spans, "l_suppkey", "lo", "hi", ["l_orderkey", "l_linenumber"])

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import folds
+from tessera.plans import passages
 
 
 def test_overlapping(spark):
@@ -30,6 +31,31 @@ def test_overlapping(spark):
     assert halves.count() == len(want)
 
 
+def test_overlap_counts(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        a = rng.choice([rng.randrange(-300, 3000), 50])
+        rows.append((0 if rng.random() < 0.7 else rng.choice([1, 2, None]), a, a + rng.choice([0, 0, 1, 2, 5, 17, 64, 900, 5000, -3]), k))
+    rows += [(0, None, 5, 500), (0, 5, None, 501), (0, 7, 9, 3), (9, 4, 4, 502)]
+    whole = [(k, s, e, i) for k, s, e, i in rows if k is not None and s is not None and e is not None and s <= e]
+    want = {}
+    for k, s, e, i in whole:
+        met = [x for m, x, y, _ in whole if m == k and s <= y and e >= x]
+        n, first = want.get(i, (0, min(met)))
+        want[i] = (n + len(met), min(first, *met, first))
+    spans = spark.createDataFrame(rows, "k int, s long, e long, id int")
+    for stretches in (1, 16, 300):
+        got = folds.overlap_counts(spans, "k", "s", "e", ["id"], stretches)
+        assert {r["id"]: (r["n"], r["first"]) for r in got.collect()} == want
+    assert folds.overlap_counts(spans.limit(0), "k", "s", "e", ["id"]).count() == 0
+
+
+def test_overlapping_stays_makes_no_pairs(spark, sf_dir):
+    plan = passages.overlapping_stays(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan and plan.count("Join") == 1  # with a row a key and stretch
+
+
 def test_as_of(spark):
     rng = random.Random(6)
     left = [(rng.choice([0, 0, 0, 1, 2, None]), rng.choice([None, *[rng.randrange(-50, 1200)] * 9]), k) for k in range(400)]
