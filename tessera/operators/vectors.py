@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 MAX_QUERIES = 4096
 #: Vectors of a part where queries come in blocks, about.
 PART = 16_384
-#: Queries of one matrix product.
-PRODUCT = 256
+#: Queries of one matrix product, and its scores, at most but for one query's; a few copies of it are held at once.
+PRODUCT, SCORES = 256, 1 << 20
 #: Hits that a search over many ids fetches before it filters, in the lossy mode.
 OVERFETCH = 100
 
@@ -42,8 +42,9 @@ def _best(asked: tuple[np.ndarray, dict], ids: np.ndarray, known: dict, k: int)
         own = ids[at]
         order = np.argsort(own, kind="stable")  # a stable sort by score then leaves ties by id
         own, x = own[order], x[order]
-        for s in range(0, len(q_at) if len(own) else 0, PRODUCT):
-            scores = np.round(q[s : s + PRODUCT] @ x.T, 6)
+        step = min(PRODUCT, max(1, SCORES // max(1, len(own))))
+        for s in range(0, len(q_at) if len(own) else 0, step):
+            scores = np.round(q[s : s + step] @ x.T, 6)
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(own) <= 4 * k else _top(scores, k)
             rows = np.repeat(np.arange(len(scores)), top.shape[1])
             columns = [query_ids[q_at[s + rows]], own[top.ravel()], scores[rows, top.ravel()]]

@@ -1,6 +1,7 @@
 """The trigram index and the clustered vector index against plain searches."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,3 +58,14 @@ def test_clusters_give_what_a_scan_gives(spark):
     few = known.limit(5)
     assert sorted(map(tuple, vector_index.nearest(vector_index.build(few), asked, 8).collect())) == sorted(map(tuple, vectors.nearest(few, asked, 8).collect()))
     assert vector_index.nearest(vector_index.build(known.limit(0)), asked, 3).count() == 0
+
+
+def test_scores_of_a_part_are_held_a_few_at_a_time():
+    rng = np.random.default_rng(5)
+    unit = lambda n: {8: (np.arange(n), (x := rng.standard_normal((n, 8))) / np.linalg.norm(x, axis=1)[:, None])}
+    asked, known = (np.arange(300), unit(300)), unit(vectors.PART)
+    tracemalloc.start()
+    got = list(vectors._best(asked, np.arange(vectors.PART), known, 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 300 * 8 and peak < 64 << 20
