@@ -13,9 +13,10 @@ their hashes into groups, two to a group at most on average, and the SimHash of
 that only one side has spoils one word at most, and similar sets have few such shingles, so a pair is sure to share a
 number of words: the guaranteed minimum. Words are put in one order for all sets, rare ones first, and of each
 set's words only so many first ones are posted that a similar pair still meets in TALLY postings, or in as many as its
-minimum says. All that meet are tallied, pairs that reach this are retained and verified by their sets. Sets too small
-to be sure of a common word post all words and all shingles. So no pair is missed, and common words, of which a
-text always has rarer ones beside it, are hardly ever posted.
+minimum says. First all meet the heads of their postings: these meetings are tallied, and pairs that reach this are
+retained. What heads do not connect meets each other, a pair at its least common word, if sketches do not rule it out.
+Either are verified by their sets. Sets too small to be sure of a common word post all words and all shingles. So no
+pair is missed, and common words, of which a text always has rarer ones beside it, are hardly ever posted.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ BLOCK = 1 << 16
 TALLY = 4
 #: Counters of words, which words are put in order by; what shares a counter is counted together. Their number bounds what tasks hold.
 COUNTERS = 1 << 22
-#: A posting with more sets is compared with their sketches at hand.
-LARGE = 8
+#: Words of a set by which pairs are told that meet in a lesser word, too.
+LOW = 32
 #: Slices in which the tasks' counters are added up.
 SLICES = 256
 #: Fingerprints that a task remembers, to post equal sets once.
@@ -315,16 +316,19 @@ def retained(tally: DataFrame, known: DataFrame, similarity: float) -> DataFrame
     return both.where(enough & _may("u", "v", similarity, lambda side, k: F.get(f"bits_{side}", F.lit(k)))).select("u", "v")
 
 
-def _apart(named: DataFrame, similarity: float | None) -> DataFrame:
-    """(u, v) for all sets of a posting (word, fp, c, main) that are not in one component (c), once for each posting they share.
+def _apart(named: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) for all sets of a posting (word, fp, c, main, low) that are not in one component (c) and may be similar enough.
 
-    One of a pair is not in the component of the posting's head (main), so those alone meet all others. Given a
-    similarity, pairs that sizes and sketches (size, ones, b0, b1, ...) rule out do not leave the join.
+    One of a pair is not in the component of the posting's head (main), so those alone meet all others. Pairs that
+    sizes and sketches (size, ones, b0, b1, ...) rule out do not leave the join, and the others leave it at their least
+    common word only: where both lists of first words (low) hold a lesser one, that one's posting gives the pair. Words
+    beyond the lists may give a pair again.
     """
     x, y = (named.select("word", *(F.col(c).alias(f"{c}_{side}") for c in named.columns if c != "word")) for side in "xy")
     apart = (F.col("c_x") != F.col("c_y")) & (F.col("c_y").eqNullSafe(F.col("main_y")) | (F.col("fp_x") < F.col("fp_y")))
-    if similarity is not None:
-        apart = apart & _may("x", "y", similarity, lambda side, k: F.col(f"b{k}_{side}"))
+    apart = apart & _may("x", "y", similarity, lambda side, k: F.col(f"b{k}_{side}"))
+    apart = apart & F.coalesce(F.array_min(F.array_intersect("low_x", "low_y")) >= F.col("word_x"), F.lit(True))
+    x = x.withColumn("word_x", F.col("word"))
     return x.where("c_x <> main_x").join(y, "word").where(apart).select(F.greatest("fp_x", "fp_y").alias("u"), F.least("fp_x", "fp_y").alias("v"))
 
 
@@ -353,7 +357,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
 
     First each posting's members meet its head only. Whoever that connects need not meet again, so near copies,
     however many, cost a pair a member. Then the members of a posting that are not connected to its head meet all of
-    it that they are not connected to.
+    it that they are not connected to; a pair is made once, whatever the number of words that it shares.
     """
     spark = docs.sparkSession
     posted = postings(docs, text_col, shingle, similarity, added_up(counters))
@@ -370,23 +374,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
             members = [shingles(None if not t.is_valid else t.as_py(), shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], names=["fp", "members"])
 
-    def verified(tally: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(retained(tally, known, similarity), "pairs")
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(candidates, "pairs")
         wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(row, "fp")
         sets = materialize(texts.join(wanted, ["_none", "_id", "_same"]).select("fp", "text").dropDuplicates(["fp"]).mapInArrow(run, "fp long, members binary"), "sets")
         found = materialize(_similar(pairs, sets, similarity), name)
         drop_tables(spark, [pairs, sets])
         return found
 
-    stars = verified(index.where("fp <> head").groupBy(F.col("fp").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("n")), "stars")
+    tally = index.where("fp <> head").groupBy(F.col("fp").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    stars = verified(retained(tally, known, similarity), "stars")
     joined = materialize(components(stars), "joined")
     named = index.join(joined, F.col("fp") == F.col("node"), "left").select("word", "fp", "head", F.coalesce("component", "fp").alias("c"))
-    mixed = named.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("fp") == F.col("head"), F.col("c"))).alias("main"))
-    mixed = mixed.where("least < most").select("word", "n", "main")
-    named = materialize(named.join(mixed, "word").select("word", "fp", "c", "main", "n"), "mixed")
-    many = named.where(F.col("n") > LARGE).join(known.select("fp", "size", "ones", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64))), "fp")
-    pairs = _apart(named.where(F.col("n") <= LARGE).select("word", "fp", "c", "main"), None).unionByName(_apart(many, similarity))
-    rest = verified(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "rest")
+    mixed = named.groupBy("word").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("fp") == F.col("head"), F.col("c"))).alias("main"))
+    mixed = mixed.where("least < most").select("word", "main")
+    named = materialize(named.join(mixed, "word").select("word", "fp", "c", "main"), "mixed")
+    lists = named.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("word")), 1, LOW).alias("low"))
+    about = known.join(lists, "fp").select("fp", "low", "size", "ones", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64)))
+    rest = verified(_apart(named.join(about, "fp"), similarity).distinct(), "rest")
     drop_tables(spark, [index, known, joined, named])
     return stars.union(rest)
 

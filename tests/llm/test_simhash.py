@@ -149,3 +149,26 @@ def test_dedup_by_similarity_against_brute_force(spark, docs):
     got = {r["doc_id"] for r in kept.collect()}
     assert got == similar_components(rows, 5, 0.8)
     assert len(got) < len({r["component_id"] for r in simhash.op1(docs(rows)).collect()})
+
+
+def test_a_pair_leaves_the_join_once(spark, docs, monkeypatch):
+    """However many words two texts share that no head connects, the join on words gives them once."""
+    rng = random.Random(7)
+    base = [f"p{k}" for k in range(160)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for j in range(2 + k % 3):
+            own[(53 * j + rng.randrange(50)) % 160] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    rows, met, apart = list(enumerate(texts)), [], simhash._apart
+
+    def counted(*args):
+        found = apart(*args)
+        met.extend(tuple(r) for r in found.select("u", "v").collect())
+        return found
+
+    monkeypatch.setattr(simhash, "_apart", counted)
+    kept = {r["doc_id"] for r in simhash.dedup(docs(rows), shingle=5, similarity=0.8).collect()}
+    assert kept == similar_components(rows, 5, 0.8)
+    assert met and len(met) == len(set(met))
