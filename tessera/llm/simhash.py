@@ -14,8 +14,9 @@ that only one side has spoils one word at most, and similar sets have few such s
 number of words: the guaranteed minimum. Words are put in one order for all sets, rare ones first, and of each
 set's words only so many first ones are posted that a similar pair still meets in TALLY postings, or in as many as its
 minimum says. First all meet the heads of their postings: these meetings are tallied, and pairs that reach this are
-retained. What heads do not connect meets each other, a pair at its least common word, if sketches do not rule it out.
-Either are verified by their sets. Sets too small to be sure of a common word post all words and all shingles. So no
+retained. What heads do not connect meets guides, a few members of each posting's largest component, and is joined to it
+by one link. What is apart then meets each other, a pair at its least common word, if sketches do not rule it out.
+All are verified by their sets. Sets too small to be sure of a common word post all words and all shingles. So no
 pair is missed, and common words, of which a text always has rarer ones beside it, are hardly ever posted.
 """
 
@@ -52,6 +53,8 @@ TALLY = 4
 COUNTERS = 1 << 22
 #: Words of a set by which pairs are told that meet in a lesser word, too.
 LOW = 32
+#: Times that what is not connected meets guides, at most, and how many orders of sets tell who is a guide each time.
+TURNS, GUIDES = 2, 8
 #: Slices in which the tasks' counters are added up.
 SLICES = 256
 #: Fingerprints that a task remembers, to post equal sets once.
@@ -316,10 +319,37 @@ def retained(tally: DataFrame, known: DataFrame, similarity: float) -> DataFrame
     return both.where(enough & _may("u", "v", similarity, lambda side, k: F.get(f"bits_{side}", F.lit(k)))).select("u", "v")
 
 
+def _mixed_postings(rows: DataFrame, joined: DataFrame, turn: int) -> DataFrame:
+    """(word, fp, c, main) for the postings of rows (word, fp) whose sets are in several components (node, component).
+
+    c is a set's component, main the one that most sets of the posting are in; which of several is drawn anew each turn.
+    """
+    named = rows.join(joined, F.col("fp") == F.col("node"), "left").select("word", "fp", F.coalesce("component", "fp").alias("c"))
+    sizes = named.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", F.xxhash64("c", F.lit(turn)), "c"))
+    mixed = sizes.groupBy("word").agg(F.count(F.lit(1)).alias("parts"), most.getField("c").alias("main"))
+    return named.join(mixed.where("parts > 1").select("word", "main"), "word")
+
+
+def _guided(named: DataFrame, known: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(u, v): each set of a posting (word, fp, c, main) outside its main component with one guide of that, if sketches (known) leave any.
+
+    A posting's guide is the first of its main component in an order of all sets. There are GUIDES orders, words are dealt
+    to them, and they change each turn: so near copies meet few guides, however many words they share, but several.
+    """
+    order = F.xxhash64("fp", F.pmod("word", F.lit(GUIDES)), F.lit(turn))
+    guides = named.where("c = main").groupBy("word").agg(F.min(F.struct(order.alias("order"), "fp")).getField("fp").alias("guide"))
+    met = named.where("c <> main").join(guides, "word").select("fp", "main", "guide").distinct()
+    x, y = (known.select(F.col("fp").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "ones", "bits"))) for name in ("fp", "guide"))
+    may = _may("fp", "guide", similarity, lambda side, k: F.get(f"bits_{side}", F.lit(k)))
+    one = met.join(x, "fp").join(y, "guide").where(may).groupBy("fp", "main").agg(F.min("guide").alias("guide"))
+    return one.select(F.greatest("fp", "guide").alias("u"), F.least("fp", "guide").alias("v")).distinct()
+
+
 def _apart(named: DataFrame, similarity: float) -> DataFrame:
     """(u, v) for all sets of a posting (word, fp, c, main, low) that are not in one component (c) and may be similar enough.
 
-    One of a pair is not in the component of the posting's head (main), so those alone meet all others. Pairs that
+    One of a pair is not in the posting's main component, so those alone meet all others. Pairs that
     sizes and sketches (size, ones, b0, b1, ...) rule out do not leave the join, and the others leave it at their least
     common word only: where both lists of first words (low) hold a lesser one, that one's posting gives the pair. Words
     beyond the lists may give a pair again.
@@ -356,8 +386,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
     """Edges (u, v) that connect all sets of shingles that are similar enough.
 
     First each posting's members meet its head only. Whoever that connects need not meet again, so near copies,
-    however many, cost a pair a member. Then the members of a posting that are not connected to its head meet all of
-    it that they are not connected to; a pair is made once, whatever the number of words that it shares.
+    however many, cost a pair a member. Where heads are far from most, as in a wide cloud of near copies, guides from
+    the largest components connect the others, a pair a member each turn. Then the members of a posting that are still
+    not connected to its largest component meet all of it that they are not connected to, so no link depends on heads
+    or guides; a pair is made once, whatever the number of words that it shares.
     """
     spark = docs.sparkSession
     posted = postings(docs, text_col, shingle, similarity, added_up(counters))
@@ -383,17 +415,25 @@ def similar_links(docs: DataFrame, prints: DataFrame, counters: DataFrame, class
         return found
 
     tally = index.where("fp <> head").groupBy(F.col("fp").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    stars = verified(retained(tally, known, similarity), "stars")
-    joined = materialize(components(stars), "joined")
-    named = index.join(joined, F.col("fp") == F.col("node"), "left").select("word", "fp", "head", F.coalesce("component", "fp").alias("c"))
-    mixed = named.groupBy("word").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("fp") == F.col("head"), F.col("c"))).alias("main"))
-    mixed = mixed.where("least < most").select("word", "main")
-    named = materialize(named.join(mixed, "word").select("word", "fp", "c", "main"), "mixed")
+    found = verified(retained(tally, known, similarity), "stars")
+    edges, named = found, index
+    for turn in range(TURNS + 1):
+        joined = materialize(components(edges), "joined")
+        drop_tables(spark, [found] + [edges] * (turn > 0))
+        rows, named = named, materialize(_mixed_postings(named.select("word", "fp"), joined, turn), "mixed")
+        drop_tables(spark, [rows])
+        if turn == TURNS:
+            break
+        found = verified(_guided(named, known, similarity, turn), "guided")
+        if found.isEmpty():
+            break
+        edges = materialize(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found), "connected")
+        drop_tables(spark, [joined])
     lists = named.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("word")), 1, LOW).alias("low"))
     about = known.join(lists, "fp").select("fp", "low", "size", "ones", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH // 64)))
     rest = verified(_apart(named.join(about, "fp"), similarity).distinct(), "rest")
-    drop_tables(spark, [index, known, joined, named])
-    return stars.union(rest)
+    drop_tables(spark, [known, named])
+    return joined.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(rest)
 
 
 def _key(fp: str, positions: tuple[int, ...]) -> Column:

@@ -172,3 +172,26 @@ def test_a_pair_leaves_the_join_once(spark, docs, monkeypatch):
     kept = {r["doc_id"] for r in simhash.dedup(docs(rows), shingle=5, similarity=0.8).collect()}
     assert kept == similar_components(rows, 5, 0.8)
     assert met and len(met) == len(set(met))
+
+
+def test_a_cloud_of_near_copies_is_connected_without_its_pairs(spark, docs, monkeypatch):
+    """Texts around one base, half of them too far from all others: the join on words gives about a pair a text, not all links."""
+    rng = random.Random(5)
+    base = [f"p{k}" for k in range(150)]
+    texts = []
+    for k in range(240):
+        own = list(base)
+        for j in range(1 + k % 6):
+            own[rng.randrange(150)] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    rows, met, apart = list(enumerate(texts)), [], simhash._apart
+
+    def counted(*args):
+        found = apart(*args)
+        met.extend(tuple(r) for r in found.select("u", "v").collect())
+        return found
+
+    monkeypatch.setattr(simhash, "_apart", counted)
+    kept = {r["doc_id"] for r in simhash.dedup(docs(rows), shingle=5, similarity=0.8).collect()}
+    assert kept == similar_components(rows, 5, 0.8) and len(kept) > 1
+    assert len(met) <= 2 * len(rows)
