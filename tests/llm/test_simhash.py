@@ -175,7 +175,7 @@ def test_a_pair_leaves_the_join_once(spark, docs, monkeypatch):
 
 
 def test_a_cloud_of_near_copies_is_connected_without_its_pairs(spark, docs, monkeypatch):
-    """Texts around one base, half of them too far from all others: the join on words gives about a pair a text, not all links."""
+    """Texts around one base, some of them too far from all others: the join on words gives two pairs a text at most, not all links."""
     rng = random.Random(5)
     base = [f"p{k}" for k in range(150)]
     texts = []
