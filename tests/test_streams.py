@@ -61,6 +61,37 @@ def test_failures(spark, tmp_path):
     assert state["numRowsTotal"] <= 4
 
 
+def test_state_is_of_buckets(spark, tmp_path):
+    """Thousands of keys wait in a few rows of state, in few partitions, and come out as the batch form has them; one more day and those that fell silent are gone."""
+    rng = random.Random(12)
+    data = [(f"u{rng.randrange(3000)}", DAY + rng.randrange(4 * DAY), k) for k in range(6000)]
+    events = spark.createDataFrame(data, "user_id string, ms long, event_id long")
+
+    def run(rows):
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        query = exact.run_available(exact.folded(stream, exact.Admissions(2, DAY), "user_id", "ms", "event_id", "49 hours", buckets=6), f"{tmp_path}/out", f"{tmp_path}/cp")
+        query.awaitTermination()
+        return query.recentProgress[-1]["stateOperators"][0]
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        state = run(events)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "30"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    passed = max(r[1] for r in data) - 49 * HOUR
+    assert state["numRowsTotal"] <= 2 * 6 and state["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+    want = usage.admissions(events, "user_id", "ms", "event_id", 2, DAY)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.select("user_id", "event_id", "ms", "granted").collect())) == sorted(tuple(r) for r in want.collect() if r["ms"] <= passed)
+    state = run(spark.createDataFrame([("u0", 99 * DAY, 9000), ("u1", 199 * DAY, 9001)], events.schema))
+    got = spark.read.parquet(f"{tmp_path}/out").where("event_id < 9000")
+    assert sorted(map(tuple, got.select("user_id", "event_id", "ms", "granted").collect())) == sorted(map(tuple, want.collect()))
+    assert state["numRowsTotal"] <= 2
+
+
 def test_a_failure_costs_no_more_the_more_are_held():
     class Counted(list):
         read = 0
