@@ -239,14 +239,14 @@ def folded(events: DataFrame, fold: Fold, key: str, ms: str, event_id: str, late
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes what is there of a stream to a Parquet table. State is in RocksDB, which folded() needs and which holds it on disk.
 
-    A store is opened and committed for each partition in every batch, however few rows that has, so a new checkpoint gets two partitions
-    a core at most; one that exists keeps its own.
+    A store is opened and committed for each partition in every batch, however few rows that has, and takes some MB of local disk for each
+    start of the stream, so a new checkpoint gets a partition a core at most; one that exists keeps its own.
     """
     spark = stream.sparkSession
     conf, provider, partitions = spark.conf, "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
     before = {name: conf.get(name) for name in (provider, partitions)}
     conf.set(provider, ROCKS)
-    conf.set(partitions, str(min(int(before[partitions]), 2 * spark.sparkContext.defaultParallelism)))
+    conf.set(partitions, str(min(int(before[partitions]), spark.sparkContext.defaultParallelism)))
     try:
         return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:

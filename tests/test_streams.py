@@ -82,7 +82,7 @@ def test_state_is_of_buckets(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     passed = max(r[1] for r in data) - 49 * HOUR
-    assert state["numRowsTotal"] <= 2 * 6 and state["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+    assert state["numRowsTotal"] <= 2 * 6 and state["numShufflePartitions"] <= spark.sparkContext.defaultParallelism
     want = usage.admissions(events, "user_id", "ms", "event_id", 2, DAY)
     got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, got.select("user_id", "event_id", "ms", "granted").collect())) == sorted(tuple(r) for r in want.collect() if r["ms"] <= passed)
